@@ -3,13 +3,13 @@
 1. Every text becomes its set of word shingles and a MinHash signature; texts
    with equal sets collapse to one representative.
 2. Representatives are posted under coordinate-value pairs of the first `POST`
-   coordinates.  A pair above the similarity matches in at least `POST_MATCH`
-   of them (it fails to with a probability below 1e-6 at the limit itself), so
-   only the POST - POST_MATCH + 1 rarest values of a document need be posted
-   (prefix); long lists are thereby skipped, and a document with fewer than
-   POST_MATCH values that anyone shares is posted nowhere.
+   coordinates.  A pair above the similarity matches in at least M of them
+   (`least_matches`: it fails to with a chance of about 1e-6 at the limit
+   itself), so only the POST - M + 1 rarest values of a document need be posted
+   (prefix); long lists are thereby skipped, and a document with fewer than M
+   values that anyone shares is posted nowhere.
 3. Documents that meet in a list have their collisions counted over the whole
-   signature; counts of at least `MATCH` of `SIZE` (and sizes that allow the
+   signature; enough of them among `SIZE` (and sizes that allow the
    similarity) make them candidates, and candidates form clusters.
 4. Clusters get the full shingle sets, and links are confirmed on those.
 
@@ -23,6 +23,7 @@ a task returns one edge for each document at most.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from .groups import bounds, grouped
 from .shingles import set_key, shingle_sets, signatures
 from .storage import Scratch, small_batches
 
-SIZE, MATCH = 64, 40
-POST, POST_MATCH = 32, 16
+SIZE, POST = 64, 32
+#: The chance that a link exactly at the similarity asked for is not found by each of the two counts.
+MISSED = 2e-6
 SHINGLE_WORDS = 5
 #: Documents, and shingles, of a group that one task compares at once.
 CAP_DOCS, CAP_SHINGLES = 1000, 1_000_000
@@ -45,6 +47,16 @@ _SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
 _EDGES = "u long, v long"
 
 
+def least_matches(percent: int, of: int) -> int:
+    """Collisions that a pair of `percent` similarity reaches among `of` coordinates but for a chance of MISSED."""
+    p, below = percent / 100, 0.0
+    for m in range(of):
+        below += comb(of, m) * p**m * (1 - p) ** (of - m)
+        if below >= MISSED:
+            return m
+    return of
+
+
 def sign(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set) and signature of every text."""
 
@@ -68,13 +80,13 @@ def sign(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _SIGNED)
 
 
-def postings(scratch: Scratch, signed: DataFrame) -> DataFrame:
+def postings(scratch: Scratch, signed: DataFrame, post_match: int) -> DataFrame:
     """doc, key: the documents under the rarest shared coordinate-value pairs of each."""
     keys = signed.select("doc", F.posexplode(F.slice("signature", 1, POST)).alias("at", "value"))
     keys = keys.select("doc", F.expr("shiftleft(cast(at as bigint), 32) | (cast(value as bigint) & 4294967295)").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
     shared = keys.join(often, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
-    posted = shared.where(F.size("keys") >= POST_MATCH).select("doc", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (POST_MATCH - 1))).alias("k"))
+    posted = shared.where(F.size("keys") >= post_match).select("doc", F.explode(F.slice("keys", F.lit(1), F.size("keys") - (post_match - 1))).alias("k"))
     posted = scratch.store(posted.select("doc", F.col("k.key").alias("key")), "postings")
     # lists of the same documents are merged once
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("b")).where("n > 1")
@@ -96,11 +108,11 @@ class _Union:
         self.up[self.find(i)] = self.find(j)
 
 
-def _close(sig: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, percent: int) -> np.ndarray:
+def _close(sig: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, percent: int, match: int, post_match: int) -> np.ndarray:
     """Those of js whose signature collides often enough with row i's, most collisions first."""
     same = sig[js] == sig[i]
     count = np.count_nonzero(same, axis=1)
-    ok = (count >= MATCH) & (np.count_nonzero(same[:, :POST], axis=1) >= POST_MATCH)
+    ok = (count >= match) & (np.count_nonzero(same[:, :POST], axis=1) >= post_match)
     ok &= 100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])
     js, count = js[ok], count[ok]
     return js[np.argsort(-count, kind="stable")]
@@ -113,10 +125,11 @@ def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets:
     rows of another label; without it all rows are compared.
     """
     union = _Union(len(docs))
+    match, post_match = least_matches(percent, SIZE), least_matches(percent, POST)
     everyone = np.arange(len(docs))
     for i in range(len(docs)) if side is None else np.flatnonzero(side == 0).tolist():
         js = everyone[i + 1 :] if side is None else np.flatnonzero((side == 1) & (label != label[i]))
-        for j in _close(sig, n, i, js, percent).tolist():
+        for j in _close(sig, n, i, js, percent, match, post_match).tolist():
             if union.find(i) != union.find(j):
                 if sets is not None:
                     both = len(sets[i] & sets[j])
@@ -206,10 +219,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
     Repeated rows give repeated rows; rows with a null doc_id join the component
     of their set, or have a null component_id and are kept.  Other columns of
     `docs` are not read.  An empty table gives an empty result.
-    `percent` is at least 85; lower limits would need other match thresholds.
+    `percent` is at least 70: below, too many rare values would have to be posted.
     """
-    if percent < 85:
-        raise ValueError("the match thresholds hold for similarities of 85 percent or more")
+    if not 70 <= percent <= 100:
+        raise ValueError("similarities from 70 to 100 percent are supported")
     small_batches(spark)
     with Scratch(spark, "minhash") as scratch:
         signed_path = scratch.path("signed", keep=True)
@@ -222,7 +235,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
         def with_n(groups: DataFrame) -> DataFrame:
             return groups.join(one.select("doc", "n"), "doc").select("g", "doc", "n")
 
-        met, _ = _linked(scratch, with_n(postings(scratch, one)), one.select("doc", F.col("signature").alias("payload")), percent, width, False, cap_docs, cap_docs << 20)
+        met, _ = _linked(scratch, with_n(postings(scratch, one, least_matches(percent, POST))), one.select("doc", F.col("signature").alias("payload")), percent, width, False, cap_docs, cap_docs << 20)
         clusters = components(scratch, met)
         members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
