@@ -39,13 +39,18 @@ def quotas(counts: DataFrame, weights: dict[str, float] | None, period: int = PE
         weight = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(float(min(weights.values()))))
     all_rows = W.partitionBy(F.lit(1))
     shares = counts.withColumn("w", weight).withColumn("sources", F.count("*").over(all_rows))
-    free = F.lit(period) - F.col("sources")
-    free = F.when(F.col("sources") > min(MOST_SOURCES, period), F.raise_error(F.lit("more sources than slots of the period"))).otherwise(free)
-    shares = shares.withColumn("free", free.cast("long")).withColumn("exact", F.col("free") * F.col("w") / F.sum("w").over(all_rows))
-    shares = shares.withColumn("whole", F.floor("exact"))
-    left = F.col("free") - F.sum("whole").over(all_rows)
+    slots = F.when(F.col("sources") > min(MOST_SOURCES, period), F.raise_error(F.lit("more sources than slots of the period"))).otherwise(F.lit(period)).cast("long")
+    shares = shares.withColumn("slots", slots).withColumn("exact", F.col("slots") * F.col("w") / F.sum("w").over(all_rows))
+    # a source of less than a slot gets one; the others share what is left
+    rare = F.col("exact") < 1
+    left = F.col("slots") - F.count(F.when(rare, 1)).over(all_rows)
+    shares = shares.withColumn("exact", F.when(rare, 1.0).otherwise(left * F.col("w") / F.sum(F.when(~rare, F.col("w"))).over(all_rows)))
+    shares = shares.withColumn("whole", F.greatest(F.lit(1), F.floor(F.col("exact") + 1e-9)).cast("long"))
+    # left may fall below 0 if shares just above a slot were lifted to one: the largest then give a slot each
+    left = F.col("slots") - F.sum("whole").over(all_rows)
     rank = F.row_number().over(all_rows.orderBy(F.desc(F.col("exact") - F.col("whole")), F.asc_nulls_first("source")))
-    return shares.select("source", (F.col("whole") + 1 + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("quota"))
+    large = F.row_number().over(all_rows.orderBy(F.desc("whole"), F.asc_nulls_first("source")))
+    return shares.select("source", (F.col("whole") + F.when(rank <= left, 1).when(large <= -left, -1).otherwise(0)).cast("long").alias("quota"))
 
 
 def schedule(quota: DataFrame, period: int = PERIOD) -> DataFrame:
