@@ -118,7 +118,14 @@ def _close(sig: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, percent: int,
     return js[np.argsort(-count, kind="stable")]
 
 
-def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets: list[set] | None, side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sets, given as arrays without repeats."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets: list[np.ndarray] | None, side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
     """Edges (document, smallest document of its component) found in a group.
 
     sets: full sets to confirm links on.  side: 0 rows are compared with the 1
@@ -132,7 +139,7 @@ def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets:
         for j in _close(sig, n, i, js, percent, match, post_match).tolist():
             if union.find(i) != union.find(j):
                 if sets is not None:
-                    both = len(sets[i] & sets[j])
+                    both = _common(sets[i], sets[j])
                     if 100 * both < percent * (len(sets[i]) + len(sets[j]) - both):
                         continue
                 union.join(i, j)
@@ -160,7 +167,7 @@ def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
                     full = np.array([len(s) > 0 for s in arrays])
                     if not full.all():  # texts without words link with nothing
                         docs, side, label, arrays = docs[full], side[full], label[full], [s for s in arrays if len(s)]
-                    sig, n, sets = signatures(arrays, SIZE), np.array([len(s) for s in arrays]), [set(s.tolist()) for s in arrays]
+                    sig, n, sets = signatures(arrays, SIZE), np.array([len(s) for s in arrays]), arrays
                 else:
                     sig = part.column("payload").flatten().to_numpy().reshape(b - a, SIZE)
                     n = part.column("n").to_numpy()

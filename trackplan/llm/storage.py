@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
-#: Rows in one Arrow batch handed to Python, so that long texts stay bounded.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch handed to Python, so that long texts stay bounded.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,10 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch (an upper bound set elsewhere is kept if smaller)."""
+    """Bound the rows and bytes of an Arrow batch (a bound on rows set elsewhere is kept if smaller)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
