@@ -42,6 +42,8 @@ SHINGLE_WORDS = 5
 #: Documents, and shingles, of a group that one task compares at once.
 CAP_DOCS, CAP_SHINGLES = 1000, 1_000_000
 HUBS = 16
+#: Words of 64 bits in the filter of documents whose texts are needed again: the most rows of its broadcast.
+FILTER_WORDS = 1 << 17
 
 _SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
 _EDGES = "u long, v long"
@@ -94,6 +96,20 @@ def postings(scratch: Scratch, signed: DataFrame, post_match: int) -> DataFrame:
     return posted.join(lists, "key").select(F.col("key").alias("g"), "doc")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`rows` without most of those whose doc is not in `wanted`; none that is in it goes.
+
+    A broadcast bit map of hashes of doc, FILTER_WORDS rows at most however large
+    `wanted` is; where it fills up, fewer rows go.
+    """
+    slot = F.pmod(F.xxhash64("doc", F.lit(8)), F.lit(64 * FILTER_WORDS))
+    word, bit = F.floor(slot / 64).alias("word"), (slot % 64).cast("int")
+    bits = wanted.withColumn("at", bit).select(word, F.expr("shiftleft(1L, at)").alias("bits"))
+    bits = bits.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = rows.withColumn("at", bit).withColumn("word", word).join(F.broadcast(bits), "word")
+    return held.where(F.getbit("bits", "at") == 1).select(*rows.columns)
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -246,7 +262,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
         clusters = components(scratch, met)
         members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
-        links, split = _linked(scratch, members, texts, percent, width, True, cap_docs, cap_shingles)
+        links, split = _linked(scratch, members, _likely(texts, members), percent, width, True, cap_docs, cap_shingles)
         found = components(scratch, links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         found = found.where("node <> component")
         by_set = one.select("set_key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("component"))
