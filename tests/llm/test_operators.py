@@ -73,6 +73,13 @@ def test_exact_duplicates(spark, docs):
         assert r.group_size == len(ids) and r.keep_id == max((i for i in ids if i is not None), default=None) and r.kept == (r.doc_id == r.keep_id)
 
 
+def test_drop_exact_duplicates_by_row(spark):
+    """Null doc_ids, one of them with a duplicate; doc_ids with two texts; a group whose ids are all null."""
+    rows = [(None, "Copied"), (1, "copied"), (None, "alone"), (None, "both null"), (None, "BOTH null"), (None, None), (2, "two"), (2, "three"), (3, "TWO"), (4, "É"), (5, "é")]
+    kept = exact_dedup.drop_exact_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(rows) - Counter([(None, "Copied"), (2, "two")])
+
+
 def test_golomb():
     rng = np.random.default_rng(0)
     for n in (1, 5, 1000):

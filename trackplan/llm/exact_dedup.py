@@ -156,6 +156,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLO
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `exact_duplicates` keeps, with all their columns."""
-    gone = exact_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """The rows of `docs` that `exact_duplicates` keeps, with all their columns.
+
+    Rows are matched by doc_id and text, as neither null nor repeated doc_ids tell texts apart.
+    """
+    gone = exact_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
+    sha = F.unhex(F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER).cast("binary"), 256))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
