@@ -120,6 +120,22 @@ def test_mixing(spark, docs):
             assert abs(sum(x < t for x in slots) - w * t) < 1.1  # quotas of the period round the weights
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than one period holds: a heavy one, light ones and a null one."""
+    n = 700
+    rows = [(k, None if k % n == 1 else f"domain{k % n}") for k in range(2 * n)] + [(2 * n + k, "domain0") for k in range(600)]
+    placed = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert Counter((r.doc_id, r.source) for r in placed) == Counter(rows)
+    assert len({(r.slot, r.place) for r in placed}) == len(rows) and all(r.release <= r.slot < r.deadline for r in placed)
+    weight = {s: c**mixing.TEMPER for s, c in Counter(s for _, s in rows).items()}
+    share = weight["domain0"] / sum(weight.values())
+    end = min(max(r.slot for r in placed if r.source == s) for s in weight)
+    seen = sum(r.source == "domain0" for r in placed if r.slot < end)
+    assert abs(seen / end - share) < 0.3 * share
+    few = mixing.mix(spark, spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 30).cast("string").alias("source")), block_rows=1, period=4).collect()
+    assert len({r.slot for r in few}) == 60
+
+
 def test_sharding(spark, docs):
     rows = sharding.shard_documents(spark, docs, shards=4, virtual_nodes=8).collect()
     assert len(rows) == docs.count()

@@ -6,6 +6,11 @@ in each slot the released block with the earliest deadline runs.  On one
 processor this meets every deadline, so after any number of slots each source
 has had less than one block more or less than its share.  The schedule of one
 period repeats: its size is a parameter and doesn't grow with the data.
+
+More sources than a period can hold are scheduled in levels: sources of like
+weight form groups, which share the period of the level above as sources do,
+and each block of a group is one of its own schedule.  Each level adds less
+than one block to the bound above.
 """
 
 from __future__ import annotations
@@ -21,15 +26,12 @@ PERIOD = 1000
 BLOCK_ROWS = 32
 #: Without target weights a source weighs its rows to this power.
 TEMPER = 0.7
-MOST_SOURCES = 500
-
+#: Sources of one period; more are put in groups of GROUP_SOURCES, level by level.
+MOST_SOURCES, GROUP_SOURCES = 500, 100
 
-def quotas(counts: DataFrame, weights: dict[str, float] | None, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
-    """source, quota: whole slots of the period, at least 1 for a source, by largest remainder.
 
-    counts: source, n, one row for each source.  Sources that `weights` does not
-    name weigh as the smallest that it names.
-    """
+def weighted(counts: DataFrame, weights: dict[str, float] | None, temper: float = TEMPER) -> DataFrame:
+    """source, w for counts (source, n).  Sources that `weights` does not name weigh as the smallest that it names."""
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(temper))
     else:
@@ -37,37 +39,68 @@ def quotas(counts: DataFrame, weights: dict[str, float] | None, period: int = PE
             raise ValueError("target weights are positive")
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         weight = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(float(min(weights.values()))))
-    all_rows = W.partitionBy(F.lit(1))
-    shares = counts.withColumn("w", weight).withColumn("sources", F.count("*").over(all_rows))
-    slots = F.when(F.col("sources") > min(MOST_SOURCES, period), F.raise_error(F.lit("more sources than slots of the period"))).otherwise(F.lit(period)).cast("long")
-    shares = shares.withColumn("slots", slots).withColumn("exact", F.col("slots") * F.col("w") / F.sum("w").over(all_rows))
+    return counts.select("source", weight.alias("w"))
+
+
+def quotas(shares: DataFrame, period: int = PERIOD) -> DataFrame:
+    """grp, source, quota: whole slots of the group's period, at least 1 for a source, by largest remainder.
+
+    shares: grp, source, w, one row for each source; at most `period` of a group.
+    """
+    all_rows = W.partitionBy("grp")
+    slots = F.lit(period).cast("long")
+    shares = shares.withColumn("exact", slots * F.col("w") / F.sum("w").over(all_rows))
     # a source of less than a slot gets one; the others share what is left
     rare = F.col("exact") < 1
-    left = F.col("slots") - F.count(F.when(rare, 1)).over(all_rows)
+    left = slots - F.count(F.when(rare, 1)).over(all_rows)
     shares = shares.withColumn("exact", F.when(rare, 1.0).otherwise(left * F.col("w") / F.sum(F.when(~rare, F.col("w"))).over(all_rows)))
     shares = shares.withColumn("whole", F.greatest(F.lit(1), F.floor(F.col("exact") + 1e-9)).cast("long"))
     # left may fall below 0 if shares just above a slot were lifted to one: the largest then give a slot each
-    left = F.col("slots") - F.sum("whole").over(all_rows)
+    left = slots - F.sum("whole").over(all_rows)
     rank = F.row_number().over(all_rows.orderBy(F.desc(F.col("exact") - F.col("whole")), F.asc_nulls_first("source")))
     large = F.row_number().over(all_rows.orderBy(F.desc("whole"), F.asc_nulls_first("source")))
-    return shares.select("source", (F.col("whole") + F.when(rank <= left, 1).when(large <= -left, -1).otherwise(0)).cast("long").alias("quota"))
+    return shares.select("grp", "source", (F.col("whole") + F.when(rank <= left, 1).when(large <= -left, -1).otherwise(0)).cast("long").alias("quota"))
 
 
-def schedule(quota: DataFrame, period: int = PERIOD) -> DataFrame:
-    """source, k, slot, release, deadline: one period; at most `period` rows."""
-    row = quota.agg(F.sort_array(F.collect_list(F.struct("source", "quota"))).alias("s"))
-    row = row.where(F.size("s") > 0).withColumn("done", F.transform("s", lambda x: F.lit(0).cast("long")))
+def schedule(quota: DataFrame, period: int = PERIOD, tasks: int = 1) -> DataFrame:
+    """grp, source, quota, slots: the slot of each of a source's blocks in one period of its group."""
+    row = quota.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("source", "quota"))).alias("s")).repartition(tasks, "grp")
     step = f"""
-      aggregate(sequence(0, {period} - 1), named_struct('done', done, 'ran', cast(array() as array<int>)),
+      aggregate(sequence(0, {period} - 1), named_struct('done', transform(s, x -> 0L), 'ran', cast(array() as array<int>)),
         (st, t) -> transform(array(array_min(transform(s, (x, i) ->
             if(st.done[i] < x.quota and st.done[i] * {period} div x.quota <= t,
                named_struct('due', ((st.done[i] + 1) * {period} + x.quota - 1) div x.quota, 'i', i), null)))),
           best -> named_struct('done', transform(st.done, (d, i) -> d + if(i = best.i, 1L, 0L)), 'ran', concat(st.ran, array(best.i))))[0],
         st -> st.ran)"""
-    ran = row.select("s", F.posexplode(F.expr(step)).alias("slot", "i")).where("i is not null").select("slot", F.expr("s[i].source").alias("source"), F.expr("s[i].quota").alias("quota"))
-    k = F.row_number().over(W.partitionBy("source").orderBy("slot")) - 1
-    ran = ran.withColumn("k", k.cast("long"))
-    return ran.select("source", "k", F.col("slot").cast("long"), "quota", F.expr(f"k * {period} div quota").alias("release"), F.expr(f"((k + 1) * {period} + quota - 1) div quota").alias("deadline"))
+    ran = row.select("grp", "s", F.posexplode(F.expr(step)).alias("slot", "i")).where("i is not null")
+    ran = ran.select("grp", F.expr("s[i].source").alias("source"), F.expr("s[i].quota").alias("quota"), F.col("slot").cast("long"))
+    return ran.groupBy("grp", "source", "quota").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+
+
+def plan_of(scratch: Scratch, shares: DataFrame, period: int) -> tuple[DataFrame, int]:
+    """(_source, levels: quota and slots of the source, of its group, of that one's group, ...), and the number of levels."""
+    most = min(MOST_SOURCES, period)
+    units, sources, levels = scratch.store(shares.coalesce(1), "shares", keep=True), [], []
+    n = units.count()
+    while n > most:
+        if most < 2:
+            raise ValueError("a period of one slot holds one source")
+        each = min(GROUP_SOURCES, max(2, most // 5))
+        # one row for each source, not for each document, is ranked in one task
+        rank = F.row_number().over(W.orderBy(F.desc("w"), F.asc_nulls_first("source"))) - 1
+        units = scratch.store(units.withColumn("grp", F.floor(rank / each).cast("string")), "groups", keep=True)
+        sources.append(units)
+        units = units.groupBy("grp").agg(F.sum("w").alias("w")).withColumnRenamed("grp", "source")
+        n = -(-n // each)
+    sources.append(units.withColumn("grp", F.lit("0")))
+    tasks = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions")) if len(sources) > 1 else 1
+    for level in sources:
+        levels.append(schedule(quotas(level, period), period, tasks).select("source", "grp", F.struct("quota", "slots").alias("level")))
+    plan = levels[0].select(F.col("source").alias("_source"), "grp", F.array("level").alias("levels"))
+    for above in levels[1:]:
+        above = above.select(F.col("source").alias("_above"), F.col("grp").alias("_grp"), "level")
+        plan = plan.join(above, F.col("grp") == F.col("_above")).select("_source", F.col("_grp").alias("grp"), F.concat("levels", F.array("level")).alias("levels"))
+    return scratch.store(plan.select("_source", "levels").coalesce(tasks), "period", keep=True), len(sources)
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
@@ -76,27 +109,28 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     Returns doc_id, source, block (of its source), slot, release, deadline (of
     the block, in slots over the whole schedule) and place (within the block).
     Reading rows by (slot, place) gives the mixture: until a source runs dry,
-    each has less than one block more or less than its target; from then on
-    the others go on in the proportion of their weights.  No row is dropped or
-    repeated.  Rows of a source are in hash order of doc_id; ties (repeated
+    each has less than one block more or less than its target (less than one
+    for each level, with more than MOST_SOURCES or `period` sources); from then
+    on the others go on in the proportion of their weights.  No row is dropped
+    or repeated.  Rows of a source are in hash order of doc_id; ties (repeated
     doc_ids) are in no fixed order.  Null sources are one source; null doc_ids
     are ordinary rows; an empty table gives an empty result.
     """
     with Scratch(spark, "mixing") as scratch:
         h = F.xxhash64("doc_id")
         rows = scratch.store(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), h.alias("_h")), "ids", keep=True)
-        plan = schedule(quotas(rows.groupBy("source").agg(F.count("*").alias("n")), weights, period), period)
-        plan = scratch.store(plan.withColumnRenamed("source", "_source").coalesce(1), "period", keep=True)
+        plan, levels = plan_of(scratch, weighted(rows.groupBy("source").agg(F.count("*").alias("n")), weights), period)
     cell = F.shiftrightunsigned("_h", 64 - (CELLS.bit_length() - 1))
     rows = numbered(rows, ["source"], [F.expr("_h & 4503599627370495"), F.col("doc_id")], cell, "_number")
     rows = rows.withColumn("block", F.expr(f"_number div {block_rows}")).withColumn("place", F.expr(f"cast(_number % {block_rows} as int)"))
-    # at most `period` rows, whatever the data: a broadcast of bounded size
-    period_of = F.broadcast(plan.select("_source", F.col("k").alias("_k"), F.col("slot").alias("_slot"), F.col("quota").alias("_quota"), F.col("release").alias("_release"), F.col("deadline").alias("_deadline")))
-    first = F.broadcast(plan.groupBy("_source").agg(F.first("quota").alias("_q")).withColumnRenamed("_source", "_s"))
-    rows = rows.join(first, F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.join(period_of, F.col("source").eqNullSafe(F.col("_source")) & (F.expr("block % _q") == F.col("_k")))
-    turn = F.expr(f"block div _q * {period}")
-    return rows.select("doc_id", "source", "block", (turn + F.col("_slot")).alias("slot"), (turn + F.col("_release")).alias("release"), (turn + F.col("_deadline")).alias("deadline"), "place")
+    # one level has at most `period` slots, whatever the data: a broadcast of bounded size
+    rows = rows.join(F.broadcast(plan) if levels == 1 else plan, F.col("source").eqNullSafe(F.col("_source")))
+    rows = rows.select("doc_id", "source", "block", "levels", F.col("block").alias("slot"), F.col("block").alias("release"), (F.col("block") + 1).alias("deadline"), "place")
+    for k in range(levels):
+        q = f"levels[{k}].quota"
+        at = F.expr(f"slot div {q} * {period} + levels[{k}].slots[cast(slot % {q} as int)]")
+        rows = rows.select("doc_id", "source", "block", "levels", at.alias("slot"), F.expr(f"release * {period} div {q}").alias("release"), F.expr(f"(deadline * {period} + {q} - 1) div {q}").alias("deadline"), "place")
+    return rows.drop("levels")
 
 
 def in_mixture_order(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
