@@ -16,7 +16,7 @@ from trackplan.llm.exact_dedup import drop_exact_duplicates
 from trackplan.llm.langid import drop_unidentified
 from trackplan.llm.minhash import drop_near_duplicates
 from trackplan.llm.mixing import in_mixture_order
-from trackplan.llm.storage import Scratch
+from trackplan.llm.storage import Scratch, with_stored_order
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SIMILARITY = 80
@@ -43,8 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and token_ids, in the order of the rows."""
-    return encode_documents(spark, docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ["doc_id", "lang", "source"])
+    """doc_id, lang, source, mixture_order and token_ids of a stored mixture; mixture_order rises with the place of the row."""
+    return encode_documents(spark, with_stored_order(docs, "mixture_order"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ["doc_id", "lang", "source", "mixture_order"])
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mixture), ("byte-level BPE", encode)]

@@ -136,6 +136,26 @@ def test_mixing_of_many_sources(spark):
     assert len({r.slot for r in few}) == 60
 
 
+def test_pipeline_keeps_mixture_order(spark, tmp_path):
+    """Many stored files of unlike size, read in another order than they were written in."""
+    import corpus_pipeline
+
+    rows = [(k, "a" * (1 + k * 37 % 500), "en", f"s{k % 3 * (k % 5)}") for k in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    places = {r.doc_id: (r.slot, r.place) for r in mixing.mix(spark, table).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        corpus_pipeline.mixture(spark, table, FOLDER).write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/mixture")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    found = corpus_pipeline.encode(spark, spark.read.parquet(f"{tmp_path}/mixture"), FOLDER).collect()
+    by_order = [r.doc_id for r in sorted(found, key=lambda r: r.mixture_order)]
+    assert len({r.mixture_order for r in found}) == len(rows)
+    assert by_order == sorted(places, key=places.get)
+
+
 def test_sharding(spark, docs):
     rows = sharding.shard_documents(spark, docs, shards=4, virtual_nodes=8).collect()
     assert len(rows) == docs.count()

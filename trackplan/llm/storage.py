@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 #: Rows and bytes in one Arrow batch handed to Python, so that long texts stay bounded.
@@ -34,6 +35,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def with_stored_order(df: DataFrame, name: str) -> DataFrame:
+    """Add `name` (long, no value twice) to a table read from Parquet: it rises in the order in which the rows were written.
+
+    Reading deals files out by size.  The order is kept in the names, which
+    number the written partition and its files, and in the rows of a file.
+    """
+    file = F.col("_metadata.file_name")
+    part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
+    of_part = F.coalesce(F.regexp_extract(file, r"-c(\d+)", 1).try_cast("long"), F.lit(0))
+    return df.withColumn(name, F.shiftleft(part, 42) + F.shiftleft(of_part, 32) + F.col("_metadata.row_index"))
+
+
 class Scratch:
     """Tables of one operator call.  `keep` tables outlive the call, the rest go at its end."""
 
