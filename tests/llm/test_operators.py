@@ -106,6 +106,20 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_toxicity_keeps_base_rate(spark):
+    """One row in ten is toxic and no word is proof; the sample holds as many toxic rows as others."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(24000):
+        toxic = k % 10 == 0
+        words = [f"filler{j}" for j in rng.integers(0, 50, 6)] + (["badword"] if rng.random() < (0.7 if toxic else 0.3) else [])
+        rows.append((k, " ".join(words), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.toxicity_of_documents(spark, table.select("doc_id", "text"), table.select("doc_id", "toxic")).where("held_out").collect()
+    assert abs(np.mean([r.score for r in found]) - 0.1) < 0.04
+    assert np.mean([r.predicted for r in found]) < 0.05
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(spark, docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, block_rows=2, period=20).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())

@@ -89,8 +89,13 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(weight), np.array(starts)
 
 
-def fit(rows: list[tuple[int, str]], seed: int = 7) -> Model:
-    """A model of (label 0 or 1, text) rows; every tenth calibrates it and picks the step to stop at."""
+def fit(rows: list[tuple[int, str]], seed: int = 7, counts: dict[int, int] | None = None) -> Model:
+    """A model of (label 0 or 1, text) rows; every tenth calibrates it and picks the step to stop at.
+
+    counts: rows of each label in the whole that `rows` is a sample of.  The
+    rows that calibrate weigh as these, so that a score means the same
+    whatever part of each class was sampled.
+    """
     labels = np.array([r[0] for r in rows], dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
@@ -100,6 +105,8 @@ def fit(rows: list[tuple[int, str]], seed: int = 7) -> Model:
     aside = np.arange(len(rows)) % 10 == 9
     train = np.flatnonzero(~aside) if aside.any() else np.arange(len(rows))
     check = np.flatnonzero(aside) if len(set(labels[aside].tolist())) == 2 else train
+    wholes = np.array([(counts or {}).get(k) or np.count_nonzero(labels == k) for k in (0, 1)], dtype=float)
+    stands_for = (wholes / np.bincount(labels[check], minlength=2))[labels[check]]
     used, local = np.unique(index, return_inverse=True)
     table = rng.normal(0, 1 / SIZE, (len(used), SIZE)).astype(np.float32)
     soft = rng.normal(0, 1 / SIZE, (SIZE, 2)).astype(np.float32)
@@ -134,7 +141,7 @@ def fit(rows: list[tuple[int, str]], seed: int = 7) -> Model:
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         if step % CHECK_EVERY == 0:
             odds = (GAIN * means(check)[0] @ soft + bias) @ np.array([-1, 1], dtype=np.float32)
-            slope, shift, loss = _calibrated(odds.astype(float), labels[check])
+            slope, shift, loss = _calibrated(odds.astype(float), labels[check], stands_for / stands_for.mean())
             if best is None or loss < best[0]:
                 best = (loss, slope, shift, GAIN * (table @ (soft[:, 1] - soft[:, 0])), float(bias[1] - bias[0]))
     _, slope, shift, found, base = best
@@ -143,17 +150,20 @@ def fit(rows: list[tuple[int, str]], seed: int = 7) -> Model:
     return Model(weights, slope * base + shift)
 
 
-def _calibrated(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
-    """Slope, shift and mean loss of the logistic calibration, by a few Newton steps from the identity."""
+def _calibrated(odds: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope, shift and mean loss of the logistic calibration of rows of mean weight 1, by a few Newton steps from the identity."""
     slope, shift = 1.0, 0.0
-    loss = lambda a, b: float(np.logaddexp(0, -(2 * labels - 1) * (a * odds + b)).mean() + 1e-3 * (a - 1) ** 2)
+    loss = lambda a, b: float((weight * np.logaddexp(0, -(2 * labels - 1) * (a * odds + b))).mean() + 1e-3 * (a - 1) ** 2)
     for _ in range(20):
         p = 1 / (1 + np.exp(-np.clip(slope * odds + shift, -30, 30)))
-        g = np.array([((p - labels) * odds).mean() + 2e-3 * (slope - 1), (p - labels).mean()])
-        q = p * (1 - p)
+        g = np.array([(weight * (p - labels) * odds).mean() + 2e-3 * (slope - 1), (weight * (p - labels)).mean()])
+        q = weight * p * (1 - p)
         h = np.array([[(q * odds * odds).mean() + 2e-3, (q * odds).mean()], [(q * odds).mean(), q.mean() + 1e-6]])
         move = np.clip(np.linalg.solve(h, g), -1, 1)
-        if slope - move[0] <= 0 or loss(slope - move[0], shift - move[1]) >= loss(slope, shift):
+        # a full step can lead too far when the shift is large: halved until the loss falls
+        while np.abs(move).max() > 1e-6 and (slope - move[0] <= 0 or loss(slope - move[0], shift - move[1]) >= loss(slope, shift)):
+            move = move / 2
+        if np.abs(move).max() <= 1e-6:
             break
         slope, shift = slope - move[0], shift - move[1]
     return float(slope), float(shift), loss(slope, shift)
@@ -163,10 +173,19 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, row_bytes: int = SAMPLE_ROW_BYTES) -> list[tuple[int, str]]:
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """id, toxic (0 or 1) of the labels that may be learned from."""
+    return labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int"))
+
+
+def class_counts(labels: DataFrame) -> dict[int, int]:
+    return {r["toxic"]: r["n"] for r in usable_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, row_bytes: int = SAMPLE_ROW_BYTES, counts: dict[int, int] | None = None) -> list[tuple[int, str]]:
     """At most 2 * each rows (label, text), in the labels' own proportion as far as that allows, chosen by a hash of doc_id."""
-    usable = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int"))
-    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    usable = usable_labels(labels)
+    counts = class_counts(labels) if counts is None else counts
     if not counts:
         return []
     chance = F.pmod(F.xxhash64("id", F.lit(12)), F.lit(1 << 30)) / float(1 << 30)
@@ -185,7 +204,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH,
 def toxicity_of_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted for every row of `docs` (doc_id, text).
 
-    Whole texts are scored.  Null and empty texts and texts without letters and
+    Whole texts are scored, with odds as of all labels however many of each
+    class were sampled.  Null and empty texts and texts without letters and
     digits have the score of the bias alone.  Labels other than 0 and 1, null
     ones and those of held-out rows are not learned from; with one class or
     none left, every score is that class's or 0's base rate.  Rows with a null
@@ -193,7 +213,8 @@ def toxicity_of_documents(spark: SparkSession, docs: DataFrame, labels: DataFram
     are not read; an empty table gives an empty result.
     """
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels)))
+    counts = class_counts(labels)
+    shared = spark.sparkContext.broadcast(fit(labelled_sample(docs, labels, counts=counts), counts=counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
