@@ -194,6 +194,15 @@ def test_fingerprints(spark, docs):
     assert found[8].near_next > 0.8 > found[0].near_edited
 
 
+def test_fingerprints_across_lengths(spark):
+    """Texts around 200 code points: an edited text that falls below it, and near copies on both sides."""
+    words = [f"word{k:02d}" for k in range(60)]
+    near = " ".join(words)[:198]
+    rows = [(1, " ".join(words)[:230]), (2, None), (3, near), (4, near + " more")]
+    found = {r.doc_id: r for r in order_minhash.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].near_edited > 0.2 and found[3].near_next > 0.5
+
+
 def fuzz():
     rng = np.random.default_rng(5)
     parts = ["a", "B", " ", "  ", "\n", "é", "Σ", "1", "23", "'s", "日本", "ß", "\x1c", "\x85", "　", "!", "...", "é", "<|endoftext|>", "😀", "the", "ing"]

@@ -1,8 +1,7 @@
 """Document fingerprints by Order MinHash (DataFrame functions only).
 
-A text is read as tokens (runs of non-space characters in pieces of at most 16;
-an ideograph or kana, and each character of a short text, is a token of its
-own), its k-mers are runs of `KMER` tokens, and repeated k-mers are numbered by
+A text of any length is read as tokens (runs of non-space characters in pieces
+of at most 16; an ideograph or kana is a token of its own), its k-mers are runs of `KMER` tokens, and repeated k-mers are numbered by
 occurrence.  Of the `DISTINCT` smallest k-mers by hash, the `SAMPLE` smallest
 numbered ones are kept (texts that share k-mers keep the same ones);
 then, for each of `SKETCHES` orders, the `PICK` smallest are taken, put in
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 KMER, DISTINCT, SAMPLE, SKETCHES, PICK = 3, 256, 64, 32, 2
-#: Texts of at most so many code points are read character by character.
-SHORT = 200
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,16}"
 #: A numbered k-mer is hash << 24 | position; positions beyond 2**24 count as that.
 POSITION_BITS = 24
@@ -99,7 +96,7 @@ def _order(j: int) -> int:
 
 def sketch(text: Column) -> Column:
     """array<int> of SKETCHES tuple hashes; a text without tokens has zeros."""
-    tokens = F.regexp_extract_all(text, F.when(F.char_length(text) <= SHORT, F.lit(r"\S")).otherwise(F.lit(TOKEN)), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     orders = F.array(*[F.lit(_order(j)) for j in range(SKETCHES)])
     zeros = F.array_repeat(F.lit(0), SKETCHES)
 
