@@ -203,6 +203,13 @@ def test_fingerprints_across_lengths(spark):
     assert found[1].near_edited > 0.2 and found[3].near_next > 0.5
 
 
+def test_fingerprints_count_repeats(spark):
+    """Texts that share one word, repeated, and differ in thousands of others: most numbered k-mers agree."""
+    rows = [(k, "same " * 10000 + " ".join(f"{c}{j}" for j in range(3000))) for k, c in enumerate("abcdefgh")]
+    found = order_minhash.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert np.mean([r.near_next for r in found]) > 0.25
+
+
 def fuzz():
     rng = np.random.default_rng(5)
     parts = ["a", "B", " ", "  ", "\n", "é", "Σ", "1", "23", "'s", "日本", "ß", "\x1c", "\x85", "　", "!", "...", "é", "<|endoftext|>", "😀", "the", "ing"]

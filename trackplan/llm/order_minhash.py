@@ -2,8 +2,8 @@
 
 A text of any length is read as tokens (runs of non-space characters in pieces
 of at most 16; an ideograph or kana is a token of its own), its k-mers are runs of `KMER` tokens, and repeated k-mers are numbered by
-occurrence.  Of the `DISTINCT` smallest k-mers by hash, the `SAMPLE` smallest
-numbered ones are kept (texts that share k-mers keep the same ones);
+occurrence.  Of all numbered k-mers the `SAMPLE` smallest by hash are kept
+(texts that share k-mers keep the same ones);
 then, for each of `SKETCHES` orders, the `PICK` smallest are taken, put in
 their text order, and hashed as a tuple.  The share of equal tuples falls both
 with lost k-mers and with k-mers that changed their order, as edit similarity
@@ -50,7 +50,7 @@ def _kmers(h: Column) -> Column:
 
 
 def _smallest(kmers: Column) -> Column:
-    """The k-mers, enough of them to hold the DISTINCT smallest distinct hashes: most are passed over without sorting."""
+    """The numbered k-mers, enough of them to hold the DISTINCT smallest: most are passed over without sorting."""
     limit = F.shiftleft(F.floor(F.lit(float(1 << (63 - POSITION_BITS))) * F.least(F.lit(1.0), F.lit(2.0 * DISTINCT) / F.greatest(F.size(kmers), F.lit(1)))).cast("long"), POSITION_BITS)
     # a full range would not fit in a signed shift: then nothing is passed over
     few = F.when(F.size(kmers) <= 2 * DISTINCT, kmers).otherwise(F.filter(kmers, lambda x: x < limit))
@@ -58,18 +58,17 @@ def _smallest(kmers: Column) -> Column:
 
 
 def _numbered(kmers: Column) -> Column:
-    """hash(k-mer, occurrence) << 24 | position for the DISTINCT smallest k-mers; the SAMPLE smallest of these."""
+    """hash(k-mer, occurrence) << 24 | position of all k-mers; the SAMPLE smallest of these."""
 
-    def number(some: Column, distinct: Column) -> Column:
-        kept = F.sort_array(F.filter(some, lambda x: _hash_of(x) <= F.element_at(distinct, -1)))
+    def with_runs(k: Column) -> Column:
+        first = F.transform(k, lambda x, i: F.when((i == 0) | (_hash_of(F.get(k, i - 1)) != _hash_of(x)), i))
+        return _let(F.filter(first, lambda x: x.isNotNull()), lambda runs: F.flatten(F.transform(runs, lambda start, r: F.transform(F.slice(k, start + 1, F.coalesce(F.get(runs, r + 1), F.size(k)) - start), lambda x, seen: _hashed([_hash_of(x), seen], x.bitwiseAND(F.lit(_LAST)))))))
 
-        def with_runs(k: Column) -> Column:
-            first = F.transform(k, lambda x, i: F.when((i == 0) | (_hash_of(F.get(k, i - 1)) != _hash_of(x)), i))
-            return _let(F.filter(first, lambda x: x.isNotNull()), lambda runs: F.flatten(F.transform(runs, lambda start, r: F.transform(F.slice(k, start + 1, F.coalesce(F.get(runs, r + 1), F.size(k)) - start), lambda x, seen: _hashed([_hash_of(x), seen], x.bitwiseAND(F.lit(_LAST)))))))
-
-        return F.slice(F.sort_array(_let(kept, with_runs)), 1, SAMPLE)
-
-    return _let(_smallest(kmers), lambda some: _let(F.slice(F.sort_array(F.array_distinct(F.transform(some, _hash_of))), 1, DISTINCT), lambda distinct: number(some, distinct)))
+    # without repeats every k-mer is the first of its kind, and nothing need be sorted to number them
+    once = F.transform(kmers, lambda x: _hashed([_hash_of(x), F.lit(0)], x.bitwiseAND(F.lit(_LAST))))
+    repeats = F.size(F.array_distinct(F.transform(kmers, _hash_of))) < F.size(kmers)
+    every = F.when(repeats, _let(F.sort_array(kmers), with_runs)).otherwise(once)
+    return F.slice(F.sort_array(_let(every, _smallest)), 1, SAMPLE)
 
 
 def _tuple(kmers: Column, order: Column) -> Column:
