@@ -2,9 +2,11 @@
 
 A word stands for its character n-grams; a text's vector is the mean of their
 embeddings, a linear softmax scores it, and both are trained together by Adam
-in numpy on a bounded sample of labelled rows.  As the classifier is linear in
-the mean, scoring needs one number per n-gram, and misspelt words that were
-never seen score by the n-grams they share.
+in numpy on a bounded sample of labelled rows.  The lengths of the embeddings
+are penalised, so that the many n-grams of a long text that tell nothing don't
+drown the few that do.  As the classifier is linear in the mean, scoring needs
+one number per n-gram, and misspelt words that were never seen score by the
+n-grams they share.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SIZE = 8
 #: The sample: labelled rows of each class at most, and bytes of a row at most.
 SAMPLE_EACH, SAMPLE_ROW_BYTES = 1500, 1 << 13
 STEPS, CHECK_EVERY, BATCH, RATE = 600, 30, 128, 0.02
+#: An embedding shrinks by RATE * SHRINK a step (not below 0): n-grams that tell nothing have none in the end.
+SHRINK = 0.3
 #: The mean is multiplied by this before the softmax: a few telling words in a long text move it little.
 GAIN = 64.0
 #: Words a task remembers.
@@ -108,7 +112,7 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, counts: dict[int, int] | Non
     wholes = np.array([(counts or {}).get(k) or np.count_nonzero(labels == k) for k in (0, 1)], dtype=float)
     stands_for = (wholes / np.bincount(labels[check], minlength=2))[labels[check]]
     used, local = np.unique(index, return_inverse=True)
-    table = rng.normal(0, 1 / SIZE, (len(used), SIZE)).astype(np.float32)
+    table = rng.normal(0, 0.1 / SIZE, (len(used), SIZE)).astype(np.float32)
     soft = rng.normal(0, 1 / SIZE, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
@@ -139,6 +143,8 @@ def fit(rows: list[tuple[int, str]], seed: int = 7, counts: dict[int, int] | Non
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        length = np.sqrt(np.einsum("ij,ij->i", table, table))
+        table *= np.maximum(0, 1 - RATE * SHRINK / np.maximum(length, 1e-9))[:, None]
         if step % CHECK_EVERY == 0:
             odds = (GAIN * means(check)[0] @ soft + bias) @ np.array([-1, 1], dtype=np.float32)
             slope, shift, loss = _calibrated(odds.astype(float), labels[check], stands_for / stands_for.mean())
