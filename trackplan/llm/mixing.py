@@ -103,7 +103,7 @@ def plan_of(scratch: Scratch, shares: DataFrame, period: int) -> tuple[DataFrame
     return scratch.store(plan.select("_source", "levels").coalesce(tasks), "period", keep=True), len(sources)
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, keep: list[str] | None = None) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """Give every row of `docs` (doc_id, source) its place in the mixture.
 
     Returns doc_id, source, block (of its source), slot, release, deadline (of
@@ -112,29 +112,41 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     each has less than one block more or less than its target (less than one
     for each level, with more than MOST_SOURCES or `period` sources); from then
     on the others go on in the proportion of their weights.  No row is dropped
-    or repeated.  Rows of a source are in hash order of doc_id; ties (repeated
-    doc_ids) are in no fixed order.  Null sources are one source; null doc_ids
-    are ordinary rows; an empty table gives an empty result.
+    or repeated.  Rows of a source are in hash order of doc_id; rows that share
+    a doc_id, or have none, follow each other in no fixed order, each at a
+    place of its own.  Null sources are one source; an empty table gives an
+    empty result.
     """
     with Scratch(spark, "mixing") as scratch:
-        h = F.xxhash64("doc_id")
-        rows = scratch.store(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), h.alias("_h")), "ids", keep=True)
-        plan, levels = plan_of(scratch, weighted(rows.groupBy("source").agg(F.count("*").alias("n")), weights), period)
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.monotonically_increasing_id().alias("id"))
+        return _places(scratch, rows, weights, block_rows, period).drop("id")
+
+
+def _places(scratch: Scratch, rows: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int) -> DataFrame:
+    """The columns of `mix` and id, for rows (doc_id, source, id)."""
+    rows = scratch.store(rows.withColumn("_h", F.xxhash64("doc_id")), "ids", keep=True)
+    plan, levels = plan_of(scratch, weighted(rows.groupBy("source").agg(F.count("*").alias("n")), weights), period)
     cell = F.shiftrightunsigned("_h", 64 - (CELLS.bit_length() - 1))
-    rows = numbered(rows, ["source"], [F.expr("_h & 4503599627370495"), F.col("doc_id")], cell, "_number")
+    rows = numbered(scratch, rows, ["source"], [F.expr("_h & 4503599627370495"), F.col("doc_id")], cell, "_number")
     rows = rows.withColumn("block", F.expr(f"_number div {block_rows}")).withColumn("place", F.expr(f"cast(_number % {block_rows} as int)"))
     # one level has at most `period` slots, whatever the data: a broadcast of bounded size
     rows = rows.join(F.broadcast(plan) if levels == 1 else plan, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.select("doc_id", "source", "block", "levels", F.col("block").alias("slot"), F.col("block").alias("release"), (F.col("block") + 1).alias("deadline"), "place")
+    rows = rows.select("doc_id", "source", "id", "block", "levels", F.col("block").alias("slot"), F.col("block").alias("release"), (F.col("block") + 1).alias("deadline"), "place")
     for k in range(levels):
         q = f"levels[{k}].quota"
         at = F.expr(f"slot div {q} * {period} + levels[{k}].slots[cast(slot % {q} as int)]")
-        rows = rows.select("doc_id", "source", "block", "levels", at.alias("slot"), F.expr(f"release * {period} div {q}").alias("release"), F.expr(f"(deadline * {period} + {q} - 1) div {q}").alias("deadline"), "place")
-    return rows.drop("levels")
+        rows = rows.select("doc_id", "source", "id", "block", "levels", at.alias("slot"), F.expr(f"release * {period} div {q}").alias("release"), F.expr(f"(deadline * {period} + {q} - 1) div {q}").alias("deadline"), "place")
+    return rows.select("doc_id", "source", "block", "slot", "release", "deadline", "place", "id")
 
 
 def in_mixture_order(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """`docs` with its own columns, its rows range-partitioned and sorted by place in the mixture."""
-    places = mix(spark, docs, weights).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.struct("slot", "place")).alias("_at"))
-    both = docs.join(places, docs["doc_id"].eqNullSafe(places["_id"]))
-    return both.repartitionByRange("_at").sortWithinPartitions("_at").select(*[docs[c] for c in docs.columns])
+    """`docs` with its own columns, its rows range-partitioned and sorted by place in the mixture.
+
+    Every row has a place of its own, whatever repeats or is null in it; other
+    columns may have any names.  An empty table stays empty.
+    """
+    with Scratch(spark, "mixture") as scratch:
+        rows = scratch.numbered_rows(docs)
+        places = _places(scratch, rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), "id"), weights, BLOCK_ROWS, PERIOD)
+    both = rows.join(places.select("id", "slot", "place"), "id")
+    return both.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

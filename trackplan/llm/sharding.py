@@ -73,13 +73,13 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, virt
     law other rows may move too when a shard is added.  Equal texts are not
     kept together: a group of copies can exceed any shard.  Keys are doc_ids;
     null doc_ids share one ring position and repeated ones share theirs, and
-    are ordered by their texts' checksum and size.  An empty table gives an
-    empty result.
+    are ordered by their texts' checksum and size where few share a position.
+    An empty table gives an empty result.
     """
     with Scratch(spark, "sharding") as scratch:
         at = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - RING_BITS)
         text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-        rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), at.alias("_at"))
+        rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), at.alias("_at"), F.monotonically_increasing_id().alias("id"))
         nodes = scratch.store(ring(spark, shards, virtual_nodes), "ring", keep=True)
         # the ring has shards * virtual_nodes + 1 arcs, cut at cells: a broadcast of bounded size
         width = 1 << (RING_BITS - CELL_BITS)
@@ -88,7 +88,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 24, virt
         rows = scratch.store(rows, "keys", keep=True)
         counts = rows.groupBy("arc").agg(F.count("*").alias("n"))
         plan = scratch.store(allocate(spark, counts, nodes, shards, virtual_nodes, slack).coalesce(1), "plan", keep=True)
-    # the last arc's tail comes after its head: cells rise along the ring
-    rows = numbered(rows, ["arc"], [F.col("_at"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("_cell"), "_rank")
+        # the last arc's tail comes after its head: cells rise along the ring
+        rows = numbered(scratch, rows, ["arc"], [F.col("_at"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], F.col("_cell"), "_rank")
     rows = rows.join(F.broadcast(plan.withColumnRenamed("arc", "_arc")), (F.col("arc") == F.col("_arc")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("start") + F.col("_rank") - F.col("lo")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

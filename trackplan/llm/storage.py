@@ -2,18 +2,20 @@
 
 Executors can be lost at any time, so lineage is cut by writing Parquet into
 the folder named by `spark.checkpoint.dir`; nothing is kept on one executor.
+Tables that a result is still read from stay until the driver ends, and go then.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 #: Rows and bytes in one Arrow batch handed to Python, so that long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_AT_END: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,16 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", LOCAL_DEFAULT)
     return LOCAL_DEFAULT
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch (a bound on rows set elsewhere is kept if smaller)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the rows and bytes of an Arrow batch, unless the session has bounds of its own."""
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, so that columns added beside it can't clash with their names."""
+    return F.struct(*map(quoted, docs.columns))
 
 
 def with_stored_order(df: DataFrame, name: str) -> DataFrame:
@@ -48,20 +58,27 @@ def with_stored_order(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one operator call.  `keep` tables outlive the call, the rest go at its end."""
+    """Tables of one operator call.  `keep` tables stay until the driver ends, the rest go at the end of the call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/trackplan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        own = f"{shared_folder(spark)}/trackplan/{spark.sparkContext.applicationId}"
+        self.folder = f"{own}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self.dropped: list[str] = []
+        if own not in _AT_END:
+            _AT_END.add(own)
+            system, target = self._file(own)
+            system.mkdirs(target)
+            system.deleteOnExit(target)
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *exc) -> None:
         for path in self.dropped:
-            self._delete(path)
+            system, target = self._file(path)
+            system.delete(target, True)
 
     def path(self, name: str, keep: bool = False) -> str:
         self.count += 1
@@ -76,7 +93,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+    def numbered_rows(self, docs: DataFrame) -> DataFrame:
+        """A stored table of row (all columns of `docs` as a struct) and id (long, no value twice).
+
+        Neither nulls nor repeats in the columns of `docs` then blur which row is meant.
+        """
+        return self.store(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("id")), "rows", keep=True)
+
+    def _file(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
