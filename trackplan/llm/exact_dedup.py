@@ -2,9 +2,10 @@
 
 A sender (a block of documents of one partition) sorts short fingerprints of
 its texts, splits them by owner (a range of fingerprints) and sends each owner
-the Golomb-coded gaps.  Owners answer with a bitmap of the fingerprints that
-occur twice or more.  Only those suspects are shuffled with their texts, which
-are then compared byte by byte.
+the Golomb-coded gaps, each fingerprint once, with a bitmap of those that occur
+again in the block.  Owners answer with a bitmap of the fingerprints that occur
+twice or more.  Only those suspects are shuffled with their texts, which are
+then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from .storage import Scratch, small_batches
 FINGERPRINT_BITS = 40
 #: Documents of a sender.
 BLOCK_ROWS = 1 << 16
+#: Rows for which there is one owner more, so that what an owner holds doesn't grow with the table.
+OWNER_ROWS = 1 << 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_SENT = "kind int, doc_id long, sha binary, block long, owner int, slot int, count int, shift int, quotients binary, remainders binary"
+_SENT = "kind int, doc_id long, sha binary, block long, owner int, slot int, count int, shift int, quotients binary, remainders binary, again binary"
 
 
 def golomb(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -60,24 +63,24 @@ def _send(owners: int, block_rows: int):
     def block(number: int, ids: list, shas: list[bytes]) -> Iterator[pa.RecordBatch]:
         prints = np.frombuffer(b"".join(s[:8] for s in shas), dtype=">u8").astype(np.uint64) >> np.uint64(64 - FINGERPRINT_BITS)
         order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        owner = (prints * np.uint64(owners)) >> np.uint64(FINGERPRINT_BITS)
+        distinct, first, times = np.unique(prints[order], return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(distinct)), times)
+        owner = ((distinct * np.uint64(owners)) >> np.uint64(FINGERPRINT_BITS)).astype(np.int32)
         starts = np.searchsorted(owner, np.arange(owners + 1))
-        n = len(ids)
-        none = lambda kind, k=n: pa.nulls(k, kind)
-        slot = np.arange(n) - starts[owner.astype(np.int64)]
-        for a in range(0, n, 5000):
-            o = order[a : a + 5000]
-            k = len(o)
+        slot = (np.arange(len(distinct)) - starts[owner]).astype(np.int32)
+        for a in range(0, len(ids), 5000):
+            o, at = order[a : a + 5000], place[a : a + 5000]
+            none = lambda kind, k=len(o): pa.nulls(k, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), pa.array([ids[i] for i in o], pa.int64()), pa.array([shas[i] for i in o], pa.binary()), pa.array(np.full(k, number)), pa.array(owner[a : a + k].astype(np.int32)), pa.array(slot[a : a + k].astype(np.int32)), none(pa.int32(), k), none(pa.int32(), k), none(pa.binary(), k), none(pa.binary(), k)],
+                [pa.array(np.zeros(len(o), np.int32)), pa.array([ids[i] for i in o], pa.int64()), pa.array([shas[i] for i in o], pa.binary()), pa.array(np.full(len(o), number)), pa.array(owner[at]), pa.array(slot[at]), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())],
                 names=_NAMES,
             )
-        sent = [o for o in range(owners) if starts[o + 1] > starts[o]]
-        coded = [golomb(prints[starts[o] : starts[o + 1]]) for o in sent]
+        sent = [(o, starts[o], starts[o + 1]) for o in range(owners) if starts[o + 1] > starts[o]]
+        coded = [golomb(distinct[a:b]) for _, a, b in sent]
+        again = [np.packbits(times[a:b] > 1).tobytes() for _, a, b in sent]
         k = len(sent)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(k, np.int32)), none(pa.int64(), k), none(pa.binary(), k), pa.array(np.full(k, number)), pa.array(sent, pa.int32()), none(pa.int32(), k), pa.array([starts[o + 1] - starts[o] for o in sent], pa.int32()), pa.array([c[0] for c in coded], pa.int32()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.binary())],
+            [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, number)), pa.array([o for o, _, _ in sent], pa.int32()), pa.nulls(k, pa.int32()), pa.array([b - a for _, a, b in sent], pa.int32()), pa.array([c[0] for c in coded], pa.int32()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.binary()), pa.array(again, pa.binary())],
             names=_NAMES,
         )
 
@@ -101,15 +104,16 @@ _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An owner's bitmaps: bit k of (block, owner) says that the block's k-th fingerprint occurs elsewhere or again."""
+    """An owner's bitmaps: bit k of (block, owner) says that the block's k-th fingerprint occurs elsewhere or again there."""
     for batch in grouped(batches, ["owner"]):
         blocks, owners, maps = [], [], []
         for a, b in bounds(batch, ["owner"]):
             rows = batch.slice(a, b - a).to_pylist()
             each = [ungolomb(r["count"], r["shift"], r["quotients"], r["remainders"]) for r in rows]
             values, where, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-            again = np.split(times[where] > 1, np.cumsum([len(e) for e in each])[:-1])
-            for r, bits in zip(rows, again, strict=True):
+            elsewhere = np.split(times[where] > 1, np.cumsum([len(e) for e in each])[:-1])
+            for r, bits in zip(rows, elsewhere, strict=True):
+                bits = bits | np.unpackbits(np.frombuffer(r["again"], np.uint8), count=r["count"]).astype(bool)
                 if bits.any():
                     blocks.append(r["block"])
                     owners.append(r["owner"])
@@ -119,23 +123,24 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(owners, pa.int32()), pa.array(maps, pa.list_(pa.int64()))], names=["block", "owner", "bitmap"])
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLOCK_ROWS, owner_rows: int = OWNER_ROWS) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty.
-    keep_id is the largest doc_id of the group.  Rows that repeat a doc_id stay
-    or go together; if all doc_ids of a group are null its keep_id is null and
-    its rows are kept.  Other columns are not read; an empty table gives an
-    empty result.  Owners are as many as shuffle partitions.
+    keep_id is the largest doc_id of the group.  Rows of a group that repeat its
+    keep_id are all kept; if all doc_ids of a group are null its keep_id is null
+    and its rows are kept.  Other columns are not read; an empty table gives an
+    empty result.  Owners are as many as shuffle partitions, or one for each
+    `owner_rows` rows if that is more.
     """
     small_batches(spark)
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // owner_rows))
     with Scratch(spark, "exact") as scratch:
         path = scratch.path("sent", keep=True)
         texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
         texts.mapInArrow(_send(owners, block_rows), _SENT).write.partitionBy("kind").parquet(path)
         sent = spark.read.schema(_SENT).parquet(path)
-        messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders")
+        messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders", "again")
         answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(_answer, "block long, owner int, bitmap array<long>")
         answers = scratch.store(answers, "bitmaps", keep=True)
         rows = sent.where("kind = 0").select("doc_id", "sha", "block", "owner", "slot").join(answers, ["block", "owner"], "left")
@@ -156,10 +161,18 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLO
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that `exact_duplicates` keeps, with all their columns.
+    """One row of each group of equal texts of `docs`, with all its columns: that of the largest doc_id.
 
-    Rows are matched by doc_id and text, as neither null nor repeated doc_ids tell texts apart.
+    Rows with null doc_ids come after all others, and of rows that repeat a
+    doc_id any one is first: rows are told apart by themselves, so that null and
+    repeated doc_ids neither keep nor drop other rows.  Null and empty texts are
+    equal.  Other columns may have any names; an empty table stays empty.
     """
-    gone = exact_duplicates(spark, docs).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.unhex(F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER).cast("binary"), 256))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    with Scratch(spark, "exact-rows") as scratch:
+        rows = scratch.numbered_rows(docs)
+        found = exact_duplicates(spark, rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")))
+        several = found.where("group_size > 1").select(F.col("doc_id").alias("id"), "text_sha256")
+        several = scratch.store(several.join(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id")), "id"), "copies")
+        stays = several.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "id")).alias("last")).select(F.col("last.id").alias("id"))
+        gone = scratch.store(several.select("id").join(stays, "id", "left_anti"), "gone", keep=True)
+    return rows.join(gone, "id", "left_anti").select("row.*")
