@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +42,8 @@ SHINGLE_WORDS = 5
 #: Documents, and shingles, of a group that one task compares at once.
 CAP_DOCS, CAP_SHINGLES = 1000, 1_000_000
 HUBS = 16
+#: Parts that the members of a group of more than one chunk are dealt into where they meet a row of the group.
+SALTS = 64
 #: Words of 64 bits in the filter of documents whose texts are needed again: the most rows of its broadcast.
 FILTER_WORDS = 1 << 17
 
@@ -205,27 +207,35 @@ def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: i
         rows = placed.join(payload, "doc").repartition("g", "chunk").sortWithinPartitions("g", "chunk", "doc")
         return scratch.store(rows.mapInArrow(kernel, _EDGES), "links")
 
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("size") / cap_docs), F.ceil(F.col("weight") / cap_shingles)).cast("long"))
-    placed = members.join(sizes, "g")
+    def salted(table: DataFrame) -> DataFrame:
+        """Each row (of a large group) once for every salt of its members, so that no task meets a whole group."""
+        return table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    def chunks_of(size: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(size / cap_docs), F.ceil(weight / cap_shingles)).cast("long")
+
+    none = F.lit(-1)
+    members = members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(SALTS)))
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    big = sizes.withColumn("chunks", chunks_of(F.col("size"), F.col("weight"))).where("chunks > 1").select("g", "size", "chunks")
+    big = scratch.store(big, "large-groups")
+    if big.isEmpty():
+        return compare(members.select("g", F.lit(0).cast("long").alias("chunk"), "doc", "n", none.alias("side"), none.cast("long").alias("label"))), False
+    placed = members.join(salted(big), ["g", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("size")) < HUBS)
     own = F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))
-    placed = placed.select("g", F.explode(F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))).alias("chunk"), "doc", "n", F.lit(-1).alias("side"), F.lit(-1).cast("long").alias("label"))
-    edges = compare(placed)
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    edges = compare(placed.select("g", F.explode(F.when(hub, every).otherwise(F.array(own))).alias("chunk"), "doc", "n", none.alias("side"), none.cast("long").alias("label")))
 
-    big = sizes.where("chunks > 1")
-    if big.isEmpty():
-        return edges, False
     # what the chunks left apart: documents outside their group's largest component against all others
     labels = components(scratch, edges)
-    rest = members.join(big, "g").join(labels, F.col("doc") == F.col("node"), "left").select("g", "doc", "n", "chunks", F.coalesce("component", "doc").alias("label"))
-    rest = scratch.store(rest, "labelled")
-    main = rest.groupBy("g", "label").agg(F.count("*").alias("size")).groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    rest = rest.join(main, "g")
-    outside = rest.where("label <> main")
-    blocks = outside.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / cap_docs), F.ceil(F.sum("n") / cap_shingles)).cast("long").alias("blocks"))
-    rest = rest.join(blocks, "g")
-    outer = rest.where("label <> main").withColumn("o", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rest = members.join(salted(big), ["g", "salt"]).join(labels, F.col("doc") == F.col("node"), "left")
+    rest = scratch.store(rest.select("g", "salt", "doc", "n", "chunks", F.coalesce("component", "doc").alias("label")), "labelled")
+    labels = rest.groupBy("g", "label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    main = labels.groupBy("g").agg(F.max(F.struct("size", "label", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("size > main.size")
+    main = main.select("g", F.col("main.label").alias("main"), chunks_of(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("blocks"))
+    rest = rest.join(salted(scratch.store(main, "outside")), ["g", "salt"])
+    outer = rest.where("label <> main").withColumn("o", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))).withColumn("i", F.explode(every))
     inner = rest.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     chunk = (F.col("o") * F.col("chunks") + F.col("i")).alias("chunk")
     both = outer.select("g", chunk, "doc", "n", F.lit(0).alias("side"), "label").union(inner.select("g", chunk, "doc", "n", F.lit(1).alias("side"), "label"))
@@ -273,6 +283,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, with all their columns."""
-    kept = near_duplicates(spark, docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each component of near duplicates of `docs`, with all its columns: that of the smallest doc_id.
+
+    Rows with null doc_ids come after all others, and of rows that repeat a
+    doc_id any one is first: rows are told apart by themselves, so that null and
+    repeated doc_ids neither keep nor drop other rows.  Null, empty and blank
+    texts have no shingles and all stay.  Other columns may have any names; an
+    empty table stays empty.
+    """
+    with Scratch(spark, "near-rows") as scratch:
+        rows = scratch.numbered_rows(docs)
+        found = near_duplicates(spark, rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), percent)
+        found = found.select(F.col("doc_id").alias("id"), "component_id").join(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id")), "id")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
+        stays = scratch.store(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias("id")), "stays", keep=True)
+    return rows.join(stays, "id", "left_semi").select("row.*")
