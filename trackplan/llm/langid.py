@@ -4,8 +4,8 @@ One character model per language is learned from a bounded sample of labelled
 rows.  The n-grams of all languages share sorted arrays of hashes, one for each
 order, beside a column of log probabilities per language; texts are scored by
 binary search in them.  The language with the lowest cross-entropy per
-character wins; a text whose lowest cross-entropy exceeds a limit calibrated on
-labelled rows kept aside is rejected.
+character wins; a text whose lowest cross-entropy exceeds that language's
+limit, calibrated on labelled rows kept aside, is rejected.
 """
 
 from __future__ import annotations
@@ -18,21 +18,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from .shingles import mix
-from .storage import small_batches
+from .storage import small_batches, whole_row
 
 ORDER = 4
 #: The sample: rows at most, and bytes of a row at most (longer rows are not sampled).
 SAMPLE_ROWS, SAMPLE_ROW_BYTES = 2000, 1 << 16
-#: Share of the sample kept aside for calibration, and headroom over its highest cross-entropy.
-ASIDE, HEADROOM = 0.2, 0.25
+#: Share of the sample kept aside for calibration; a language's limit is this quantile of its rows' cross-entropies and a headroom.
+ASIDE, QUANTILE, HEADROOM = 0.2, 0.995, 0.25
+#: Rows kept aside that a limit of a language's own is taken from; with fewer it is that of all languages.
+LEAST_ASIDE = 20
 #: Characters scored in one numpy pass.
 PASS_CHARS = 1 << 18
-LETTERS = 200
-DIGIT, SPACE, SYMBOL, START = 251, 252, 253, 254
+#: Bits of a character's class, and letters that have a class of their own; the rest of a script shares one for each 128 code points.
+BITS = 12
+CLASSES, LETTERS = 1 << BITS, 3500
+DIGIT, SPACE, SYMBOL, START = range(CLASSES - 5, CLASSES - 1)
 UNKNOWN = "und"
 HAS_LETTER = re.compile(r"[^\W\d_]")
 #: A private-use character that stands before each text.
@@ -40,11 +45,11 @@ _GAP = "\ue000" * (ORDER - 1)
 
 
 def character_classes(texts: list[str]) -> np.ndarray:
-    """A class below 256 for each code point: frequent ones have their own, others one by kind or block."""
+    """A class below CLASSES for each code point: frequent letters have their own, others one by kind or block."""
     often = [c for c, _ in sorted(Counter("".join(texts).lower()).items(), key=lambda x: (-x[1], x[0])) if c.isalpha()][:LETTERS]
-    classes = np.full(0x110000, SYMBOL, dtype=np.uint8)
+    classes = np.full(0x110000, SYMBOL, dtype=np.uint16)
     points = np.arange(0x110000)
-    classes[0x370:] = (LETTERS + 1 + (points[0x370:] >> 7) % (DIGIT - LETTERS - 1)).astype(np.uint8)
+    classes[0x370:] = (LETTERS + 1 + (points[0x370:] >> 7) % (DIGIT - LETTERS - 1)).astype(np.uint16)
     for p in range(0x370):
         kind = unicodedata.category(chr(p))
         classes[p] = SPACE if chr(p).isspace() else DIGIT if kind[0] == "N" else LETTERS + 1 + p % 7 if kind[0] == "L" else SYMBOL
@@ -61,16 +66,16 @@ def coded(text: str, classes: np.ndarray) -> np.ndarray:
 
 
 def grams(codes: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each position from order - 1 on, eight bits for each class."""
+    """The n-gram that ends at each position from order - 1 on, BITS bits for each class."""
     n = len(codes) - order + 1
     out = np.zeros(max(n, 0), dtype=np.uint64)
     for j in range(order):
-        out = (out << np.uint64(8)) | codes[j : j + n].astype(np.uint64)
+        out = (out << np.uint64(BITS)) | codes[j : j + n].astype(np.uint64)
     return out
 
 
 def hashed(keys: np.ndarray, order: int) -> np.ndarray:
-    return mix(keys + np.uint64(order << 40))
+    return mix(keys + np.uint64(order << 56))
 
 
 def _found(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -87,17 +92,17 @@ class KneserNey:
     def __init__(self, texts: list[str], classes: np.ndarray):
         codes = coded(_GAP + _GAP.join(texts), classes)
         keys, counts = np.unique(grams(codes), return_counts=True)
-        keep = (keys & np.uint64(0xFF)) != START
+        keep = (keys & np.uint64(CLASSES - 1)) != START
         keys, counts = keys[keep], counts[keep].astype(float)
         self.orders: dict[int, tuple] = {}
         for n in range(ORDER, 0, -1):
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+            contexts, first = np.unique(keys >> np.uint64(BITS), return_index=True)
             totals = np.add.reduceat(counts, first) if len(first) else counts[:0]
             kinds = np.diff(np.append(first, len(keys))).astype(float)
             ones, twos = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             self.orders[n] = (keys, counts, contexts, totals, kinds, discount)
-            keys, counts = np.unique(keys & np.uint64((1 << (8 * (n - 1))) - 1), return_counts=True)
+            keys, counts = np.unique(keys & np.uint64((1 << (BITS * (n - 1))) - 1), return_counts=True)
             counts = counts.astype(float)
 
     def backoff(self, contexts: np.ndarray, n: int) -> np.ndarray:
@@ -108,10 +113,10 @@ class KneserNey:
 
     def probability(self, keys: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
-            return np.full(len(keys), 1 / 256)
+            return np.full(len(keys), 1 / CLASSES)
         known, counts, contexts, totals, _, discount = self.orders[n]
-        above = keys >> np.uint64(8)
-        lower = self.probability(keys & np.uint64((1 << (8 * (n - 1))) - 1), n - 1)
+        above = keys >> np.uint64(BITS)
+        lower = self.probability(keys & np.uint64((1 << (BITS * (n - 1))) - 1), n - 1)
         total = _found(contexts, totals, above)
         own = np.maximum(_found(known, counts, keys) - discount, 0) / np.maximum(total, 1)
         return own + self.backoff(above, n) * lower
@@ -147,13 +152,13 @@ class Model:
                 break
             keys = keys[~hit]
             table, logs = self.contexts[n]
-            h = hashed(keys >> np.uint64(8), n)
+            h = hashed(keys >> np.uint64(BITS), n)
             at = np.minimum(np.searchsorted(table, h), len(table) - 1)
             hit = table[at] == h
             out[rest[hit]] += logs[at[hit]]
-            keys = keys & np.uint64((1 << (8 * (n - 1))) - 1)
+            keys = keys & np.uint64((1 << (BITS * (n - 1))) - 1)
         else:
-            out[rest] += np.float32(np.log(1 / 256))
+            out[rest] += np.float32(np.log(1 / CLASSES))
         return out
 
     def entropies(self, texts: list[str]) -> np.ndarray:
@@ -235,7 +240,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             shares = np.exp(-sharpness * (entropy - entropy.min(axis=1, keepdims=True)))
             losses[sharpness] = -np.log(np.maximum(shares[np.arange(len(truth)), truth] / shares.sum(axis=1), 1e-12)).mean()
         model.sharpness = float(min(losses, key=losses.get))
-        model.limits[:] = (1 + HEADROOM) * entropy[np.arange(len(truth)), truth].max()
+        own = entropy[np.arange(len(truth)), truth]
+        for g in range(len(languages)):
+            some = own[truth == g] if np.count_nonzero(truth == g) >= LEAST_ASIDE else own
+            model.limits[g] = (1 + HEADROOM) * np.quantile(some, QUANTILE)
     return model
 
 
@@ -257,21 +265,20 @@ def labelled_sample(labelled: DataFrame, rows: int = SAMPLE_ROWS, row_bytes: int
     return out
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of `docs` (text and others) with lang_pred, score and rejected for every row."""
+def identify(spark: SparkSession, docs: DataFrame, model: Model, kept: Column) -> DataFrame:
+    """kept (a column or struct of `docs`) with lang_pred, score and rejected for every row's text."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], "lang_pred string", "score double", "rejected boolean"])
+    rows = docs.select(kept.alias("kept"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["kept"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.identify(batch.column(len(keep)).to_pylist())
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns += [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "rejected"])
+            found = shared.value.identify(batch.column(1).to_pylist())
+            columns = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["kept", "lang_pred", "score", "rejected"])
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -293,12 +300,16 @@ def language_of_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     columns are not read; an empty table gives an empty result.
     """
     model = fit(labelled_sample(training_rows(docs)))
-    found = identify(spark, docs.withColumn("doc_id", F.col("doc_id").cast("long")), model, ["doc_id"])
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    found = identify(spark, docs, model, F.col("doc_id").cast("long"))
+    return found.select(F.col("kept").alias("doc_id"), held_out(F.col("kept")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not rejected, with all their columns."""
-    columns = docs.columns
+    """The rows of `docs` that are not rejected, with all their columns.
+
+    Rows without text or letters go, and all rows if none could be learned
+    from.  Rows are judged each for itself, whatever repeats or is null in
+    them; other columns may have any names; an empty table stays empty.
+    """
     model = fit(labelled_sample(training_rows(docs)))
-    return identify(spark, docs, model, columns).where("not rejected").select(*columns)
+    return identify(spark, docs, model, whole_row(docs)).where("not rejected").select("kept.*")
