@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .groups import bounds, grouped
+from .kept import kept_rows
 from .storage import Scratch, small_batches
 
 #: Bits of a fingerprint: false suspects are about rows / 2**40 of all rows.
@@ -133,28 +134,33 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLO
     empty result.  Owners are as many as shuffle partitions, or one for each
     `owner_rows` rows if that is more.
     """
+    with Scratch(spark, "exact") as scratch:
+        return _exact(scratch, docs, block_rows, owner_rows)
+
+
+def _exact(scratch: Scratch, docs: DataFrame, block_rows: int = BLOCK_ROWS, owner_rows: int = OWNER_ROWS) -> DataFrame:
+    spark = scratch.spark
     small_batches(spark)
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // owner_rows))
-    with Scratch(spark, "exact") as scratch:
-        path = scratch.path("sent", keep=True)
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-        texts.mapInArrow(_send(owners, block_rows), _SENT).write.partitionBy("kind").parquet(path)
-        sent = spark.read.schema(_SENT).parquet(path)
-        messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders", "again")
-        answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(_answer, "block long, owner int, bitmap array<long>")
-        answers = scratch.store(answers, "bitmaps", keep=True)
-        rows = sent.where("kind = 0").select("doc_id", "sha", "block", "owner", "slot").join(answers, ["block", "owner"], "left")
-        bit = F.expr("coalesce(getbit(bitmap[slot div 64], slot % 64) = 1, false)").alias("suspect")
-        rows = rows.select("doc_id", "sha", bit)
-        suspects = scratch.store(rows.where("suspect").select("doc_id", "sha"), "suspects", keep=True)
-        ids = suspects.select(F.col("doc_id").alias("id")).distinct()
-        shuffled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        same = shuffled.select(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
-        same = same.groupBy("text").agg(F.lit(1).alias("one")).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-        verified = same.groupBy("sha").agg(F.count("*").alias("texts"))
-        groups = suspects.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).join(verified, "sha")
-        checked = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
-        groups = scratch.store(groups.select("sha", "keep_id", checked.cast("long").alias("group_size")), "groups", keep=True)
+    path = scratch.path("sent", keep=True)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    texts.mapInArrow(_send(owners, block_rows), _SENT).write.partitionBy("kind").parquet(path)
+    sent = spark.read.schema(_SENT).parquet(path)
+    messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders", "again")
+    answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(_answer, "block long, owner int, bitmap array<long>")
+    answers = scratch.store(answers, "bitmaps", keep=True)
+    rows = sent.where("kind = 0").select("doc_id", "sha", "block", "owner", "slot").join(answers, ["block", "owner"], "left")
+    bit = F.expr("coalesce(getbit(bitmap[slot div 64], slot % 64) = 1, false)").alias("suspect")
+    rows = rows.select("doc_id", "sha", bit)
+    suspects = scratch.store(rows.where("suspect").select("doc_id", "sha"), "suspects", keep=True)
+    ids = suspects.select(F.col("doc_id").alias("id")).distinct()
+    shuffled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    same = shuffled.select(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
+    same = same.groupBy("text").agg(F.lit(1).alias("one")).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    verified = same.groupBy("sha").agg(F.count("*").alias("texts"))
+    groups = suspects.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).join(verified, "sha")
+    checked = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
+    groups = scratch.store(groups.select("sha", "keep_id", checked.cast("long").alias("group_size")), "groups", keep=True)
     alone = rows.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     both = alone.union(suspects.join(groups, "sha").select("doc_id", "sha", "keep_id", "group_size"))
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
@@ -163,16 +169,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLO
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of each group of equal texts of `docs`, with all its columns: that of the largest doc_id.
 
-    Rows with null doc_ids come after all others, and of rows that repeat a
-    doc_id any one is first: rows are told apart by themselves, so that null and
-    repeated doc_ids neither keep nor drop other rows.  Null and empty texts are
-    equal.  Other columns may have any names; an empty table stays empty.
+    Rows with null doc_ids come after all others; of rows that repeat doc_id
+    and text any one stays, and neither null nor repeated doc_ids keep or drop
+    rows of other texts.  Null and empty texts are equal.  Other columns may
+    have any names; an empty table stays empty.
     """
-    with Scratch(spark, "exact-rows") as scratch:
-        rows = scratch.numbered_rows(docs)
-        found = exact_duplicates(spark, rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")))
-        several = found.where("group_size > 1").select(F.col("doc_id").alias("id"), "text_sha256")
-        several = scratch.store(several.join(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id")), "id"), "copies")
-        stays = several.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "id")).alias("last")).select(F.col("last.id").alias("id"))
-        gone = scratch.store(several.select("id").join(stays, "id", "left_anti"), "gone", keep=True)
-    return rows.join(gone, "id", "left_anti").select("row.*")
+    sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).cast("binary"), 256))
+    with Scratch(spark, "exact-rows") as scratch, Scratch(spark, "exact", brief=True) as brief:
+        found = _exact(brief, docs).select("doc_id", F.unhex("text_sha256").alias("key"), F.col("kept").alias("stays"))
+        return kept_rows(scratch, docs, sha, found)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import bounds, grouped
+from .kept import kept_rows
 from .shingles import set_key, shingle_sets, signatures
 from .storage import Scratch, small_batches
 
@@ -256,27 +257,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
     """
     if not 70 <= percent <= 100:
         raise ValueError("similarities from 70 to 100 percent are supported")
-    small_batches(spark)
     with Scratch(spark, "minhash") as scratch:
-        signed_path = scratch.path("signed", keep=True)
-        sign(docs, width).write.parquet(signed_path)
-        signed = spark.read.parquet(signed_path)
-        one = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
-        one = one.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-        one = scratch.store(one, "representatives")
-
-        def with_n(groups: DataFrame) -> DataFrame:
-            return groups.join(one.select("doc", "n"), "doc").select("g", "doc", "n")
-
-        met, _ = _linked(scratch, with_n(postings(scratch, one, least_matches(percent, POST))), one.select("doc", F.col("signature").alias("payload")), percent, width, False, cap_docs, cap_docs << 20)
-        clusters = components(scratch, met)
-        members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
-        links, split = _linked(scratch, members, _likely(texts, members), percent, width, True, cap_docs, cap_shingles)
-        found = components(scratch, links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        found = found.where("node <> component")
-        by_set = one.select("set_key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("component"))
-        by_set = scratch.store(by_set, "components", keep=True)
+        return _near(scratch, docs, percent, width, cap_docs, cap_shingles)
+
+
+def _near(scratch: Scratch, docs: DataFrame, percent: int, width: int = SHINGLE_WORDS, cap_docs: int = CAP_DOCS, cap_shingles: int = CAP_SHINGLES) -> DataFrame:
+    spark = scratch.spark
+    small_batches(spark)
+    signed_path = scratch.path("signed", keep=True)
+    sign(docs, width).write.parquet(signed_path)
+    signed = spark.read.parquet(signed_path)
+    one = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key")
+    one = one.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    one = scratch.store(one, "representatives")
+
+    def with_n(groups: DataFrame) -> DataFrame:
+        return groups.join(one.select("doc", "n"), "doc").select("g", "doc", "n")
+
+    met, _ = _linked(scratch, with_n(postings(scratch, one, least_matches(percent, POST))), one.select("doc", F.col("signature").alias("payload")), percent, width, False, cap_docs, cap_docs << 20)
+    clusters = components(scratch, met)
+    members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
+    links, split = _linked(scratch, members, _likely(texts, members), percent, width, True, cap_docs, cap_shingles)
+    found = components(scratch, links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = found.where("node <> component")
+    by_set = one.select("set_key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("component"))
+    by_set = scratch.store(by_set, "components", keep=True)
     out = spark.read.parquet(signed_path).select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
@@ -285,16 +291,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, wid
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each component of near duplicates of `docs`, with all its columns: that of the smallest doc_id.
 
-    Rows with null doc_ids come after all others, and of rows that repeat a
-    doc_id any one is first: rows are told apart by themselves, so that null and
-    repeated doc_ids neither keep nor drop other rows.  Null, empty and blank
-    texts have no shingles and all stay.  Other columns may have any names; an
-    empty table stays empty.
+    Rows with null doc_ids come after all others; of rows that repeat doc_id
+    and text any one stays, and neither null nor repeated doc_ids keep or drop
+    other rows.  Null, empty and blank texts have no shingles and are linked
+    with nothing.  Other columns may have any names; an empty table stays empty.
     """
-    with Scratch(spark, "near-rows") as scratch:
-        rows = scratch.numbered_rows(docs)
-        found = near_duplicates(spark, rows.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), percent)
-        found = found.select(F.col("doc_id").alias("id"), "component_id").join(rows.select("id", F.col("row.doc_id").cast("long").alias("doc_id")), "id")
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id"))
-        stays = scratch.store(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias("id")), "stays", keep=True)
-    return rows.join(stays, "id", "left_semi").select("row.*")
+    key = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    with Scratch(spark, "near-rows") as scratch, Scratch(spark, "near", brief=True) as brief:
+        # rows are compared under numbers of their own
+        rows = brief.store(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("key")), "rows")
+        found = _near(brief, rows.select(F.col("id").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("id"), "component_id")
+        found = brief.store(found.join(rows.select("id", "doc_id", "key"), "id"), "found")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
+        stays = found.groupBy("component_id").agg(first).select(F.col("first.id").alias("_id"))
+        decisions = found.join(stays, F.col("id") == F.col("_id"), "left").select("doc_id", "key", F.col("_id").isNotNull().alias("stays"))
+        return kept_rows(scratch, docs, key, decisions)

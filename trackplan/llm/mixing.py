@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranks import CELLS, numbered
-from .storage import Scratch
+from .storage import Scratch, quoted, whole_row
 
 PERIOD = 1000
 BLOCK_ROWS = 32
@@ -119,24 +119,26 @@ def mix(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None =
     """
     with Scratch(spark, "mixing") as scratch:
         rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.monotonically_increasing_id().alias("id"))
-        return _places(scratch, rows, weights, block_rows, period).drop("id")
+        placed = _placed(scratch, scratch.store(rows, "ids", keep=True), weights, block_rows, period)
+        return placed.select("doc_id", "source", "block", "slot", "release", "deadline", "place")
 
 
-def _places(scratch: Scratch, rows: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int) -> DataFrame:
-    """The columns of `mix` and id, for rows (doc_id, source, id)."""
-    rows = scratch.store(rows.withColumn("_h", F.xxhash64("doc_id")), "ids", keep=True)
+def _placed(scratch: Scratch, rows: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int) -> DataFrame:
+    """`rows` (doc_id, source, id and others) with the columns of `mix`; rows with equal ids are interchangeable."""
     plan, levels = plan_of(scratch, weighted(rows.groupBy("source").agg(F.count("*").alias("n")), weights), period)
+    columns = rows.columns
+    rows = rows.withColumn("_h", F.xxhash64("doc_id"))
     cell = F.shiftrightunsigned("_h", 64 - (CELLS.bit_length() - 1))
     rows = numbered(scratch, rows, ["source"], [F.expr("_h & 4503599627370495"), F.col("doc_id")], cell, "_number")
     rows = rows.withColumn("block", F.expr(f"_number div {block_rows}")).withColumn("place", F.expr(f"cast(_number % {block_rows} as int)"))
     # one level has at most `period` slots, whatever the data: a broadcast of bounded size
     rows = rows.join(F.broadcast(plan) if levels == 1 else plan, F.col("source").eqNullSafe(F.col("_source")))
-    rows = rows.select("doc_id", "source", "id", "block", "levels", F.col("block").alias("slot"), F.col("block").alias("release"), (F.col("block") + 1).alias("deadline"), "place")
+    rows = rows.select(*columns, "block", "levels", F.col("block").alias("slot"), F.col("block").alias("release"), (F.col("block") + 1).alias("deadline"), "place")
     for k in range(levels):
         q = f"levels[{k}].quota"
         at = F.expr(f"slot div {q} * {period} + levels[{k}].slots[cast(slot % {q} as int)]")
-        rows = rows.select("doc_id", "source", "id", "block", "levels", at.alias("slot"), F.expr(f"release * {period} div {q}").alias("release"), F.expr(f"(deadline * {period} + {q} - 1) div {q}").alias("deadline"), "place")
-    return rows.select("doc_id", "source", "block", "slot", "release", "deadline", "place", "id")
+        rows = rows.select(*columns, "block", "levels", at.alias("slot"), F.expr(f"release * {period} div {q}").alias("release"), F.expr(f"(deadline * {period} + {q} - 1) div {q}").alias("deadline"), "place")
+    return rows.drop("levels")
 
 
 def in_mixture_order(spark: SparkSession, docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -146,7 +148,8 @@ def in_mixture_order(spark: SparkSession, docs: DataFrame, weights: dict[str, fl
     columns may have any names.  An empty table stays empty.
     """
     with Scratch(spark, "mixture") as scratch:
-        rows = scratch.numbered_rows(docs)
-        places = _places(scratch, rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), "id"), weights, BLOCK_ROWS, PERIOD)
-    both = rows.join(places.select("id", "slot", "place"), "id")
-    return both.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+        # rows are told apart by all they hold (maps aside): those that can't be are interchangeable
+        held = [quoted(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*held).alias("id"))
+        placed = _placed(scratch, rows, weights, BLOCK_ROWS, PERIOD)
+    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

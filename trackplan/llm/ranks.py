@@ -23,8 +23,8 @@ def numbered(scratch: Scratch, rows: DataFrame, group: list[str], order: list[Co
     of a hash); each (group, cell) is sorted on its own, cells are then offset
     by the counts before them.  However many rows share a cell (a null or
     repeated key), a task sorts about `most` of them: within such a cell the
-    parts come before the order.  `rows` has a column id without repeats and is
-    read several times: give a stored table.
+    parts come before the order.  `rows` has a column id; rows with equal ids
+    are interchangeable.  It is read several times: give a table.
     """
 
     def same(table: DataFrame, more: list[str]) -> Column:

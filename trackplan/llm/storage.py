@@ -58,10 +58,13 @@ def with_stored_order(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one operator call.  `keep` tables stay until the driver ends, the rest go at the end of the call."""
+    """Tables of one operator call.  `keep` tables stay until the driver ends, the rest go at the end of the call.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    With `brief` all go then: for calls whose result is stored elsewhere.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, brief: bool = False):
+        self.spark, self.brief = spark, brief
         own = f"{shared_folder(spark)}/trackplan/{spark.sparkContext.applicationId}"
         self.folder = f"{own}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
@@ -83,7 +86,7 @@ class Scratch:
     def path(self, name: str, keep: bool = False) -> str:
         self.count += 1
         path = f"{self.folder}/{self.count:03d}-{name}"
-        if not keep:
+        if self.brief or not keep:
             self.dropped.append(path)
         return path
 
@@ -93,13 +96,6 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def numbered_rows(self, docs: DataFrame) -> DataFrame:
-        """A stored table of row (all columns of `docs` as a struct) and id (long, no value twice).
-
-        Neither nulls nor repeats in the columns of `docs` then blur which row is meant.
-        """
-        return self.store(docs.select(whole_row(docs).alias("row"), F.monotonically_increasing_id().alias("id")), "rows", keep=True)
-
     def _file(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
