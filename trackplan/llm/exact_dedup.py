@@ -174,7 +174,7 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows of other texts.  Null and empty texts are equal.  Other columns may
     have any names; an empty table stays empty.
     """
-    sha = F.unhex(F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).cast("binary"), 256))
+    sha = lambda text: F.unhex(F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER).cast("binary"), 256))
     with Scratch(spark, "exact-rows") as scratch, Scratch(spark, "exact", brief=True) as brief:
         found = _exact(brief, docs).select("doc_id", F.unhex("text_sha256").alias("key"), F.col("kept").alias("stays"))
         return kept_rows(scratch, docs, sha, found)

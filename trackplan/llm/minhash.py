@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import bounds, grouped
-from .kept import kept_rows
+from .kept import kept_rows, marked
 from .shingles import set_key, shingle_sets, signatures
 from .storage import Scratch, small_batches
 
@@ -45,9 +45,6 @@ CAP_DOCS, CAP_SHINGLES = 1000, 1_000_000
 HUBS = 16
 #: Parts that the members of a group of more than one chunk are dealt into where they meet a row of the group.
 SALTS = 64
-#: Words of 64 bits in the filter of documents whose texts are needed again: the most rows of its broadcast.
-FILTER_WORDS = 1 << 17
-
 _SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
 _EDGES = "u long, v long"
 
@@ -99,20 +96,6 @@ def postings(scratch: Scratch, signed: DataFrame, post_match: int) -> DataFrame:
     return posted.join(lists, "key").select(F.col("key").alias("g"), "doc")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`rows` without most of those whose doc is not in `wanted`; none that is in it goes.
-
-    A broadcast bit map of hashes of doc, FILTER_WORDS rows at most however large
-    `wanted` is; where it fills up, fewer rows go.
-    """
-    slot = F.pmod(F.xxhash64("doc", F.lit(8)), F.lit(64 * FILTER_WORDS))
-    word, bit = F.floor(slot / 64).alias("word"), (slot % 64).cast("int")
-    bits = wanted.withColumn("at", bit).select(word, F.expr("shiftleft(1L, at)").alias("bits"))
-    bits = bits.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    held = rows.withColumn("at", bit).withColumn("word", word).join(F.broadcast(bits), "word")
-    return held.where(F.getbit("bits", "at") == 1).select(*rows.columns)
-
-
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -278,7 +261,7 @@ def _near(scratch: Scratch, docs: DataFrame, percent: int, width: int = SHINGLE_
     clusters = components(scratch, met)
     members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
-    links, split = _linked(scratch, members, _likely(texts, members), percent, width, True, cap_docs, cap_shingles)
+    links, split = _linked(scratch, members, marked(texts, "doc", members.select(F.col("doc").alias("id"))).where("_likely").drop("_likely"), percent, width, True, cap_docs, cap_shingles)
     found = components(scratch, links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     found = found.where("node <> component")
     by_set = one.select("set_key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("component"))
@@ -296,10 +279,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85
     other rows.  Null, empty and blank texts have no shingles and are linked
     with nothing.  Other columns may have any names; an empty table stays empty.
     """
-    key = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+    key = lambda text: F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
     with Scratch(spark, "near-rows") as scratch, Scratch(spark, "near", brief=True) as brief:
         # rows are compared under numbers of their own
-        rows = brief.store(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long"), F.col("text").cast("string"), key.alias("key")), "rows")
+        rows = brief.store(docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long"), F.col("text").cast("string"), key(F.col("text")).alias("key")), "rows")
         found = _near(brief, rows.select(F.col("id").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("id"), "component_id")
         found = brief.store(found.join(rows.select("id", "doc_id", "key"), "id"), "found")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
