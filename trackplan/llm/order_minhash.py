@@ -1,13 +1,18 @@
 """Document fingerprints by Order MinHash (DataFrame functions only).
 
 A text of any length is read as tokens (runs of non-space characters in pieces
-of at most 16; an ideograph or kana is a token of its own), its k-mers are runs of `KMER` tokens, and repeated k-mers are numbered by
-occurrence.  Of all numbered k-mers the `SAMPLE` smallest by hash are kept
-(texts that share k-mers keep the same ones);
-then, for each of `SKETCHES` orders, the `PICK` smallest are taken, put in
-their text order, and hashed as a tuple.  The share of equal tuples falls both
-with lost k-mers and with k-mers that changed their order, as edit similarity
-does.
+of at most 16; an ideograph or kana is a token of its own), its k-mers are runs
+of `KMER` tokens, and all of them are numbered by occurrence: a repeated k-mer
+is another one each time.  Each of `SKETCHES` orders, a hash of its own, selects
+two minimal numbered k-mers; they are put in their text order and hashed as a
+tuple.  The share of equal tuples falls both with lost k-mers and with k-mers
+that changed their order, as edit similarity does.
+
+The two are the minima of two halves, into which the order's own hash deals all
+numbered k-mers.  By symmetry they are any two of them with equal chance, as the
+two smallest of one order would be, and texts choose alike: so tuples are equal
+with the same chance.  Minima are what Spark's aggregation keeps in fixed space,
+so that every k-mer of the longest text takes part in every order.
 """
 
 from __future__ import annotations
@@ -20,14 +25,15 @@ from pyspark.sql import functions as F
 
 from .storage import Scratch
 
-KMER, DISTINCT, SAMPLE, SKETCHES, PICK = 3, 256, 64, 32, 2
+KMER, SKETCHES = 3, 32
 TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,16}"
-#: A numbered k-mer is hash << 24 | position; positions beyond 2**24 count as that.
-POSITION_BITS = 24
-_LAST = (1 << POSITION_BITS) - 1
-#: Ids of a bucket of the search for each document's successor.
-SPAN = 4096
+#: A numbered k-mer is hash << 25 | position << 1 | side (0: the text, 1: the edited text); positions beyond 2**24 count as that.
+POSITION_BITS = 25
+_MOST = (1 << (POSITION_BITS - 1)) - 1
+_LOW = (1 << POSITION_BITS) - 1
 _NO_ID = -(1 << 63)
+#: Repeated rows that are given back from one array.
+PART_ROWS = 100_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,74 +41,60 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _hashed(parts: list[Column], position: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(*parts), POSITION_BITS + 1), POSITION_BITS).bitwiseOR(position)
+def _packed(hashed: Column, low: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(hashed, POSITION_BITS + 1), POSITION_BITS).bitwiseOR(low)
 
 
 def _hash_of(x: Column) -> Column:
     return F.shiftrightunsigned(x, POSITION_BITS)
 
 
-def _kmers(h: Column) -> Column:
-    """hash << 24 | position of each k-mer of token hashes h; fewer than KMER tokens are one k-mer."""
+def _kmers(h: Column, side: int) -> Column:
+    """hash << 25 | position << 1 | side of each k-mer of token hashes h; fewer than KMER tokens are one k-mer."""
     starts = F.slice(h, F.lit(1), F.greatest(F.least(F.size(h), F.lit(1)), F.size(h) - (KMER - 1)))
-    return F.transform(starts, lambda x, i: _hashed([x, *[F.get(h, i + j) for j in range(1, KMER)]], F.least(i, F.lit(_LAST)).cast("long")))
+    low = lambda i: F.least(i, F.lit(_MOST)).cast("long") * 2 + side
+    return F.transform(starts, lambda x, i: _packed(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, KMER)]), low(i)))
 
 
-def _smallest(kmers: Column) -> Column:
-    """The numbered k-mers, enough of them to hold the DISTINCT smallest: most are passed over without sorting."""
-    limit = F.shiftleft(F.floor(F.lit(float(1 << (63 - POSITION_BITS))) * F.least(F.lit(1.0), F.lit(2.0 * DISTINCT) / F.greatest(F.size(kmers), F.lit(1)))).cast("long"), POSITION_BITS)
-    # a full range would not fit in a signed shift: then nothing is passed over
-    few = F.when(F.size(kmers) <= 2 * DISTINCT, kmers).otherwise(F.filter(kmers, lambda x: x < limit))
-    return _let(few, lambda f: F.when(F.size(F.array_distinct(F.transform(f, _hash_of))) >= DISTINCT, f).otherwise(kmers))
-
-
-def _numbered(kmers: Column) -> Column:
-    """hash(k-mer, occurrence) << 24 | position of all k-mers; the SAMPLE smallest of these."""
+def numbered(text: Column, side: int = 0) -> Column:
+    """hash(k-mer, occurrence) << 25 | position << 1 | side of all k-mers of a text."""
 
     def with_runs(k: Column) -> Column:
         first = F.transform(k, lambda x, i: F.when((i == 0) | (_hash_of(F.get(k, i - 1)) != _hash_of(x)), i))
-        return _let(F.filter(first, lambda x: x.isNotNull()), lambda runs: F.flatten(F.transform(runs, lambda start, r: F.transform(F.slice(k, start + 1, F.coalesce(F.get(runs, r + 1), F.size(k)) - start), lambda x, seen: _hashed([_hash_of(x), seen], x.bitwiseAND(F.lit(_LAST)))))))
-
-    # without repeats every k-mer is the first of its kind, and nothing need be sorted to number them
-    once = F.transform(kmers, lambda x: _hashed([_hash_of(x), F.lit(0)], x.bitwiseAND(F.lit(_LAST))))
-    repeats = F.size(F.array_distinct(F.transform(kmers, _hash_of))) < F.size(kmers)
-    every = F.when(repeats, _let(F.sort_array(kmers), with_runs)).otherwise(once)
-    return F.slice(F.sort_array(_let(every, _smallest)), 1, SAMPLE)
-
-
-def _tuple(kmers: Column, order: Column) -> Column:
-    """32 bits of the PICK = 2 smallest under an order (a mask for the hashes), in their text order."""
-    position = lambda x: x.bitwiseAND(F.lit(_LAST))
-    masked = F.transform(kmers, lambda x: x.bitwiseXOR(order))
+        return _let(F.filter(first, lambda x: x.isNotNull()), lambda runs: F.flatten(F.transform(runs, lambda start, r: F.transform(F.slice(k, start + 1, F.coalesce(F.get(runs, r + 1), F.size(k)) - start), lambda x, seen: _packed(F.xxhash64(_hash_of(x), seen), x.bitwiseAND(F.lit(_LOW)))))))
 
-    def pair(m: Column) -> Column:
-        return _let(
-            F.array_min(m),
-            lambda a: _let(
-                F.array_min(F.filter(m, lambda x: x > a)),
-                lambda b: F.when(b.isNull() | (position(a) <= position(b)), F.xxhash64(_hash_of(a), _hash_of(b))).otherwise(F.xxhash64(_hash_of(b), _hash_of(a))),
-            ),
-        )
-
-    return F.shiftright(_let(masked, pair), 32).cast("int")
+    def counted(kmers: Column) -> Column:
+        # without repeats every k-mer is the first of its kind, and nothing need be sorted to number them
+        once = F.transform(kmers, lambda x: _packed(F.xxhash64(_hash_of(x), F.lit(0)), x.bitwiseAND(F.lit(_LOW))))
+        repeats = F.size(F.array_distinct(F.transform(kmers, _hash_of))) < F.size(kmers)
+        return F.when(repeats, _let(F.sort_array(kmers), with_runs)).otherwise(once)
 
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: _let(_kmers(h, side), counted))
 
-def _order(j: int) -> int:
-    """A fixed mask of 39 hash bits for sketch j (multiples of the golden ratio)."""
-    return ((0x9E3779B97F4A7C15 * (j + 1)) % (1 << 64) >> 25) << POSITION_BITS
 
+def _tuple(a: Column, b: Column) -> Column:
+    """32 bits of two selected k-mers in their text order; zero if there is none."""
+    position = lambda x: x.bitwiseAND(F.lit(_LOW))
+    swapped = F.coalesce(position(a) > position(b), F.lit(False))
+    first, second = F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
+    hashed = F.shiftright(F.xxhash64(_hash_of(first), _hash_of(second)), 32).cast("int")
+    return F.when(a.isNull() & b.isNull(), 0).otherwise(hashed)
 
-def sketch(text: Column) -> Column:
-    """array<int> of SKETCHES tuple hashes; a text without tokens has zeros."""
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    orders = F.array(*[F.lit(_order(j)) for j in range(SKETCHES)])
-    zeros = F.array_repeat(F.lit(0), SKETCHES)
 
-    def tuples(kmers: Column) -> Column:
-        return F.when(F.size(kmers) == 0, zeros).otherwise(_let(_numbered(kmers), lambda e: F.transform(orders, lambda o: _tuple(e, o))))
+def sketches(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """by, sketch (array<int> of SKETCHES tuple hashes) and more aggregates of rows (by, x: a numbered k-mer, or null if there is none).
 
-    return _let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: _let(_kmers(h), tuples))
+    The rows of a group are reduced to minima as they come, before any shuffle.
+    """
+    hashes = [F.xxhash64(_hash_of(F.col("x")), F.lit(j)).alias(f"h{j}") for j in range(SKETCHES)]
+    rows = rows.select("*", *hashes)
+    # the order is the upper bits of its hash; its lowest bit deals k-mers into halves
+    value = [_packed(F.col(f"h{j}"), F.col("x").bitwiseAND(F.lit(_LOW))) for j in range(SKETCHES)]
+    half = [F.col(f"h{j}").bitwiseAND(F.lit(1)) for j in range(SKETCHES)]
+    least = rows.groupBy(*by).agg(*[F.min(F.when(half[j] == k, value[j])).alias(f"m{j}_{k}") for j in range(SKETCHES) for k in (0, 1)], *more)
+    names = [c for c in least.columns if c not in by and not c.startswith("m")]
+    return least.select(*by, *names, F.array(*[_tuple(F.col(f"m{j}_0"), F.col(f"m{j}_1")) for j in range(SKETCHES)]).alias("sketch"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -115,20 +107,18 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def successors(ids: DataFrame) -> DataFrame:
+def successors(scratch: Scratch, ids: DataFrame) -> DataFrame:
     """id, next_id: the next larger id, and for the largest the smallest; `ids` has distinct non-null ids.
 
-    Ids are searched in buckets of SPAN, bucket minima in buckets of SPAN
-    buckets, and only the minima of those in one window.
+    Ids are dealt by ranges, each range is sorted in a task of its own, and only
+    the least id of each range is carried to the one before.
     """
-    ids = ids.select("id", F.expr(f"floor(id / {SPAN})").cast("long").alias("b"))
-    ids = ids.withColumn("n0", F.lead("id").over(W.partitionBy("b").orderBy("id")))
-    low = ids.groupBy("b").agg(F.min("id").alias("m")).withColumn("c", F.expr(f"floor(b / {SPAN})").cast("long"))
-    low = low.withColumn("n1", F.lead("m").over(W.partitionBy("c").orderBy("b")))
-    top = low.groupBy("c").agg(F.min("m").alias("m2"))
-    top = top.select("c", F.lead("m2").over(W.orderBy("c")).alias("n2"), F.min("m2").over(W.partitionBy()).alias("n3"))
-    low = low.join(top, "c").select("b", F.coalesce("n1", "n2", "n3").alias("n"))
-    return ids.join(low, "b").select("id", F.coalesce("n0", "n").alias("next_id"))
+    ranges = scratch.store(ids.select("id").repartitionByRange("id").select("id", F.spark_partition_id().alias("p")), "ranges")
+    inside = ranges.select("p", "id", F.lead("id").over(W.partitionBy("p").orderBy("id")).alias("next"))
+    # one row for each partition, not for each id
+    heads = ranges.groupBy("p").agg(F.min("id").alias("head"))
+    heads = heads.select(F.col("p").alias("q"), F.lead("head").over(W.orderBy("head")).alias("after"), F.min("head").over(W.partitionBy()).alias("least"))
+    return inside.join(F.broadcast(heads), F.col("p") == F.col("q")).select("id", F.coalesce("next", "after", "least").alias("next_id"))
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -147,15 +137,25 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     with Scratch(spark, "order-minhash") as scratch:
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
         lengths = scratch.store(texts.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.max("n").alias("most")), "lengths")
-        after = scratch.store(successors(lengths.select("id")).join(lengths, "id").select(F.col("id").alias("of"), "next_id", F.expr("most div 4").cast("int").alias("most")), "successors", keep=True)
+        after = scratch.store(successors(scratch, lengths.select("id")).join(lengths, "id").select(F.col("id").alias("of"), "next_id", F.expr("most div 4").cast("int").alias("most")), "successors", keep=True)
         # texts are shuffled by id once: both joins read that exchange
         heads = texts.join(after, F.col("id") == F.col("next_id")).select("of", F.expr("left(text, most)").alias("head"))
         heads = heads.groupBy("of").agg(F.min("head").alias("head"))
         both = texts.join(heads, F.col("id") == F.col("of"))
-        n = F.char_length("text")
-        both = both.select("id", n.alias("n_chars"), "text", F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.expr("left(head, cast(char_length(text) div 4 as int))")).alias("edited"))
-        done = both.select("id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("b"))
+        edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.expr("left(head, cast(char_length(text) div 4 as int))"))
+        both = both.select("id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+        # rows of the same id and texts are sketched as one: their number is that of first k-mers of one side
+        kmers = F.array(F.struct(F.lit(0).alias("side"), numbered(F.col("text"), 0).alias("x")), F.struct(F.lit(1).alias("side"), numbered(F.col("edited"), 1).alias("x")))
+        sha = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
+        rows = both.select("id", "n_chars", sha("text").alias("text_sha"), sha("edited").alias("sha"), F.inline(kmers))
+        rows = rows.select("id", "n_chars", "text_sha", "sha", "side", F.posexplode_outer("x").alias("at", "x"))
+        by = ["id", "n_chars", "text_sha", "sha", "side"]
+        found = sketches(rows, by, F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("rows"))
+        done = found.groupBy("id", "n_chars", "text_sha", "sha").agg(*[F.max(F.when(F.col("side") == k, F.col("sketch"))).alias(c) for k, c in enumerate("ab")], F.max("rows").alias("rows"))
+        # given back as often as they were, in parts that fit in an array
+        done = done.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {PART_ROWS}"))))
+        done = done.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("rows") - F.col("part") * PART_ROWS, F.lit(PART_ROWS)).cast("int")))).drop("rows", "part", "copy", "text_sha")
         done = scratch.store(done, "sketches", keep=True)
     nexts = done.groupBy("id").agg(F.min("a").alias("next_a")).join(after, F.col("id") == F.col("next_id")).select("of", "next_a")
     out = done.join(nexts, F.col("id") == F.col("of"))
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"))
+    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("next_a")).alias("near_next"))
