@@ -15,11 +15,13 @@ LOSSLESS = ["truehd", "mlp", "dts_hd", "dtshd", "flac", "alac", "pcm_s16le", "pc
 LOSSLESS_TIER = {"truehd": 3, "mlp": 3, "pcm_bluray": 2, "flac": 2, "dts": 1}
 INTERLACED_HEIGHTS = [480, 486, 540, 576, 1080]
 NO_HASH_DISTANCE = 64
+BUDGET_BYTES, OVERHEAD_MBPS, BPP_AT_27, LARGE_CEILING = 10.0 * 1024**3, 2.5, 0.1157, 32
 
 
 def lookup(values: dict, key: Column, default) -> Column:
-    """A small constant table as a map literal."""
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key], F.lit(default))
+    """A small constant table as a map literal; without a default, null for other keys."""
+    found = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[key]
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def first_of(value: Column, pairs: list[tuple[float, str]], otherwise: str) -> Column:
@@ -68,13 +70,18 @@ def predicted_mbps(pixels: Column, bpp_at_27: float, cq: Column) -> Column:
     return F.lit(bpp_at_27) * pixels * F.pow(F.lit(2.0), (27 - cq) / 4.5) / 1e6
 
 
-def budget_mbps(size: Column, cap: float, duration: Column) -> Column:
-    return F.greatest(F.lit(0.5), F.least(size, F.lit(cap)) * 8 / duration / 1e6 - 2.5)
+def budget_mbps(size: Column, duration: Column, match_source: Column | None = None, cap: float = BUDGET_BYTES) -> Column:
+    """Rate that a file may use: the smaller of source and cap over its duration, less the overhead; 0 if the duration is unknown."""
+    source = F.nullif(F.coalesce(size.cast("double"), F.lit(0.0)), F.lit(0.0))
+    if match_source is not None:
+        source = F.when(match_source, source)
+    return F.when(F.coalesce(duration, F.lit(0.0)) <= 0, 0.0).otherwise(F.greatest(F.lit(0.5), F.least(F.coalesce(source, F.lit(cap)), F.lit(cap)) * 8 / duration / 1e6 - OVERHEAD_MBPS))
 
 
-def fitting_cq(start: Column, pixels: Column, bpp_at_27: float, budget: Column, most: int = 32) -> Column:
-    """The least cq from start on that fits the budget, or the most."""
-    return F.coalesce(F.get(F.filter(F.sequence(start, F.greatest(start, F.lit(most))), lambda c: predicted_mbps(pixels, bpp_at_27, c) <= budget), F.lit(0)), F.lit(most))
+def fitting_cq(start: Column, pixels: Column, budget: Column, bpp: float = BPP_AT_27, most: int = LARGE_CEILING) -> Column:
+    """The least cq from start on that fits the budget, or the most; the start itself if there is no budget or it is above."""
+    fits = F.get(F.filter(F.sequence(start, F.greatest(start, F.lit(most))), lambda c: predicted_mbps(pixels, bpp, c) <= budget), F.lit(0))
+    return F.when((budget <= 0) | (start >= most), start).otherwise(F.coalesce(fits, F.lit(most)))
 
 
 def interlace_decision(order: Column, combed: Column, determined: Column, height: Column) -> Column:
@@ -97,9 +104,10 @@ def padded_height(height: Column) -> Column:
     return F.when((height >= 1944) & (height < 2160), 2160).otherwise(0)
 
 
-def repair_strength(mode: Column, tier: Column, large: Column) -> Column:
-    """Filter strength by tier: `off`, `auto` (large sources only), or forced."""
-    return F.when(mode == "off", None).when(mode.isin("weak", "strong"), mode).when(large & (tier == "awful"), "strong").when(large & (tier == "low"), "weak")
+def repair_strength(mode: str, tier: Column, large: Column) -> Column:
+    """Filter strength for large sources: by tier (`auto`), forced (`weak`, `strong`), or none (`off`)."""
+    by_tier = F.when(tier == "awful", "strong").when(tier == "low", "weak") if mode == "auto" else F.lit(None if mode == "off" else mode).cast("string")
+    return F.when(large, by_tier)
 
 
 def is_lossless(codec: Column, bitrate: Column) -> Column:

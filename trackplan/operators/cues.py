@@ -60,5 +60,14 @@ def translated(source: DataFrame, replies: DataFrame, by: list[str], number: str
 
 
 def tag_decision(tag: Column, sniffed: Column, bitmap: Column) -> Column:
-    """The language to use: content beats the tag only where it contradicts it."""
-    return F.when(bitmap | sniffed.isin("unknown") | sniffed.isNull(), tag).when((sniffed == "latin") & tag.isin("jpn", "chi", "kor", "rus", "ara"), F.lit("und")).when(sniffed == "latin", tag).otherwise(sniffed)
+    """The language to use: content beats the tag where it contradicts it; bitmaps and unknown content leave the tag."""
+    low = F.lower(F.coalesce(tag, F.lit("und")))
+    english, japanese = low.isin("eng", "en"), low.isin("jpn", "ja", "jp")
+    case = F.when(bitmap | F.coalesce(sniffed, F.lit("unknown")).isin("unknown", "unreadable"), tag)
+    return case.when(sniffed == "latin", F.when(japanese, "eng").otherwise(tag)).when((sniffed == "jpn") & ~japanese, "jpn").when((sniffed != "jpn") & english, sniffed).otherwise(tag)
+
+
+def spoken_text(text: Column) -> Column:
+    """The lines of a subtitle text that are neither numbers nor timings, as one."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^\d+$") & ~F.contains(x, F.lit("-->"))), " ")

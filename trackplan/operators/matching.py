@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import NO_HASH_DISTANCE, hamming, runtime_agrees
+from ..functions.numbers import NO_HASH_DISTANCE, hamming, lookup, runtime_agrees
 from ..functions.text import word_key
 
 # Number ranges of graphics generations (low, high, name, can encode AV1), and ordered franchise words.
 GENERATIONS = [(5000, 5999, "Blackwell (RTX 50 series)", True), (4000, 4999, "Ada Lovelace (RTX 40 series)", True), (3000, 3999, "Ampere (RTX 30 series)", False), (2000, 2999, "Turing (RTX 20 series)", False), (1600, 1699, "Turing (GTX 16 series)", False), (1000, 1099, "Pascal (GTX 10 series)", False)]
+PROFESSIONAL = [(r"\brtx\s*a(\d{3,4})\b", "Ampere (professional RTX A series)", False), (r"\b(l4|l40|l40s)\b|ada", "Ada Lovelace (professional)", True), (r"\b(a100|a40|a30|a10|a16|a2)\b", "Ampere (professional)", False), (r"\b(t4|titan\s+rtx|quadro)\b", "Turing or older (professional)", False)]
+LEAST_DRIVER = {"13.1": "610.00", "13.0": "570.00", "12.2": "551.76", "12.1": "531.61", "12.0": "522.25"}
+NO_ENCODER = ["no capable devices", "not supported", "unsupported", "invalid device", "no nvenc capable"]
+EXIT_CODES = {-2: "ENOENT, file or codec not found", -13: "EACCES, permission denied", -22: "EINVAL, bad argument", -28: "ENOSPC, disk full", -40: "ENOSYS on Windows, feature not supported by the encoder, driver or build", 125: "the process could not be launched at all"}
+LARGE_NEGATIVE = ", large negative code, often an external library such as Vulkan or CUDA. read the ffmpeg line below"
 FRANCHISES = [("007", "007"), ("james_bond", "007"), ("jamesbond", "007"), ("bond", "007"), ("mcu", "MCU"), ("marvel", "MCU"), ("starwars", "Star_Wars"), ("star_wars", "Star_Wars"), ("startrek", "Star_Trek"), ("star_trek", "Star_Trek"), ("stargate", "Stargate"), ("star_gate", "Stargate"), ("dcu", "DCU"), ("pixar", "Pixar"), ("ghibli", "Ghibli"), ("lotr", "LOTR"), ("middleearth", "LOTR")]
 
 
@@ -23,19 +28,46 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, value: Column) -> DataFrame:
 
 
 def generation(name: Column) -> Column:
-    """struct(label, encodes): graphics generation of a board's name; workstation names are told apart first."""
-    number = F.regexp_extract(name, r"\b(\d{4})\b", 1).try_cast("int")
-    case_label = F.when(name.rlike(r"\bA\d{4}\b"), "Ampere (workstation)")
-    case_can = F.when(name.rlike(r"\bA\d{4}\b"), False)
-    for low, high, label, can in GENERATIONS:
-        case_label, case_can = case_label.when(number.between(low, high), label), case_can.when(number.between(low, high), can)
-    return F.struct(case_label.alias("label"), case_can.alias("encodes"))
+    """struct(label, encodes): graphics generation of a board's name; professional boards are told by name before any number is read."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    number = F.regexp_extract(low, r"\b(?:rtx|gtx)\s*(\d{4})\b", 1).try_cast("int")
+    rules = [(low.rlike(pattern), label, can) for pattern, label, can in PROFESSIONAL] + [(number.between(a, b), label, can) for a, b, label, can in GENERATIONS]
+    case = F.when(F.lit(False), F.struct(F.lit("").alias("label"), F.lit(False).alias("encodes")))
+    for test, label, can in rules:
+        case = case.when(test, F.struct(F.lit(label).alias("label"), F.lit(can).alias("encodes")))
+    return F.coalesce(case, F.struct(F.lit("").alias("label"), F.lit(None).cast("boolean").alias("encodes")))
+
+
+def start_failure(log: Column) -> Column:
+    """struct(kind, needs): why an encoder didn't start (version_gap, nocard, unknown), and the driver that a newer interface needs."""
+    low = F.lower(F.coalesce(log, F.lit("")))
+    needed = F.nullif(F.regexp_extract(low, r"required:\s*([0-9.]+)\s+found:\s*([0-9.]+)", 1), F.lit(""))
+    told = F.nullif(F.regexp_extract(low, r"driver for nvenc is\s*([0-9.]+)", 1), F.lit(""))
+    gap = needed.isNotNull() | F.contains(low, F.lit("minimum required nvidia driver"))
+    absent = F.lit(False)
+    for words in NO_ENCODER:
+        absent = absent | F.contains(low, F.lit(words))
+    kind = F.when(gap, "version_gap").when(absent, "nocard").otherwise("unknown")
+    return F.struct(kind.alias("kind"), F.when(gap, F.coalesce(told, lookup(LEAST_DRIVER, needed, None))).alias("needs"))
+
+
+def exit_text(code: Column) -> Column:
+    """A 32-bit exit code with its signed value and, if known, its meaning."""
+    code = code.cast("long")
+    signed = F.when(code > 2**31, code - 2**32).otherwise(code)
+    known = lookup(EXIT_CODES, signed, None)
+    plain = (signed == code) & (code > 0) & (code < 256)
+    long = F.concat(code.cast("string"), F.lit(" (signed "), signed.cast("string"), F.lit(", 0x"), F.lpad(F.hex(signed.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.coalesce(F.concat(F.lit(", "), known), F.when(signed < -1000000, F.lit(LARGE_NEGATIVE)), F.lit("")), F.lit(")"))
+    return F.when(plain, F.concat(code.cast("string"), F.coalesce(F.concat(F.lit(" ("), known, F.lit(")")), F.lit("")))).otherwise(long)
 
 
 def franchise(text: Column, words: list[tuple[str, str]] = FRANCHISES) -> Column:
     """Label of the first word of the ordered table that stands in the text as a whole word."""
-    key = F.concat(F.lit("_"), word_key(text), F.lit("_"))
-    return F.coalesce(*[F.when(F.contains(key, F.lit(f"_{word}_")), F.lit(label)) for word, label in words])
+    key = F.concat(F.lit("_"), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
+    table = F.array(*[F.struct(F.lit(f"_{word}_").alias("w"), F.lit(label).alias("label")) for word, label in words])
+    # the key is computed once for all words
+    found = F.transform(F.array(key), lambda k: F.get(F.filter(table, lambda t: F.contains(k, t["w"])), F.lit(0))["label"])
+    return F.get(found, F.lit(0))
 
 
 def candidate_score(year: Column, release_year: Column, title: Column, name: Column, popularity: Column, seconds: Column | None = None, minutes: Column | None = None) -> Column:
@@ -46,20 +78,24 @@ def candidate_score(year: Column, release_year: Column, title: Column, name: Col
     return score if seconds is None else score + F.when(runtime_agrees(seconds, minutes)["ok"], 3.0).otherwise(-2.0)
 
 
-def best_candidate(pairs: DataFrame, by: list[str], score: str, position: str, columns: list[str]) -> DataFrame:
-    """The candidate of each group with the highest score, the earliest of ties."""
+def best_candidate(pairs: DataFrame, by: list[str], score: str, position: str, columns: list[str], first: int = 8) -> DataFrame:
+    """The candidate of each group with the highest score, the earliest of ties; of those at positions below `first`."""
+    pairs = pairs.where(F.col(position) < first)
     best = pairs.groupBy(*by).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(position)).alias("p"), *columns)).alias("b"))
     return best.select(*by, F.col("b.s").alias(score), *[F.col(f"b.{c}").alias(c) for c in columns])
 
 
-def conflict_reasons(found: Column, title: Column, name: Column, year: Column, release_year: Column, seconds: Column, minutes: Column) -> Column:
-    """Why a match should be looked at: array of reasons."""
-    a, b = word_key(title), word_key(name)
-    contained = F.contains(a, b) | F.contains(b, a)
-    return F.array_compact(F.array(
-        F.when(~found, F.lit("nothing matched")), F.when(found & ~contained, F.lit("title differs")), F.when(found & (F.abs(year - release_year) > 1), F.lit("year differs")),
-        F.when(found & ~runtime_agrees(seconds, minutes)["ok"], F.lit("runtime differs")), F.when(found & year.isNull(), F.lit("no year to compare")),
-    ))
+def conflict_reasons(found: Column, title: Column, name: Column, year: Column, released: Column, seconds: Column, minutes: Column, film: Column) -> Column:
+    """Why a match should be looked at: array of reasons.
+
+    released is a date as text; a missing year is one only for a film.
+    """
+    a, b = (F.lower(F.coalesce(c, F.lit(""))) for c in (title, name))
+    apart = (a != "") & (b != "") & ~F.contains(a, b) & ~F.contains(b, a)
+    theirs, ours = F.left(F.coalesce(released, F.lit("")), F.lit(4)), F.coalesce(year.cast("string"), F.lit(""))
+    late = (F.coalesce(minutes, F.lit(0)) > 0) & (F.coalesce(seconds, F.lit(0)) > 0) & ~runtime_agrees(seconds, minutes)["ok"]
+    reasons = [(apart, "title differs"), ((theirs != "") & (ours != "") & (theirs != ours), "year differs"), (late, "runtime differs"), ((ours == "") & film, "no year to compare")]
+    return F.when(~found, F.array(F.lit("nothing matched"))).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(text)) for test, text in reasons])))
 
 
 def nearest(rows: DataFrame, references: DataFrame, by: list[str], order: list[str], hashes: list[str], reference_hash: str, reference_id: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import audio_rank, is_lossless, lookup
+from ..functions.numbers import audio_rank, lookup
 
 # Fixed values.
 ENGLISH, JAPANESE = ["eng", "en"], ["jpn", "ja", "jp"]
@@ -21,6 +21,8 @@ LAYOUTS = {
     "5.0": "FL FR FC BL BR", "5.0(side)": "FL FR FC SL SR", "5.1": "FL FR FC LFE BL BR", "5.1(side)": "FL FR FC LFE SL SR", "6.0": "FL FR FC BC SL SR", "6.1": "FL FR FC LFE BC SL SR", "7.0": "FL FR FC BL BR SL SR",
     "7.1": "FL FR FC LFE BL BR SL SR", "7.1(wide)": "FL FR FC LFE BL BR FLC FRC", "7.1(wide-side)": "FL FR FC LFE FLC FRC SL SR",
 }
+CENTRE_GAIN = 0.919
+OPUS_LEAST, OPUS_PER_CHANNEL, OPUS_MOST = 160, 128, 768
 LEFT_GAIN = {"FL": 1.0, "LFE": 0.350, "SL": 0.566, "BL": 0.566, "BC": 0.400, "FLC": 0.707}
 RIGHT_GAIN = {"FR": 1.0, "LFE": 0.350, "SR": 0.566, "BR": 0.566, "BC": 0.400, "FRC": 0.707}
 
@@ -67,23 +69,29 @@ def picked_audio(tracks: Column) -> Column:
     return F.struct(F.coalesce(english, japanese, F.get(tracks, F.lit(0))).alias("track"), reason.alias("reason"))
 
 
-def audio_in_order(tracks: Column, picked: Column, languages: Column) -> Column:
-    """Allowed languages (all, if that leaves none): English, Japanese, then the rest with the picked one first."""
-    allowed = F.filter(tracks, lambda t: F.array_contains(languages, t["lang"]))
-    kept = F.when((F.size(languages) > 0) & (F.size(allowed) > 0), allowed).otherwise(tracks)
-    keyed = F.transform(kept, lambda t, i: F.struct(language_rank(t).alias("a"), F.when(t["idx"] == picked["idx"], 0).otherwise(1).alias("b"), i.alias("c"), t.alias("t")))
-    keyed = F.transform(keyed, lambda k: F.struct(k["a"].alias("a"), F.when(k["a"] == 2, k["b"]).otherwise(0).alias("b"), k["c"].alias("c"), k["t"].alias("t")))
+def audio_in_order(tracks: Column, picked: Column, languages: list[str]) -> Column:
+    """Tracks of the wanted languages (all, if none are named; the picked or else the first, if there are none): English, Japanese, then the rest with the picked one first."""
+    kept = tracks
+    if languages:
+        kept = F.filter(tracks, lambda t: _is(t, [x.lower() for x in languages]))
+        kept = F.when(F.size(kept) > 0, kept).when(picked.isNotNull(), F.filter(tracks, lambda t: t["idx"] == picked["idx"])).otherwise(F.slice(tracks, 1, 1))
+    keyed = F.transform(kept, lambda t, i: F.struct(language_rank(t).alias("a"), F.when((language_rank(t) == 2) & ~t["idx"].eqNullSafe(picked["idx"]), 1).otherwise(0).alias("b"), i.alias("c"), t.alias("t")))
     return F.transform(F.array_sort(keyed, lambda x, y: _compare(x, y, ["a", "b", "c"])), lambda k: k["t"])
 
 
 def audio_slots(tracks: Column) -> Column:
-    """array<struct(kind, idx)>: boosted and original English, Japanese; one foreign track if there is no English."""
-    only = F.when((F.size(tracks) == 1) & F.exists(tracks, lambda t: F.coalesce(t["lang"], F.lit("und")) == "und"), F.get(tracks, F.lit(0)))
-    english = F.coalesce(best_audio(tracks, ENGLISH), only)
-    japanese = best_audio(tracks, JAPANESE)
-    slot = lambda kind, track: F.when(track.isNotNull(), F.struct(F.lit(kind).alias("kind"), track["idx"].alias("idx")))
-    foreign = F.when(english.isNull() & japanese.isNull(), F.get(tracks, F.lit(0)))
-    return F.array_compact(F.array(slot("boosted", english), slot("original", english), slot("japanese", japanese), slot("foreign", foreign)))
+    """array<struct(kind, idx, lang)>: boosted and original English and then Japanese; without English one foreign track.
+
+    A lone track that is neither English nor Japanese takes the English slots.
+    """
+    english, japanese = best_audio(tracks, ENGLISH), best_audio(tracks, JAPANESE)
+    lone = F.when((F.size(tracks) == 1) & english.isNull() & japanese.isNull(), F.get(tracks, F.lit(0)))
+    english = F.coalesce(english, lone)
+    primary = F.coalesce(japanese, picked_audio(tracks)["track"])
+    spoken = F.lower(F.coalesce(primary["lang"], F.lit("und")))
+    slot = lambda kind, track, lang: F.when(track.isNotNull(), F.struct(F.lit(kind).alias("kind"), track["idx"].alias("idx"), lang.alias("lang")))
+    with_english = F.array(slot("boosted", english, F.lit("eng")), slot("original", english, F.lit("eng")), slot("japanese", japanese, F.lit("jpn")))
+    return F.array_compact(F.when(english.isNotNull(), with_english).otherwise(F.array(slot("foreign", primary, F.when(spoken.isin("ja", "jp"), "jpn").otherwise(spoken)))))
 
 
 def subtitle_slots(subs: Column, english_audio: Column) -> Column:
@@ -117,18 +125,20 @@ def stream_bitrate(field: Column, tags: Column) -> Column:
     return F.coalesce(F.nullif(field, F.lit(0)), F.get(named, F.lit(0))["value"].try_cast("long"), F.lit(0))
 
 
-def opus_bitrate(channels: Column, bitrate: Column, codec: Column) -> Column:
-    """bits a second for a copy: 160 to 768 kb/s, by channels, not above a lossy source."""
-    wanted = F.least(F.greatest(channels * 96_000, F.lit(160_000)), F.lit(768_000))
-    return F.when(is_lossless(codec, bitrate) | (F.coalesce(bitrate, F.lit(0)) <= 0), wanted).otherwise(F.greatest(F.lit(160_000), F.least(wanted, bitrate)))
+def opus_bitrate(channels: Column, bitrate: Column, source_channels: Column, lossless: Column) -> Column:
+    """kb/s for a copy: so many a channel, for a lossy source at least its own rate a channel, within limits."""
+    limited = lambda x: F.least(F.greatest(x, F.lit(OPUS_LEAST)), F.lit(OPUS_MOST))
+    base = limited(OPUS_PER_CHANNEL * F.greatest(channels, F.lit(1)))
+    own = F.when((bitrate > 0) & (source_channels > 0) & ~lossless, (bitrate / source_channels * channels / 1000.0).cast("int"))
+    return limited(F.greatest(base, F.coalesce(own, base)))
 
 
-def downmix(layout: Column, centre: float = 0.707) -> Column:
-    """Stereo downmix expression of a channel layout; null for unknown ones."""
+def downmix(layout: Column, boost: float = 1.0) -> Column:
+    """Stereo downmix expression of a channel layout, its centre multiplied by the boost; null for unknown ones."""
     channels = F.split(F.create_map(*[F.lit(x) for pair in LAYOUTS.items() for x in pair])[layout], " ")
 
     def side(name: str, gains: dict[str, float]) -> Column:
-        terms = F.transform(channels, lambda c: F.struct(c.alias("c"), lookup(gains | {"FC": centre}, c, 0.0).alias("g")))
+        terms = F.transform(channels, lambda c: F.struct(c.alias("c"), lookup(gains | {"FC": CENTRE_GAIN * boost}, c, 0.0).alias("g")))
         used = F.filter(terms, lambda t: t["g"] > 0)
         return F.concat(F.lit(f"{name}="), F.array_join(F.transform(used, lambda t: F.concat(F.format_string("%.3f", t["g"]), F.lit("*"), t["c"])), "+"))
 
@@ -140,12 +150,13 @@ def named_subtitles(subs: DataFrame, by: list[str]) -> DataFrame:
 
     subs: by, pos, lang, codec, forced, sdh, title.
     """
+    spoken = F.lower(F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und")))
     kind = F.when(F.col("forced"), " (Forced)").when(F.col("sdh"), " (SDH)").otherwise("")
-    base = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(lookup(LANGUAGE_LABEL, F.col("lang"), "Undetermined"), kind))
+    base = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.coalesce(lookup(LANGUAGE_LABEL, spoken, None), F.initcap(spoken)), kind))
     rows = subs.withColumn("base", base)
     same = W.partitionBy(*by, "base")
     number = F.row_number().over(same.orderBy("pos"))
-    label = lookup(FORMAT_LABEL, F.col("codec"), "")
+    label = lookup(FORMAT_LABEL, F.lower(F.col("codec")), "")
     name = F.when(F.count("*").over(same) == 1, F.col("base")).when(label != "", F.concat("base", F.lit(" ("), label, F.lit(" "), number.cast("string"), F.lit(")"))).otherwise(F.concat("base", F.lit(" "), number.cast("string")))
     return rows.withColumn("name", name).drop("base")
 
@@ -173,3 +184,32 @@ def people(credits: Column, job: str | None = None, department: str | None = Non
     else:
         names = F.transform(credits, lambda c: F.concat(c["name"], F.when(F.coalesce(c["role"], F.lit("")) != "", F.concat(F.lit(" as "), c["role"])).otherwise("")))
     return F.slice(F.filter(names, lambda n: F.coalesce(n, F.lit("")) != ""), 1, limit)
+
+
+def muxer_ids(streams: Column, tracks: Column, kind: str) -> Column:
+    """array<struct(idx, id)>: streams of a probe and tracks of a muxer, matched by position among those of one kind."""
+    ids = F.transform(F.filter(tracks, lambda t: t["type"] == kind), lambda t: t["id"])
+    return F.transform(streams, lambda s, i: F.struct(s["idx"].alias("idx"), F.get(ids, i).alias("id")))
+
+
+def ledger_problems(rows: DataFrame, by: list[str], stage: str, duration: str = "dur", tolerance: float = 2.0) -> DataFrame:
+    """What each stage lost against the one before it: tracks that went (counted by kind), tracks that got shorter.
+
+    rows: by, stage, kind, pos, duration.  Returns by, stage, kind, pos (null for a count), problem, was and now.
+    """
+    order = W.partitionBy(*by).orderBy(stage)
+    stages = rows.select(*by, stage).distinct().withColumn("_before", F.lag(stage).over(order)).where("_before is not null")
+    counts = rows.groupBy(*by, stage, "kind").agg(F.count("*").cast("double").alias("n"))
+    kinds = stages.join(counts.select(*by, F.col(stage).alias("_before"), "kind", F.col("n").alias("was")), [*by, "_before"])
+    gone = kinds.join(counts.withColumnRenamed("n", "now"), [*by, stage, "kind"], "left").withColumn("now", F.coalesce("now", F.lit(0.0))).where("now < was")
+    after = rows.select(*by, stage, "kind", "pos", F.col(duration).alias("now"))
+    before = rows.select(*by, F.col(stage).alias("_before"), "kind", "pos", F.col(duration).alias("was"))
+    short = stages.join(after, [*by, stage]).join(before, [*by, "_before", "kind", "pos"]).where((F.col("was") > 0) & (F.col("now") > 0) & (F.col("was") - F.col("now") > tolerance))
+    pick = lambda d, pos, problem: d.select(*by, stage, "kind", pos.alias("pos"), F.lit(problem).alias("problem"), "was", "now")
+    return pick(gone, F.lit(None).cast("long"), "fewer").union(pick(short, F.col("pos").cast("long"), "short"))
+
+
+def untagged_audio(tag: Column, heard: Column, english_present: Column) -> Column:
+    """The language of an audio track: one without a tag, where no track is tagged English, is what was heard of it."""
+    none = F.lower(F.coalesce(tag, F.lit("und"))).isin("und", "", "unk") & ~english_present
+    return F.when(none & (heard == "jpn"), "jpn").when(none & (heard == "latin"), "eng").otherwise(tag)

@@ -44,13 +44,15 @@ def sniff_language(spark: SparkSession, folder: str) -> DataFrame:
     return profiles.select("doc_id", X.sniffed_language(F.col("p")).alias("language"))
 
 
-_WORDS = [("the", "EN"), ("les", "FR"), ("und", "DE"), ("los", "ES"), ("pixar", "Pixar")]
-_KEY = r"'_' || regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') || '_'"
+_NAMES = ["", "A 007 film", "James-Bond begins", "MARVEL's one", "a Star.Wars story", "startrekker", "Star Trek II", "stargate.sg1", "bonded", "Middleearth", "lotr/pixar", "the ghibli", "dcu x"]
+_KEY = f"'_' || regexp_replace(lower(left(text, 40) || ' ' || ({[n.replace(chr(39), ' ') for n in _NAMES]})[doc_id % {len(_NAMES)} + 1]), '[^a-z0-9]+', '_', 'g') || '_'"
 
 
-@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(k, '_{w}_') THEN '{label}'" for w, label in _WORDS) + f" END AS label FROM (SELECT doc_id, {_KEY} AS k FROM documents)")
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(k, '_{w}_') THEN '{label}'" for w, label in matching.FRANCHISES) + f" END AS label FROM (SELECT doc_id, {_KEY} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def franchise_match(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", matching.franchise(F.col("text"), _WORDS).alias("label"))
+    """Names that end a document's first words, against the ordered table."""
+    name = F.get(F.array(*[F.lit(n.replace("'", " ")) for n in _NAMES]), (F.col("doc_id") % len(_NAMES)).cast("int"))
+    return table(spark, folder, "documents").select("doc_id", matching.franchise(F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.lit(" "), name)).alias("label"))
 
 
 @query(r"""
@@ -169,24 +171,29 @@ def picked_audio(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("l_orderkey", F.col("p.track.idx").alias("idx"), "p.reason")
 
 
-@query(f"SELECT l_orderkey, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY CASE language WHEN 'eng' THEN 0 WHEN 'jpn' THEN 1 ELSE 2 END, pos) AS ids FROM {_RANKED} GROUP BY l_orderkey")
+@query(f"""
+WITH p AS (SELECT l_orderkey, coalesce(min(pos) FILTER (language = 'eng'), min(pos) FILTER (language = 'jpn'), 0) AS picked FROM {_RANKED} GROUP BY l_orderkey),
+r AS (SELECT *, CASE language WHEN 'eng' THEN 0 WHEN 'jpn' THEN 1 ELSE 2 END AS a FROM {_RANKED} JOIN p USING (l_orderkey))
+SELECT l_orderkey, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY a, a = 2 AND pos <> picked, pos) AS ids, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY a, a = 2 AND pos <> picked, pos) FILTER (language IN ('jpn', 'fre')), CAST(any_value(picked) AS VARCHAR)) AS wanted FROM r GROUP BY l_orderkey""")
 def track_order(spark: SparkSession, folder: str) -> DataFrame:
     picked = tracks.picked_audio(F.col("tracks"))["track"]
-    ordered = tracks.audio_in_order(F.col("tracks"), picked, F.array().cast("array<string>"))
-    return _audio(spark, folder).select("l_orderkey", F.array_join(F.transform(ordered, lambda t: t["idx"].cast("string")), ",").alias("ids"))
+    ordered = tracks.audio_in_order(F.col("tracks"), picked, [])
+    wanted = tracks.audio_in_order(F.col("tracks"), picked, ["JPN", "fre"])
+    ids = lambda found: F.array_join(F.transform(found, lambda t: t["idx"].cast("string")), ",")
+    return _audio(spark, folder).select("l_orderkey", ids(ordered).alias("ids"), ids(wanted).alias("wanted"))
 
 
 @query(f"""
 SELECT l_orderkey, pos, CASE WHEN n = 1 THEN base ELSE base || ' (' || fmt || ' ' || k || ')' END AS name FROM (
   SELECT *, count(*) OVER (PARTITION BY l_orderkey, base) AS n, row_number() OVER (PARTITION BY l_orderkey, base ORDER BY pos) AS k FROM (
-    SELECT l_orderkey, pos, {sql_map({0: 'English', 1: 'Japanese', 2: 'French', 3: 'Undetermined'}, 'l_partkey % 4', 'English')} || CASE WHEN l_returnflag = 'R' THEN ' (Forced)' WHEN l_returnflag = 'A' THEN ' (SDH)' ELSE '' END AS base, CASE WHEN l_suppkey % 2 = 0 THEN 'PGS' ELSE 'SRT' END AS fmt FROM {_L}))""")
+    SELECT l_orderkey, pos, {sql_map({0: 'English', 1: 'Japanese', 2: 'French', 3: 'Xyz'}, 'l_partkey % 4', 'English')} || CASE WHEN l_returnflag = 'R' THEN ' (Forced)' WHEN l_returnflag = 'A' THEN ' (SDH)' ELSE '' END AS base, CASE WHEN l_suppkey % 2 = 0 THEN 'PGS' ELSE 'SRT' END AS fmt FROM {_L}))""")
 def subtitle_names(spark: SparkSession, folder: str) -> DataFrame:
-    lang = F.get(F.array(*[F.lit(v) for v in _LANG.values()]), (F.col("l_partkey") % 4).cast("int"))
+    lang = F.get(F.array(*map(F.lit, ["ENG", "jpn", "fre", "XYZ"])), (F.col("l_partkey") % 4).cast("int"))
     subs = _lines(spark, folder).select("l_orderkey", "pos", lang.alias("lang"), F.when(F.col("l_suppkey") % 2 == 0, "pgssub").otherwise("subrip").alias("codec"), (F.col("l_returnflag") == "R").alias("forced"), (F.col("l_returnflag") == "A").alias("sdh"), F.lit("").alias("title"))
     return tracks.named_subtitles(subs, ["l_orderkey"]).select("l_orderkey", "pos", "name")
 
 
-_GAINS = [("stereo", "pan=stereo|FL=1.000*FL|FR=1.000*FR"), ("5.1", "pan=stereo|FL=1.000*FL+0.707*FC+0.350*LFE+0.566*BL|FR=1.000*FR+0.707*FC+0.350*LFE+0.566*BR"), ("mono", "pan=stereo|FL=0.707*FC|FR=0.707*FC")]
+_GAINS = [("stereo", "pan=stereo|FL=1.000*FL|FR=1.000*FR"), ("5.1", "pan=stereo|FL=1.000*FL+0.919*FC+0.350*LFE+0.566*BL|FR=1.000*FR+0.919*FC+0.350*LFE+0.566*BR"), ("mono", "pan=stereo|FL=0.919*FC|FR=0.919*FC")]
 
 
 @query("SELECT p_partkey, " + sql_map(dict(enumerate(x[1] for x in _GAINS)), "p_partkey % 4", "-") + " AS pan FROM part WHERE p_partkey % 4 < 3 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 4 = 3")
@@ -204,11 +211,17 @@ def xml_tags(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", sinks.xml_tags(levels).alias("xml"))
 
 
-@query(None)
+@query(r"""
+WITH RECURSIVE w AS (SELECT conv_id, turn, role, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS words FROM conversations),
+l AS (SELECT conv_id, turn, 1 AS i, '' AS done, coalesce(words[1], '') AS line FROM w
+  UNION ALL SELECT l.conv_id, l.turn, i + 1, CASE WHEN length(line) + 1 + length(words[i + 1]) <= 64 THEN done ELSE done || line || chr(10) END, CASE WHEN length(line) + 1 + length(words[i + 1]) <= 64 THEN line || ' ' || words[i + 1] ELSE words[i + 1] END FROM l JOIN w ON l.conv_id = w.conv_id AND l.turn = w.turn WHERE i < len(words)),
+e AS (SELECT conv_id, turn, arg_max(done || line, i) AS synopsis FROM l GROUP BY ALL)
+SELECT conv_id, turn, sha256(concat_ws(chr(10) || chr(10), role, '[identification]' || chr(10) || 'id ' || conv_id, CASE WHEN synopsis <> '' THEN '[synopsis]' || chr(10) || synopsis END)) AS sheet FROM w JOIN e USING (conv_id, turn)""")
 def info_sheets(spark: SparkSession, folder: str) -> DataFrame:
-    """Sheets of conversation turns with wrapped text; wrapping is held against Python's own on fixtures."""
+    """Sheets of conversation turns with wrapped text, as digests."""
     rows = table(spark, folder, "conversations")
-    return rows.select("conv_id", "turn", sinks.info_sheet(F.col("role"), F.concat(F.lit("id "), F.col("conv_id").cast("string")), F.lit(None).cast("string"), F.col("text")).alias("sheet"))
+    sheet = sinks.info_sheet(F.col("role"), F.concat(F.lit("id "), F.col("conv_id").cast("string")), F.lit(None).cast("string"), F.col("text"))
+    return rows.select("conv_id", "turn", F.sha2(sheet.cast("binary"), 256).alias("sheet"))
 
 
 @query("""
