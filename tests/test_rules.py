@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from trackplan.functions import numbers as N
 from trackplan.functions import text as X
-from trackplan.operators import align, planning, tracks
+from trackplan import registry
+from trackplan.operators import align, planning, rectangles, series, tracks
 from trackplan.operators.queue import scannable
 
 
@@ -32,7 +33,7 @@ def test_small_rules(spark):
     assert one(spark, planning.tile_ladder(F.lit(100))) == [100, 64, 64, 0]
     assert one(spark, N.runtime_agrees(F.lit(5760), F.lit(100)))["note"] == "runtime_pal_speedup"
     assert one(spark, N.hamming(F.lit(5).cast("long"), F.lit(None).cast("long"))) == 64
-    assert one(spark, N.repair_strength(F.lit("auto"), F.lit("awful"), F.lit(True))) == "strong"
+    assert one(spark, N.repair_strength("auto", F.lit("awful"), F.lit(True))) == "strong" and one(spark, N.repair_strength("weak", F.lit("high"), F.lit(False))) is None
 
 
 def test_text(spark):
@@ -63,7 +64,9 @@ def test_tracks(spark):
     both = F.from_json(F.lit('[{"idx":1,"lang":"jpn","ch":2,"codec":"aac"},{"idx":2,"lang":"eng","ch":6,"codec":"dts","bit_rate":768000}]'), kind)
     assert [s["kind"] for s in one(spark, tracks.audio_slots(both))] == ["boosted", "original", "japanese"]
     lone = F.from_json(F.lit('[{"idx":4,"lang":"fre","ch":2,"codec":"aac"}]'), kind)
-    assert [tuple(s) for s in one(spark, tracks.audio_slots(lone))] == [("foreign", 4)]
+    assert [tuple(s) for s in one(spark, tracks.audio_slots(lone))] == [("boosted", 4, "eng"), ("original", 4, "eng")]
+    two = F.from_json(F.lit('[{"idx":4,"lang":"fre","ch":2,"codec":"aac"},{"idx":5,"lang":"ger","ch":2,"codec":"aac"}]'), kind)
+    assert [tuple(s) for s in one(spark, tracks.audio_slots(two))] == [("foreign", 4, "fre")]
     subs = F.from_json(F.lit('[{"idx":3,"lang":"eng","forced":false,"sdh":false},{"idx":4,"lang":"jpn","forced":false,"sdh":false},{"idx":5,"lang":"eng","forced":true,"sdh":false}]'), "array<struct<idx int, lang string, codec string, forced boolean, sdh boolean, title string>>")
     assert tuple(one(spark, tracks.subtitle_slots(subs, F.lit(True)))) == (5, 3, 4)
     assert [s["idx"] for s in one(spark, tracks.usable_subtitles(subs, F.array(F.lit(4)), F.array().cast("array<string>")))] == [3, 5]
@@ -75,13 +78,58 @@ def test_alignment_kernels():
     base = rng.normal(size=20000)
     late = np.concatenate([np.zeros(25), base])[:20000]
     found, sure = align.lag(late[:6000], base[:6000], 100.0, 2.0)
-    assert found == pytest.approx(0.25) and sure > 8
-    assert all(a[3] and a[1] == pytest.approx(0.25) for a in align.anchors(late, base, 100.0, step=30.0))
+    assert found == pytest.approx(-0.25) and sure > 8
+    assert all(a[3] and a[1] == pytest.approx(-0.25) for a in align.anchors(late, base, 100.0, step=30.0)[1:])
+    assert align.broad_offset(late, base, 100.0)[0] == pytest.approx(-0.25) and align.broad_offset(late, base, 100.0, 0.1)[0] is None
     assert align.localised(lambda t: 0.0 if t < 37 else 1.0, 0.0, 64.0, 0.0, 1.0, steps=6) == pytest.approx(37, abs=1)
     out = align.warped(np.ones(1000), 100.0, np.array([0.0, 10.0]), np.array([0.0, 12.0]), [(2.0, 3.0)])
     assert len(out) == 1200 and out[250] == 0 and out[100] == 1
 
 
+def test_timeline_chain(spark):
+    """A track that starts late, and one that lacks 1.2 s in the middle, come out aligned."""
+    rng = np.random.default_rng(8)
+    master = rng.normal(size=30000)
+    tracks_ = {1: np.concatenate([np.zeros(40), master])[:30000], 2: np.concatenate([master[:15000], master[15120:]])}
+    rows = []
+    for k, a in tracks_.items():
+        found = [x for x in align.anchors(a, master, 100.0, step=20.0, window=10.0) if x[3]]
+        for x, y in zip(found, [*found[1:], None], strict=True):
+            place = align.localised(lambda t, a=a: align.offset_at(a, master, 100.0, t, 0.0, 6.0, 2.0)[0], x[0], y[0], x[1], y[1], steps=6) if y and abs(y[1] - x[1]) > 0.1 else None
+            rows.append((k, float(x[0]), float(x[1]), len(a) / 100.0, place))
+    anchors = spark.createDataFrame(rows, "k int, t double, offset double, duration double, step_at double")
+    knots = {}
+    for r in series.build_warp(anchors, ["k"], "duration", step_at="step_at").orderBy("old_t").collect():
+        knots.setdefault(r.k, []).append((r.old_t, r.new_t, r.gap))
+    for k, a in tracks_.items():
+        out = align.conformed(a, master, 100.0, knots[k])
+        for t in (50.0, 120.0, 220.0, 270.0):
+            at = int(t * 100)
+            assert align.lag(out[at : at + 1500], master[at - 200 : at + 1700], 100.0, 4.0, 0.0)[0] == pytest.approx(2.0, abs=0.02), (k, t)
+
+
+def test_lines_of_small_groups(spark):
+    """One point, or one time, gives slope 0 and the median."""
+    rows = [("a", 1.0, 5.0), ("b", 2.0, 1.0), ("b", 2.0, 3.0), ("c", 0.0, 0.0), ("c", 1.0, 2.0)]
+    found = {r.g: r for r in series.robust_line(spark.createDataFrame(rows, "g string, t double, e double"), ["g"], "t", "e").collect()}
+    assert [(found[g].slope, found[g].intercept, found[g].rms) for g in "ab"] == [(0.0, 5.0, 0.0), (0.0, 2.0, 0.0)] and found["c"].slope == pytest.approx(2.0)
+
+
+def test_rectangles(spark):
+    rows = spark.createDataFrame([(1, 1904, 800, 8, 140), (1, 1912, 802, 4, 138), (1, 1908, 804, 6, 136), (2, 1918, 1078, 0, 0)], "k int, w int, h int, x int, y int").withColumn("fw", F.lit(1920)).withColumn("fh", F.lit(1080))
+    found = {r.k: tuple(r)[1:] for r in rectangles.bounding(rows, ["k"], "fw", "fh").collect()}
+    assert found == {1: (1912, 804, 4, 136), 2: (None,) * 4}
+
+
+def test_plan_branches(spark):
+    """Every branch of the plan occurs in the query."""
+    rows = registry.queries()["plan_rules"](spark, "/root/testdata/sf0.01").collect()
+    words = " ".join(r.chain + ";" + r.notes for r in rows)
+    for part in ("bwdif", "crop=", "eq=", "deblock=filter=weak", "deblock=filter=strong", "hqdn3d", "zscale", "range=16", "scale=-2:1080", "scale=-2:2160", "atadenoise", "cas=", "uhd_padded", "uhd_downscaled", "uhd_native", "upscale_kept", "hq_source", "lowres", "budget_unavailable", "uhd_budget_cq", "hlg_kept", "deband_skipped", "downscaled_to_1080"):
+        assert part in words, part
+    assert {r.gate for r in rows} == {True, False} and {r.out_space for r in rows} == {"hdr10", "hlg", "sdr709"}
+
+
 def test_registry_without_llm():
     import subprocess
     import sys

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def lag(a: np.ndarray, reference: np.ndarray, rate: float, most: float, least: float | None = None) -> tuple[float, float]:
-    """(seconds that `a` lags the reference, confidence) by the peak of their cross-correlation within limits.
+    """(offset, confidence) by the peak of the cross-correlation of reference and `a` within limits.
 
-    Confidence is the peak over the median of the absolute correlation there.
+    The offset is added to a place in `a` to find it in the reference: positive
+    if `a` is early, negative if it is late.  Confidence is the peak over the median of the absolute correlation there.
     """
     a, b = np.asarray(a, dtype=float), np.asarray(reference, dtype=float)
     if not len(a) or not len(b) or not np.ptp(a) or not np.ptp(b):
@@ -21,43 +22,60 @@ def lag(a: np.ndarray, reference: np.ndarray, rate: float, most: float, least: f
     a, b = a - a.mean(), b - b.mean()
     a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
     size = 1 << (len(a) + len(b) - 1).bit_length()
-    field = np.abs(np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size))
+    field = np.abs(np.fft.irfft(np.fft.rfft(b, size) * np.conj(np.fft.rfft(a, size)), size))
     lags = np.arange(size)
     lags[lags > size // 2] -= size
     low = -most if least is None else least
-    inside = (lags >= low * rate) & (lags <= most * rate) & (lags > -len(b)) & (lags < len(a))
+    inside = (lags >= low * rate) & (lags <= most * rate) & (lags > -len(a)) & (lags < len(b))
     if not inside.any():
         return 0.0, 0.0
     best = np.flatnonzero(inside)[np.argmax(field[inside])]
     return float(lags[best] / rate), float(field[best] / max(np.median(field[inside]), 1e-12))
 
 
+def offset_at(a: np.ndarray, reference: np.ndarray, rate: float, t: float, expected: float, search: float, window: float) -> tuple[float, float]:
+    """(offset, confidence) of the window of `a` at t, looked for in the reference within `search` of the expected offset."""
+    at, n = int(round(t * rate)), int(window * rate)
+    start = int(round((t + expected - search) * rate))
+    cut = reference[max(start, 0) : max(start + n + int(2 * search * rate), 0)]
+    before = min(start, 0) / rate  # the part of the search that lies before the reference
+    found, sureness = lag(a[at : at + n], cut, rate, 2 * search + before, before)
+    return found + max(start, 0) / rate - t, sureness
+
+
+def broad_offset(a: np.ndarray, reference: np.ndarray, rate: float, limit: float = 10.0) -> tuple[float | None, float]:
+    """(offset, confidence) over the whole of both; None for one that is too large to be true."""
+    found, sureness = lag(a, reference, rate, len(reference) / rate, -len(a) / rate)
+    return (None if abs(found) > limit else found), sureness
+
+
 def anchors(a: np.ndarray, reference: np.ndarray, rate: float, step: float = 60.0, window: float = 20.0, fine: float = 0.5, wide: float = 6.0, sure: float = 8.0, limit: float = 10.0) -> list[tuple]:
-    """(t, offset, confidence, good, how) every `step` seconds; each probe is centred on the last good offset."""
-    out, expected = [], lag(a, reference, rate, limit)[0]
-    n = int(window * rate)
-    for t in np.arange(0.0, max(len(reference) / rate - window, 0.0) + 1e-9, step):
-        at = int(t * rate)
-        ref, found = reference[at : at + n], None
-        for how, search in (("fine", fine), ("wide", wide)):
-            start = at + int(round((expected - search) * rate))
-            cut = a[max(start, 0) : start + n + int(2 * search * rate)]
-            off, sureness = lag(cut, ref, rate, 2 * search, 0.0)
-            off += max(start, 0) / rate - t
-            good = sureness >= sure and abs(off) <= limit and (how == "wide" or abs(off - expected) < 0.475)
-            found = (float(t), off, sureness, bool(good), how)
-            if good:
-                expected = off
-                break
-        out.append(found)
+    """(t, offset, confidence, good, how) every `step` seconds; each probe is centred on the last good offset, and tried wide if it fails."""
+    out, expected = [], broad_offset(a, reference, rate, limit)[0] or 0.0
+    for t in np.arange(0.0, max(len(a) / rate - window, 0.0) + 1e-9, step):
+        off, sureness, how = *offset_at(a, reference, rate, t, expected, fine, window), "fine"
+        good = sureness >= sure and abs(off - expected) < 0.95 * fine and abs(off) <= limit
+        if not good:
+            again, more = offset_at(a, reference, rate, t, expected, wide, window)
+            if more >= sure and abs(again) <= limit:
+                off, sureness, good, how = again, more, True, "wide"
+        out.append((float(t), off, sureness, bool(good), how))
+        if good:
+            expected = off
     return out
 
 
-def localised(offset_at: Callable[[float], float], t0: float, t1: float, before: float, after: float, steps: int = 4) -> float:
+def conformed(a: np.ndarray, reference: np.ndarray, rate: float, knots: list[tuple[float, float, float]]) -> np.ndarray:
+    """`a` on the timeline of knots (old_t, new_t, gap)."""
+    old_t, new_t = np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
+    return warped(a, rate, old_t, new_t, [(n, n + g) for _, n, g in knots if g > 0])
+
+
+def localised(probe: Callable[[float], float], t0: float, t1: float, before: float, after: float, steps: int = 4) -> float:
     """Where between two anchors the offset steps, by bisection."""
     for _ in range(steps):
         middle = (t0 + t1) / 2
-        value = offset_at(middle)
+        value = probe(middle)
         t0, t1 = (middle, t1) if abs(value - before) <= abs(value - after) else (t0, middle)
     return (t0 + t1) / 2
 

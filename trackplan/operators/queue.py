@@ -76,3 +76,48 @@ def with_precedence(*maps: Column) -> Column:
     """Settings from several maps; earlier ones win."""
     keys = F.array_distinct(F.concat(*[F.map_keys(m) for m in maps]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(*[m[k] for m in maps])))
+
+
+def with_records(outputs: DataFrame, log: DataFrame, path: Column, out: Column, source: str, rest: list[str]) -> DataFrame:
+    """Outputs with the source and record of the log's row of the same output, case-folded; without one the output is its own source."""
+    known = log.select(F.lower(out).alias("_out"), F.col(source).alias("_source"), *rest)
+    both = outputs.withColumn("_path", path).join(known, F.lower(F.col("_path")) == F.col("_out"), "left")
+    return both.withColumn("source", F.coalesce("_source", "_path")).drop("_path", "_out", "_source")
+
+
+def with_cached(items: DataFrame, cache: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """Items with the cached value of each name, or the one worked out where the cache has none."""
+    kept = cache.select(key, *[F.col(n).alias(f"_{n}") for n in values])
+    both = items.join(kept, key, "left")
+    return both.select(*items.columns, *[F.coalesce(f"_{n}", v).alias(n) for n, v in values.items()], F.coalesce(*[F.col(f"_{n}") for n in values]).isNotNull().alias("hit"))
+
+
+def with_sidecars(items: DataFrame, listing: DataFrame, path: str = "path", suffix: str = "info") -> DataFrame:
+    """done: a file of the same stem and the suffix is in the listing."""
+    stem = F.regexp_replace(path, r"\.[^./]+$", "")
+    sidecars = listing.where(F.col(path).endswith(f".{suffix}")).select(stem.alias("_stem")).distinct()
+    return items.join(sidecars, stem == F.col("_stem"), "left").withColumn("done", F.col("_stem").isNotNull()).drop("_stem")
+
+
+def orphaned(sessions: DataFrame, own: int, idle: str = "idle", alive: str = "alive", least_idle: float = 86400.0) -> DataFrame:
+    """Sessions `s<process>-...` of other processes that are gone, or untouched for a day."""
+    process = F.regexp_extract("name", r"^s(\d+)-", 1).try_cast("long")
+    return sessions.withColumn("process", process).where(process.isNotNull() & (process != own) & (~F.col(alive) | (F.col(idle) >= least_idle)))
+
+
+#: How good a kind of medium is as scratch space, and the least that must be free.
+MEDIUM_RANK = {"nvme": 4, "scm": 4, "ssd": 3, "unknown": 2, "hdd": 1}
+SCRATCH_FREE = 50 * 1024**3
+
+
+def scratch_volumes(volumes: DataFrame, by: list[str], need: Column, target: Column) -> DataFrame:
+    """Volumes (root, free, media, mbps) with room enough, and their place: by medium (unknown ones by speed), not the target's own, most free."""
+    media = F.when(F.col("media") != "unknown", F.col("media")).when(F.col("mbps") >= 400, "ssd").when(F.col("mbps") > 0, "hdd").otherwise("unknown")
+    rows = volumes.where(F.col("free") >= F.greatest(F.lit(SCRATCH_FREE), need)).withColumn("media", media).withColumn("rank", lookup(MEDIUM_RANK, F.col("media"), 2))
+    same = F.upper(F.left("root", F.lit(1))) == F.upper(F.left(target, F.lit(1)))
+    return rows.withColumn("same_disk", same).withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("rank"), F.asc("same_disk"), F.desc("free"), "root")))
+
+
+def first_of_each(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """Rows without repeats of `by`: the first of each."""
+    return numbered_within(rows, by, order, "_first").where("_first = 1").drop("_first")

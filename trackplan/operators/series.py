@@ -54,16 +54,26 @@ def without_trailing_repeats(rows: DataFrame, by: list[str], position: str, valu
     return both.where(~drop).drop("_other", "_all", "_z", "_last", "_length")
 
 
-def interpolated(probes: DataFrame, knots: DataFrame, by: list[str], t: str, x: str, y: str, name: str = "value") -> DataFrame:
-    """y at t of each probe, linear between the knots (x, y) on its sides and level beyond them."""
-    both = probes.withColumn("_x", F.col(t)).withColumn("_y", F.lit(None).cast("double")).withColumn("_probe", F.lit(1)).unionByName(knots.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(0).alias("_probe")), allowMissingColumns=True)
-    knot = F.when(F.col("_probe") == 0, F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
-    order = W.partitionBy(*by).orderBy("_x", "_probe")
-    a = F.last(knot, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    b = F.first(knot, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    both = both.withColumn("_a", a).withColumn("_b", b)
-    line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col("_x") - F.col("_a.x")) / F.nullif(F.col("_b.x") - F.col("_a.x"), F.lit(0.0))
-    return both.where("_probe = 1").withColumn(name, F.coalesce(line, F.col("_a.y"), F.col("_b.y"))).drop("_x", "_y", "_probe", "_a", "_b")
+def interpolated(probes: DataFrame, knots: DataFrame, by: list[str], t: str, x: str, y: str, name: str = "value", width: float = 86400.0) -> DataFrame:
+    """y at t of each probe, linear between the knots (x, y) on its sides and level beyond them.
+
+    Knots are few beside probes: each interval between two is dealt to the
+    buckets of `width` that it touches, and probes meet it by equality on their
+    bucket.  Probes are neither sorted nor gathered.  Knots share no x in a
+    group; probes of groups without knots get null.
+    """
+    order = W.partitionBy(*by).orderBy(x)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    k = knots.select(*by, F.col(x).cast("double").alias("_a"), F.col(y).alias("_ya"), F.lead(x).over(order).cast("double").alias("_b"), F.lead(y).over(order).alias("_yb"))
+    inner = k.where("_b is not null").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_b")))))
+    ends = knots.groupBy(*by).agg(F.min(F.struct(x, y)).alias("_first"), F.max(F.struct(x, y)).alias("_last"))
+    rows = probes.withColumn("_bucket", bucket(F.col(t))).alias("p")
+    inside = [F.col(f"p.{c}").eqNullSafe(F.col(f"k.{c}")) for c in by] + [F.col("p._bucket") == F.col("k._bucket"), (F.col(f"p.{t}") >= F.col("_a")) & (F.col(f"p.{t}") < F.col("_b"))]
+    both = rows.join(inner.alias("k"), inside, "left").select("p.*", "_a", "_ya", "_b", "_yb").alias("p")
+    both = both.join(ends.alias("e"), [F.col(f"p.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by], "left").select("p.*", "_first", "_last")
+    line = F.col("_ya") + (F.col("_yb") - F.col("_ya")) * (F.col(t) - F.col("_a")) / (F.col("_b") - F.col("_a"))
+    beyond = F.when(F.col(t) < F.col(f"_first.{x}"), F.col(f"_first.{y}")).otherwise(F.col(f"_last.{y}"))
+    return both.withColumn(name, F.coalesce(line, beyond)).drop("_bucket", "_a", "_ya", "_b", "_yb", "_first", "_last")
 
 
 def masked(rows: DataFrame, gaps: DataFrame, t: Column) -> DataFrame:
@@ -74,23 +84,26 @@ def masked(rows: DataFrame, gaps: DataFrame, t: Column) -> DataFrame:
 def robust_line(points: DataFrame, by: list[str], t: str, e: str, least: int = 3) -> DataFrame:
     """slope, intercept, kept, rms of a line through the points near the Theil-Sen line of each group.
 
-    Pairs of points grow with the square of a group: give bounded groups, for
-    instance means of fixed intervals.
+    Below four points, or with too few near, all are kept; with one point or one
+    time left the slope is 0 and the intercept the median.  Pairs of points grow
+    with the square of a group: give bounded groups, for instance means of fixed
+    intervals.
     """
     points = points.select(*by, F.col(t).cast("double").alias("t"), F.col(e).cast("double").alias("e"))
     a, b = points.alias("a"), points.alias("b")
     pairs = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.t") < F.col("b.t")])
     slopes = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.percentile((F.col("b.e") - F.col("a.e")) / (F.col("b.t") - F.col("a.t")), F.lit(0.5)).alias("m"))
-    lines = points.join(slopes, by).withColumn("r", F.col("e") - F.col("m") * F.col("t")).groupBy(*by).agg(F.first("m").alias("m"), F.percentile("r", F.lit(0.5)).alias("c"), F.count("*").alias("n"))
+    lines = points.join(slopes, by, "left").withColumn("m", F.coalesce("m", F.lit(0.0))).withColumn("r", F.col("e") - F.col("m") * F.col("t")).groupBy(*by).agg(F.first("m").alias("m"), F.percentile("r", F.lit(0.5)).alias("c"), F.count("*").alias("n"))
     off = points.join(lines, by).withColumn("d", F.abs(F.col("e") - F.col("m") * F.col("t") - F.col("c")))
     spread = off.groupBy(*by).agg(F.percentile("d", F.lit(0.5)).alias("mad"))
     limit = F.greatest(F.lit(0.050), 4 * F.when(F.col("mad") == 0, 0.005).otherwise(F.col("mad")))
     off = off.join(spread, by).withColumn("near", F.col("d") <= limit)
     near = F.sum(F.col("near").cast("int")).over(W.partitionBy(*by))
     kept = off.withColumn("_near", near).where(F.col("near") | (F.col("_near") < least) | (F.col("n") < 4))
-    fit = kept.groupBy(*by).agg(F.regr_slope("e", "t").alias("slope"), F.regr_intercept("e", "t").alias("intercept"), F.count("*").alias("kept"))
-    rms = kept.join(fit.select(*by, "slope", "intercept"), by).groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col("e") - F.col("slope") * F.col("t") - F.col("intercept"), F.lit(2.0)))).alias("rms"))
-    return fit.join(rms, by)
+    flat = F.min("t") == F.max("t")
+    fit = kept.groupBy(*by).agg(F.when(flat, 0.0).otherwise(F.regr_slope("e", "t")).alias("slope"), F.when(flat, F.percentile("e", F.lit(0.5))).otherwise(F.regr_intercept("e", "t")).alias("intercept"), flat.alias("flat"), F.count("*").alias("kept"))
+    rms = kept.join(fit.select(*by, "slope", "intercept", "flat"), by).groupBy(*by).agg(F.sqrt(F.avg(F.when(F.col("flat"), 0.0).otherwise(F.pow(F.col("e") - F.col("slope") * F.col("t") - F.col("intercept"), F.lit(2.0))))).alias("rms"))
+    return fit.drop("flat").join(rms, by)
 
 
 def envelope(samples: DataFrame, by: list[str], position: Column, value: Column, block: int) -> DataFrame:
@@ -131,17 +144,40 @@ def last_rows(rows: DataFrame, by: list[str], order: list[Column], n: int) -> Da
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
-def build_warp(anchors: DataFrame, by: list[str], duration: Column, t: str = "t", offset: str = "offset") -> DataFrame:
-    """Knots old_t -> new_t of a new timeline from good anchors; gap: seconds of silence at a positive step.
+def build_warp(anchors: DataFrame, by: list[str], duration: str, t: str = "t", offset: str = "offset", step_at: str | None = None, floor: float = 0.1, rate: float = 0.002) -> DataFrame:
+    """Knots old_t -> new_t of a new timeline from good anchors (by, t, offset, duration, step_at).
 
-    A rise of the offset beyond max(0.1, 0.002 of the span) is missing sound; other changes are rate changes.
+    The first and last offsets hold to the ends.  A rise of the offset beyond
+    max(floor, rate * span) is missing sound: at step_at, the place found
+    between the anchor and the next (else there is none, and the change is one
+    of rate), the new timeline jumps, and gap says how long it is silent there.
+    new_t rises strictly.
     """
     order = W.partitionBy(*by).orderBy(t)
-    rows = anchors.withColumn("_dt", F.lead(t).over(order) - F.col(t)).withColumn("_rise", F.lead(offset).over(order) - F.col(offset))
-    gap = F.when(F.col("_rise") > F.greatest(F.lit(0.1), F.col("_dt") * 0.002), F.col("_rise")).otherwise(0.0)
-    raw = F.col(t) + F.col(offset)
-    rows = rows.withColumn("gap", F.coalesce(gap, F.lit(0.0))).withColumn("old_t", F.col(t)).withColumn("_raw", raw)
-    # strictly increasing: a knot is at least a millionth after the largest before it
-    k = F.row_number().over(order)
-    rows = rows.withColumn("_k", k).withColumn("_m", F.max(F.col("_raw") - F.col("_k") * 1e-6).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return rows.withColumn("new_t", F.col("_m") + F.col("_k") * 1e-6).drop("_dt", "_rise", "_raw", "_k", "_m").where(F.col("old_t") <= duration)
+    place = F.col(step_at) if step_at else F.lit(None).cast("double")
+    rows = anchors.select(*by, F.col(duration).cast("double").alias("_end"), F.col(t).cast("double").alias("_t"), F.col(offset).cast("double").alias("_o"), place.alias("_at"))
+    ends = rows.groupBy(*by).agg(F.max("_end").alias("_end"), F.min(F.struct("_t", "_o")).alias("_f"), F.max(F.struct("_t", "_o")).alias("_l"))
+    head = ends.where("_f._t > 1e-6").select(*by, "_end", F.lit(0.0).alias("_t"), F.col("_f._o").alias("_o"), F.lit(None).cast("double").alias("_at"))
+    tail = ends.where("_end > _l._t + 1e-6").select(*by, "_end", F.col("_end").alias("_t"), F.col("_l._o").alias("_o"), F.lit(None).cast("double").alias("_at"))
+    order = W.partitionBy(*by).orderBy("_t")
+    rows = rows.unionByName(head).unionByName(tail).withColumn("_t1", F.lead("_t").over(order)).withColumn("_o1", F.lead("_o").over(order))
+    loss = (F.col("_o1") - F.col("_o") > F.greatest(F.lit(floor), (F.col("_t1") - F.col("_t")) * rate)) & F.col("_at").isNotNull()
+    at = F.least(F.greatest(F.col("_at"), F.col("_t") + 1e-3), F.col("_t1") - 1e-3)
+    knot = lambda old, new, gap: F.struct(old.alias("old_t"), new.alias("raw"), gap.alias("gap"))
+    none, plain = F.lit(0.0), F.array(knot(F.col("_t"), F.col("_t") + F.col("_o"), F.lit(0.0)))
+    jump = F.array(knot(at, at + F.col("_o"), F.col("_o1") - F.col("_o")), knot(at + 1e-6, at + F.col("_o1"), none))
+    rows = rows.select(*by, F.inline(F.when(loss, F.concat(plain, jump)).otherwise(plain)))
+    order = W.partitionBy(*by).orderBy("old_t")
+    # a knot is at least a millionth after the largest before it
+    rows = rows.withColumn("_k", F.row_number().over(order)).withColumn("_m", F.max(F.col("raw") - F.col("_k") * 1e-6).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.select(*by, "old_t", (F.col("_m") + F.col("_k") * 1e-6).alias("new_t"), "gap")
+
+
+def warp_problems(knots: DataFrame, by: list[str], most_rate: float = 0.02, most_head: float = 10.0, most_gap: float = 30.0, most_change: float = 10.0) -> DataFrame:
+    """worst rate change, silence at the head and in between, change of length of each timeline, and the limits they break (rate, head, gap, length)."""
+    order = W.partitionBy(*by).orderBy("old_t")
+    d_old, d_new = F.lead("old_t").over(order) - F.col("old_t"), F.lead("new_t").over(order) - F.col("new_t")
+    rows = knots.withColumn("_off", F.when(d_old > 1e-5, F.abs(1 - d_new / d_old)))
+    out = rows.groupBy(*by).agg(F.coalesce(F.max("_off"), F.lit(0.0)).alias("worst_rate"), F.min_by("new_t", "old_t").alias("head"), F.sum("gap").alias("total_gap"), (F.max("new_t") - F.max("old_t")).alias("change"))
+    broken = [(F.col("worst_rate") > most_rate, "rate"), (F.col("head") > most_head, "head"), (F.col("total_gap") > most_gap, "gap"), (F.abs("change") > most_change, "length")]
+    return out.withColumn("problems", F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in broken])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ a AS (SELECT e.event_id, e.event_type, e.t, k.x, k.y FROM {_E} e ASOF LEFT JOIN
 b AS (SELECT a.*, k.x AS x2, k.y AS y2 FROM a ASOF LEFT JOIN k ON a.event_type = k.event_type AND a.t < k.x)
 SELECT event_id, round(coalesce(y + (y2 - y) * (t - x) / (x2 - x), y, y2), 6) AS value FROM b""")
 def warp_interp(spark: SparkSession, folder: str) -> DataFrame:
-    """Events against the daily means of their type: five series, each ordered as a whole."""
+    """Events against the daily means of their type."""
     events = _events(spark, folder)
     knots = events.groupBy("event_type", (F.floor(F.col("t") / 86400) * 86400.0 + 43200).alias("x")).agg(F.avg("value").alias("y"))
     found = series.interpolated(events.select("event_id", "event_type", "t"), knots, ["event_type"], "t", "x", "y")
@@ -243,17 +243,59 @@ def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("label", "distance", "vec_id", "reference", N.verdict(F.col("distance"), F.lit(12)).alias("verdict"))
 
 
-@query(None)
+def _noise(place: Column) -> Column:
+    """A fixed signal: a number in -1 to 1 for each place."""
+    return F.pmod(F.xxhash64(place.cast("long")), F.lit(2001)) / 1000.0 - 1.0
+
+
+def _tracks(spark: SparkSession, folder: str, length: int, late: Column) -> DataFrame:
+    """A master and a track of each nation that plays it `late` samples late."""
+    rows = table(spark, folder, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("i"))
+    return rows.select("n_nationkey", "i", _noise(F.col("i") - late).alias("a"), _noise(F.col("i")).alias("b"))
+
+
+@query("SELECT n_nationkey, -(n_nationkey - 12) * 3 / 100.0 AS lag, true AS sure FROM nation")
 def lag_correlate(spark: SparkSession, folder: str) -> DataFrame:
-    """Lag of each event type's hourly counts against the counts an hour later; held against fixtures."""
-    hours = _events(spark, folder).groupBy("event_type", F.floor(F.col("t") / 3600).alias("hour")).agg(F.count("*").cast("double").alias("a"))
-    hours = hours.withColumn("b", F.coalesce(F.lead("a").over(W.partitionBy("event_type").orderBy("hour")), F.lit(0.0)))
-    return align.lags_of_groups(hours, "event_type", "hour", "a", "b", 1.0, 24.0).select("event_type", F.round("lag", 3).alias("lag"), F.round("confidence", 3).alias("confidence"))
+    """Tracks that are early or late by up to 0.36 s: a late one has a negative offset."""
+    found = align.lags_of_groups(_tracks(spark, folder, 3000, (F.col("n_nationkey") - 12) * 3), "n_nationkey", "i", "a", "b", 100.0, 2.0)
+    return found.select("n_nationkey", F.round("lag", 3).alias("lag"), (F.col("confidence") > 8).alias("sure"))
 
 
-@query(None)
+@query("SELECT n_nationkey, CAST(t AS DOUBLE) AS t, CASE WHEN t >= 30 THEN -n_nationkey / 100.0 - 1.2 ELSE -n_nationkey / 100.0 END AS offset, true AS good, CASE WHEN t IN (0, 30) THEN 'wide' ELSE 'fine' END AS how FROM nation, range(0, 56, 5) r(t)")
 def anchor_walk(spark: SparkSession, folder: str) -> DataFrame:
-    """Anchors of each event type's hourly counts against themselves; held against fixtures."""
-    hours = _events(spark, folder).groupBy("event_type", F.floor(F.col("t") / 3600).alias("hour")).agg(F.count("*").cast("double").alias("a"))
-    found = align.anchors_of_groups(hours.withColumn("b", F.col("a")), "event_type", "hour", "a", "b", 1.0, sure=1.0)
-    return found.select("event_type", "t", F.round("offset", 3).alias("offset"), "good", "how")
+    """Anchors of tracks that are late, and from 30 s on later by another 1.2 s: the broad search finds the latter, and each side of the step is found by the wide one."""
+    late = F.col("n_nationkey") + F.when(F.col("i") >= 3000, 120).otherwise(0)
+    found = align.anchors_of_groups(_tracks(spark, folder, 6000, late), "n_nationkey", "i", "a", "b", 100.0, step=5.0, window=4.0)
+    return found.select("n_nationkey", "t", F.round("offset", 3).alias("offset"), "good", "how")
+
+
+@query("""
+WITH a AS (SELECT c_custkey, k, 60.0 + 60 * k AS t, (c_custkey % 5) * 0.01 + 0.001 * k * (c_custkey % 3) + CASE WHEN k >= 2 AND c_custkey % 2 = 0 THEN 1.2 ELSE 0 END AS o FROM customer, range(4) r(k)),
+n AS (SELECT c_custkey, t, t + o AS n, 0.0 AS gap FROM a UNION ALL SELECT c_custkey, 0.0, o, 0.0 FROM a WHERE k = 0 UNION ALL SELECT c_custkey, 300.0, 300 + o, 0.0 FROM a WHERE k = 3
+  UNION ALL SELECT a.c_custkey, 150.0, 150 + a.o, b.o - a.o FROM a JOIN a b USING (c_custkey) WHERE a.k = 1 AND b.k = 2 AND c_custkey % 2 = 0
+  UNION ALL SELECT c_custkey, 150.000001, 150.000001 + o, 0.0 FROM a WHERE k = 2 AND c_custkey % 2 = 0)
+SELECT c_custkey, round(CAST(t AS DOUBLE), 6) AS old_t, round(CAST(n AS DOUBLE), 5) AS new_t, round(CAST(gap AS DOUBLE), 5) AS gap FROM n""")
+def warp_knots(spark: SparkSession, folder: str) -> DataFrame:
+    """Timelines of tracks that drift, half of them with 1.2 s missing at 150 s."""
+    key, k = F.col("c_custkey"), F.col("k")
+    anchors = table(spark, folder, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    offset = (key % 5) * 0.01 + 0.001 * k * (key % 3) + F.when((k >= 2) & (key % 2 == 0), 1.2).otherwise(0.0)
+    anchors = anchors.select("c_custkey", (60.0 + 60 * k).alias("t"), offset.alias("offset"), F.lit(300.0).alias("duration"), F.lit(150.0).alias("step_at"))
+    found = series.build_warp(anchors, ["c_custkey"], "duration", step_at="step_at")
+    return found.select("c_custkey", F.round("old_t", 6).alias("old_t"), F.round("new_t", 5).alias("new_t"), F.round("gap", 5).alias("gap"))
+
+
+@query("""
+SELECT c_custkey, CAST(head AS DOUBLE) AS head, CAST(CASE WHEN c_custkey % 4 = 1 THEN 35.0 ELSE 0.0 END AS DOUBLE) AS total_gap, array_to_string(list_filter([CASE WHEN c_custkey % 4 = 2 THEN 'rate' END, CASE WHEN head > 10 THEN 'head' END, CASE WHEN c_custkey % 4 = 1 THEN 'gap' END, CASE WHEN c_custkey % 4 <> 0 THEN 'length' END], lambda x: x IS NOT NULL), ';') AS problems
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 12.0 ELSE 0.5 END AS head FROM customer)""")
+def warp_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Timelines that break one limit each: silence inside, rate, silence at the head."""
+    kind = F.col("c_custkey") % 4
+    head = F.when(kind == 3, 12.0).otherwise(0.5)
+    end = 100.0 + head + F.when(kind == 1, 35.0).when(kind == 2, 20.0).otherwise(0.0)
+    gap, none = F.when(kind == 1, 35.0).otherwise(0.0), F.lit(0.0)
+    places = [(0.0, head, none), (50.0, 50.0 + head, gap), (50.000001, 50.000001 + head + gap, none), (100.0, end, none)]
+    knots = F.array(*[F.struct(F.lit(old).alias("old_t"), new.alias("new_t"), g.alias("gap")) for old, new, g in places])
+    rows = table(spark, folder, "customer").select("c_custkey", F.inline(knots))
+    found = series.warp_problems(rows, ["c_custkey"])
+    return found.select("c_custkey", F.round("head", 3).alias("head"), F.round("total_gap", 3).alias("total_gap"), F.array_join("problems", ";").alias("problems"))

@@ -85,3 +85,16 @@ def sample_row(line: Column, names: list[str]) -> Column:
     cells = F.split(line, r"\s*,\s*")
     entries = F.array(*[F.struct(F.lit(n).alias("key"), F.get(cells, F.lit(i)).try_cast("double").alias("value")) for i, n in enumerate(names)])
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def readable(lines: DataFrame, schema: str, text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(rows of JSON lines as columns beside the others, the lines that can't be read)."""
+    kept = [c for c in lines.columns if c != text]
+    read = lines.withColumn("_r", F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    return read.where(~bad).select(*kept, "_r.*").drop("_corrupt"), read.where(bad).select(*kept, text)
+
+
+def first_match(text: Column, pattern: str) -> Column:
+    """The first match of a pattern in a tool's output."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
