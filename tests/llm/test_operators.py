@@ -245,7 +245,12 @@ def test_token_counts(spark, docs):
     for text in fuzz():
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
         if "<|" not in text:
-            assert counter.plain(text, 7) == counter.plain(text)
+            for chunk in (1, 2, 7):
+                assert counter.plain(text, chunk) == counter.plain(text)
+    for text in ("it's we'll they'lx '' 'r 'v'e !'s x'", "a1b22.'d", "漢" * 50 + "'ll" * 9, "' " * 5):
+        for chunk in range(1, 9):
+            assert counter.plain(text, chunk) == len(library.encode(text, add_special_tokens=False).ids)
+    assert token_counts.token_counts(spark, docs.limit(0), WORDS).collect() == []
     for r in docs.join(token_counts.token_counts(spark, docs, WORDS).withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id")).collect():
         assert r.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode())
 

@@ -7,17 +7,24 @@ one valid last token of the next prefix follows, and the transition carries the
 change in the count.  States are made when they are first reached
 (deterministic, exact); at a word's last symbol it is back in its start state.
 
-Long texts are read in chunks.  A chunk's map from entry to exit state is
-constant but for the words that its ends cut: it holds these two words and the
-count between.  Maps compose, and are composed by a scan in pairs.
+Words are cut into pieces by a small automaton over characters, which knows the
+kind of the open piece, the transducer's state, and the characters that cannot
+be fed to it yet because a piece's last symbol is marked.
+
+Long texts are read in chunks.  A chunk's map takes an entry state to an exit
+state and a count.  From the first white space on it is constant: the exit
+state reached from the start of the last word, and the count until there.
+Before, it is given by the characters it reads.  Maps compose, without reading
+again what is behind a known state, and are composed by a scan in pairs.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -32,6 +39,9 @@ from .storage import small_batches
 STATES, CHUNK = 40_000, 1 << 16
 _ROOT = 0
 _WHITE = regex.compile(r"\p{White_Space}+")
+#: Fixed value: the pieces that the automaton knows.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHORT_ENDINGS, _LONG_ENDINGS = {"s", "t", "m", "d"}, {"r": "e", "v": "e", "l": "l"}
 
 
 def byte_characters() -> dict[str, int]:
@@ -89,6 +99,19 @@ class Transducer:
         self.next[state][symbol] = target, emitted
         return target, emitted
 
+    def step(self, state: tuple, symbols: Iterable[int]) -> tuple[tuple, int]:
+        """(next state, tokens) from a state given by what it knows, so that it outlasts the table."""
+        number, total = self.number.get(state), 0
+        if number is None:
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        for symbol in symbols:
+            step = self.next[number].get(symbol) or self._compile(number, symbol)
+            number = step[0]
+            total += step[1]
+        return self.states[number], total
+
     def count(self, word: bytes) -> int:
         """Tokens of a word that ends with its last byte."""
         if len(self.states) > STATES:
@@ -104,13 +127,26 @@ class Transducer:
         return total
 
 
+_LETTERS, _DIGIT, _OTHER, _QUOTE, _NONE = range(5)
+_LETTER, _NUMBER = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
+_START = ((_ROOT, -1, 0),)
+
+
+class State(NamedTuple):
+    """Where the automaton is in a word: kind of the open piece, the transducer's state, characters not fed to it yet."""
+
+    kind: int = _NONE
+    inner: tuple = _START
+    pending: str = ""
+
+
 @dataclass
 class Part:
-    """The state map of a chunk: the word its start cuts, the count of whole words, the word its end cuts (None: no gap in it)."""
+    """The map of a chunk: from any state it reads `head`; if white space follows, `count` tokens and the state `end` do (None: no white space)."""
 
     head: str
     count: int = 0
-    tail: str | None = None
+    end: State | None = None
 
 
 class Counter:
@@ -120,7 +156,7 @@ class Counter:
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
+        if model["type"] != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"] or split["pattern"]["Regex"] != PIECES:
             raise ValueError("this tokenizer's form is not supported")
         bytes_of = byte_characters()
 
@@ -142,10 +178,54 @@ class Counter:
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.piece = _Memo(lambda p: self.transducer.count(p.encode("utf-8", "replace")))
+        self.kind = _Memo(self._kind)
         self.word = _Memo(lambda w: sum(map(self.piece.__getitem__, self.pieces.findall(w))))
 
+    def _kind(self, char: str) -> int:
+        return _LETTERS if _LETTER.match(char) else _DIGIT if _NUMBER.match(char) else _QUOTE if char == "'" else _OTHER
+
+    def _opened(self, char: str) -> tuple[State, int]:
+        kind = self.kind[char]
+        return (State(), self.piece[char]) if kind == _DIGIT else (State(kind, _START, char), 0)
+
+    def closed(self, state: State) -> int:
+        """Tokens that the end of the word adds."""
+        kind, inner, pending = state
+        if kind == _NONE:
+            return 0
+        if kind == _QUOTE:
+            return sum(map(self.piece.__getitem__, pending))
+        last = pending.encode("utf-8", "replace")
+        return self.transducer.step(inner, (*last[:-1], last[-1] + 256))[1]
+
+    def _next(self, state: State, char: str) -> tuple[State, int]:
+        kind, inner, pending = state
+        sort = self.kind[char]
+        if kind == _QUOTE and len(pending) == 2:
+            if _LONG_ENDINGS[pending[1]] == char:
+                return State(), self.piece[pending + char]
+            after, more = self._next(State(_LETTERS, _START, pending[1]), char)
+            return after, self.piece["'"] + more
+        if kind == _QUOTE and char in _SHORT_ENDINGS:
+            return State(), self.piece[pending + char]
+        if kind == _QUOTE and char in _LONG_ENDINGS:
+            return State(_QUOTE, _START, pending + char), 0
+        if (kind == sort == _LETTERS) or (kind in (_OTHER, _QUOTE) and sort in (_OTHER, _QUOTE)):
+            inner, tokens = self.transducer.step(inner, pending.encode("utf-8", "replace"))
+            return State(sort if sort == _LETTERS else _OTHER, inner, char), tokens
+        after, more = self._opened(char)
+        return after, self.closed(state) + more
+
+    def read(self, state: State, text: str) -> tuple[State, int]:
+        """(state, tokens) after reading characters of one word."""
+        total = 0
+        for char in text:
+            state, tokens = self._next(state, char)
+            total += tokens
+        return state, total
+
     def part(self, text: str) -> Part:
-        """The state map of a chunk of normalised text."""
+        """The map of a chunk of normalised text."""
         # str.split also cuts at four control characters that are not white space
         words = _WHITE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         if text[:1] in WHITE_SPACE:
@@ -154,23 +234,28 @@ class Counter:
             words.append("") if words[-1:] != [""] or len(words) == 1 else None
         if len(words) == 1:
             return Part(words[0])
-        return Part(words[0], sum(map(self.word.__getitem__, words[1:-1])), words[-1])
+        end, tokens = self.read(State(), words[-1])
+        return Part(words[0], sum(map(self.word.__getitem__, words[1:-1])) + tokens, end)
 
     def compose(self, a: Part, b: Part) -> Part:
-        """The state map of one chunk after the other."""
-        if a.tail is None:
-            return Part(a.head + b.head, b.count, b.tail)
-        if b.tail is None:
-            return Part(a.head, a.count, a.tail + b.head)
-        return Part(a.head, a.count + self.word[a.tail + b.head] + b.count, b.tail)
+        """The map of one chunk after the other."""
+        if a.end is None:
+            return Part(a.head + b.head, b.count, b.end)
+        end, tokens = self.read(a.end, b.head)
+        if b.end is None:
+            return Part(a.head, a.count + tokens, end)
+        return Part(a.head, a.count + tokens + self.closed(end) + b.count, b.end)
 
     def plain(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a text without special tokens."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma is lowered alike everywhere
+        if len(self.transducer.states) > STATES:
+            self.transducer._reset()
+        text = f" {text} "  # the first map is constant, the last ends between words
         parts = [self.part(text[at : at + chunk]) for at in range(0, len(text), chunk)]
         while len(parts) > 1:
             parts = [self.compose(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
-        return sum(self.word[p.head] + p.count + self.word[p.tail or ""] for p in parts)
+        return parts[0].count + self.closed(parts[0].end)
 
     def count(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
