@@ -45,7 +45,8 @@ def truthy(text: Column) -> Column:
 
 def clamped(text: Column, low: float, high: float, default: float) -> Column:
     """A setting as a number within limits; the default if it can't be read."""
-    return F.coalesce(F.least(F.greatest(text.try_cast("double"), F.lit(low)), F.lit(high)), F.lit(default))
+    number = text.try_cast("double")
+    return F.when(number.isNull(), default).otherwise(F.least(F.greatest(number, F.lit(low)), F.lit(high)))
 
 
 def bits_per_pixel(bitrate: Column, pixels: Column) -> Column:

@@ -277,11 +277,11 @@ def probe_info(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, CAST(least(30.0, greatest(10.0, CAST(c_custkey % 50 AS DOUBLE))) AS DOUBLE) AS cq, c_custkey % 3 <> 0 AS enabled, 'slow' AS preset FROM customer""")
+SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN 23.0 ELSE least(30.0, greatest(10.0, CAST(c_custkey % 50 AS DOUBLE))) END AS DOUBLE) AS cq, c_custkey % 3 <> 0 AS enabled, 'slow' AS preset FROM customer""")
 def settings_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Settings files of customers: read, merged with flags and defaults, clamped."""
     key = F.col("c_custkey")
-    lines = F.array(F.lit("# head"), F.lit("CQ = 99"), F.concat(F.lit("cq = "), (key % 50).cast("string"), F.lit(" # later wins")), F.concat(F.lit("Enabled="), F.when(key % 3 == 0, "Off").otherwise("yes")), F.lit("nonsense"), F.lit("preset = fast"))
+    lines = F.array(F.lit("# head"), F.lit("CQ = 99"), F.concat(F.lit("cq = "), F.when(key % 7 == 0, "many").otherwise((key % 50).cast("string")), F.lit(" # later wins")), F.concat(F.lit("Enabled="), F.when(key % 3 == 0, "Off").otherwise("yes")), F.lit("nonsense"), F.lit("preset = fast"))
     rows = table(spark, folder, "customer").select("c_custkey", F.posexplode(lines).alias("number", "value"))
     read = tables.settings(rows, ["c_custkey"]).groupBy("c_custkey").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("m"))
     merged = read.withColumn("m", queue.with_precedence(F.create_map(F.lit("preset"), F.lit("slow")), F.col("m"), F.create_map(F.lit("cq"), F.lit("20"))))

@@ -16,10 +16,10 @@ from .texts import _COUNTS, _SNIFF, _TOTAL, _TURNS, _scripts
 
 @query("""
 SELECT p_partkey, coalesce(CAST(o_orderkey AS VARCHAR), path) AS source, o_orderstatus FROM (SELECT p_partkey, 'Out/Film' || p_partkey || '.MKV' AS path FROM part)
-LEFT JOIN (SELECT o_orderkey, o_orderstatus, 'out/film' || o_orderkey || '.mkv' AS out FROM orders WHERE o_orderkey % 3 = 0) ON lower(path) = lower(out)""")
+LEFT JOIN (SELECT o_orderkey, o_orderstatus, 'out/film' || o_orderkey || '.mkv' AS out FROM orders WHERE o_orderstatus = 'F') ON lower(path) = lower(out)""")
 def output_records(spark: SparkSession, folder: str) -> DataFrame:
     outputs = table(spark, folder, "part").select("p_partkey")
-    log = table(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey", "o_orderstatus")
+    log = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("key"), "o_orderkey", "o_orderstatus")
     path = F.concat(F.lit("Out/Film"), F.col("p_partkey").cast("string"), F.lit(".MKV"))
     return queue.with_records(outputs, log, path, F.concat(F.lit("out/film"), F.col("o_orderkey").cast("string"), F.lit(".mkv")), "key", ["o_orderstatus"]).select("p_partkey", "source", "o_orderstatus")
 
@@ -34,7 +34,7 @@ def cache_hits(spark: SparkSession, folder: str) -> DataFrame:
 def sidecar_marks(spark: SparkSession, folder: str) -> DataFrame:
     stem = F.concat(F.lit("a.b/film "), F.col("p_partkey").cast("string"))
     items = table(spark, folder, "part").select("p_partkey", F.concat(stem, F.lit(".mkv")).alias("path"))
-    listing = table(spark, folder, "part").where("p_partkey % 4 < 3").select(F.concat(stem, F.when(F.col("p_partkey") % 4 == 1, ".info").otherwise(".txt")).alias("path"))
+    listing = table(spark, folder, "part").select(F.concat(stem, F.when(F.col("p_partkey") % 4 == 1, ".info").otherwise(".txt")).alias("path"))
     return queue.with_sidecars(items, listing).select("p_partkey", "done")
 
 

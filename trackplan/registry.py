@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, queues, records, sequences, texts  # noqa: F401
+from .plans import catalog, documents, queues, records, sequences, texts  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
