@@ -138,3 +138,26 @@ def test_registry_without_llm():
     import os
 
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_joins_beyond_broadcast(spark):
+    from trackplan.operators import joins
+
+    rows = spark.range(200).select((F.col("id") / 2).alias("v"))
+    gaps = spark.createDataFrame([(3.0, 4.5), (9.5, 31.0), (40.0, 40.0)], "g0 double, g1 double")
+    for closed in (False, True):
+        few, many = (sorted(map(tuple, joins.in_intervals(rows, gaps, F.col("v"), "g0", "g1", closed, 10.0, most).collect()), key=repr) for most in (10, 0))
+        assert few == many and len(few) == 200 and sum(r[1] is not None for r in few) == (49 if closed else 46)
+    few, many = (sorted(map(tuple, joins.all_pairs(rows, gaps, most, 4).collect())) for most in (10, 0))
+    assert few == many and len(few) == 600
+
+
+def test_settings(spark):
+    from trackplan.functions import numbers, settings
+
+    given = spark.createDataFrame([("x", {"cq_offset": "-20", "uhd_max_gb": " 2.5 ", "sr_tile": "1.5", "gpu_max_pct": "99", "hwaccel": "CUDA "})], "k string, m map<string, string>")
+    found = {r.key: (r.value, r.outcome) for r in settings.numbers(given, ["k"], F.col("m")).collect()}
+    assert len(found) == len(settings.NUMBERS) and found["cq_offset"] == (-8.0, "limited") and found["uhd_max_gb"] == (2.5, "set")
+    assert found["sr_tile"] == (0.0, "unreadable") and found["gpu_max_pct"] == (98.0, "limited") and found["cpu_max_pct"] == (80.0, "default")
+    assert {r.key: r.value for r in settings.choices(given, ["k"], F.col("m")).collect()}["hwaccel"] == "cuda"
+    assert [r[0] for r in spark.sql("SELECT explode(array('x', '50', NULL)) AS t").select(numbers.clamped(F.col("t"), 1.0, 9.0, 5.0)).collect()] == [5.0, 9.0, 5.0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import NO_HASH_DISTANCE, hamming, lookup, runtime_agrees
 from ..functions.text import word_key
+from .joins import all_pairs, in_intervals
 
 # Number ranges of graphics generations (low, high, name, can encode AV1), and ordered franchise words.
 GENERATIONS = [(5000, 5999, "Blackwell (RTX 50 series)", True), (4000, 4999, "Ada Lovelace (RTX 40 series)", True), (3000, 3999, "Ampere (RTX 30 series)", False), (2000, 2999, "Turing (RTX 20 series)", False), (1600, 1699, "Turing (GTX 16 series)", False), (1000, 1099, "Pascal (GTX 10 series)", False)]
@@ -23,8 +24,8 @@ def ranges_table(spark: SparkSession, ranges: list[tuple[int, int, str]]) -> Dat
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, value: Column) -> DataFrame:
-    """label of the first of a few inclusive ranges that holds the value, else null."""
-    return rows.join(F.broadcast(ranges), value.between(F.col("low"), F.col("high")), "left").drop("low", "high")
+    """label of the one of disjoint inclusive ranges that holds the value, else null."""
+    return in_intervals(rows, ranges, value, "low", "high", True, 1000.0).drop("low", "high")
 
 
 def generation(name: Column) -> Column:
@@ -101,11 +102,11 @@ def conflict_reasons(found: Column, title: Column, name: Column, year: Column, r
 def nearest(rows: DataFrame, references: DataFrame, by: list[str], order: list[str], hashes: list[str], reference_hash: str, reference_id: str) -> DataFrame:
     """distance, reference, frame order and variant of the closest reference of each group.
 
-    rows: by, order columns and hash variants, tried in order.  references: a
-    small table (bounded by the caller), broadcast; every row meets each of them
-    and the pairs are reduced before they are shuffled.
+    rows: by, order columns and hash variants, tried in order.  Every row meets
+    each reference; where these are few, pairs are reduced before they are
+    shuffled.
     """
     variants = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.col(h).alias("h")) for k, h in enumerate(hashes)]))
-    pairs = rows.select(*by, *order, variants.alias("v")).crossJoin(F.broadcast(references.select(F.col(reference_hash).alias("_h"), F.col(reference_id).alias("reference"))))
+    pairs = all_pairs(rows.select(*by, *order, variants.alias("v")), references.select(F.col(reference_hash).alias("_h"), F.col(reference_id).alias("reference")))
     key = F.struct(F.least(hamming(F.col("v.h"), F.col("_h")), F.lit(NO_HASH_DISTANCE)).alias("distance"), *order, "reference", F.col("v.variant").alias("variant"))
     return pairs.groupBy(*by).agg(F.min(key).alias("m")).select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import in_intervals
+
 
 def last_good(rows: DataFrame, by: list[str], order: list[Column], value: Column, good: Column, start: float, name: str = "expected") -> DataFrame:
     """The last good value before each row, or the start."""
@@ -77,8 +79,8 @@ def interpolated(probes: DataFrame, knots: DataFrame, by: list[str], t: str, x:
 
 
 def masked(rows: DataFrame, gaps: DataFrame, t: Column) -> DataFrame:
-    """masked: t lies in one of the half-open intervals (g0, g1) of the small table `gaps`."""
-    return rows.join(F.broadcast(gaps.select("g0", "g1")), (t >= F.col("g0")) & (t < F.col("g1")), "left").withColumn("masked", F.col("g0").isNotNull()).drop("g0", "g1")
+    """masked: t lies in one of the disjoint half-open intervals (g0, g1) of `gaps`."""
+    return in_intervals(rows, gaps.select("g0", "g1"), t, "g0", "g1", False, 3600.0).withColumn("masked", F.col("g0").isNotNull()).drop("g0", "g1")
 
 
 def robust_line(points: DataFrame, by: list[str], t: str, e: str, least: int = 3) -> DataFrame:

@@ -235,11 +235,13 @@ def dhash_hamming(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 SELECT label, distance, vec_id, reference, CASE WHEN distance <= 12 THEN 'confirmed' ELSE 'unverified' END AS verdict FROM (
   SELECT a.label, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance, a.vec_id, b.vec_id AS reference, row_number() OVER (PARTITION BY a.label ORDER BY bit_count(xor(a.h, b.h)), a.vec_id, b.vec_id) AS k
-  FROM {_HASHES} a, {_HASHES} b WHERE b.vec_id < 12 AND a.vec_id >= 12) WHERE k = 1""")
+  FROM {_HASHES} a, {_HASHES} b WHERE b.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label) AND a.vec_id NOT IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) WHERE k = 1""")
 def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
-    """Each label's vector closest to one of twelve references."""
+    """Each label's vector closest to one of the references, which are the labels' first vectors."""
     hashes = _hashes(spark, folder)
-    found = matching.nearest(hashes.where("vec_id >= 12"), hashes.where("vec_id < 12"), ["label"], ["vec_id"], ["h"], "h", "vec_id")
+    first = hashes.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    references = hashes.join(first, ["label", "vec_id"], "left_semi")
+    found = matching.nearest(hashes.join(first, ["label", "vec_id"], "left_anti"), references, ["label"], ["vec_id"], ["h"], "h", "vec_id")
     return found.select("label", "distance", "vec_id", "reference", N.verdict(F.col("distance"), F.lit(12)).alias("verdict"))
 
 

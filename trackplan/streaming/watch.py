@@ -50,17 +50,19 @@ def stall_stream(signals: DataFrame, by: str, t: str, value: str, limit: float =
             state.remove()
             return
         best, since = state.get if state.exists else (float("-inf"), float("nan"))
-        found = []
-        for at, v in pd.concat(list(batches)).sort_values(t)[[t, value]].itertuples(index=False):
-            if v > best:
-                if at - since > limit:
-                    found.append((key[0], float(since), float(at)))
-                best, since = float(v), float(at)
-        state.update((best, since))
+        frame = pd.concat(list(batches)).sort_values(t, kind="stable")
+        before = frame[value].cummax().shift(fill_value=float("-inf")).clip(lower=best)
+        advances = frame[t][frame[value] > before].astype("float64")
+        starts = advances.shift(fill_value=since)
+        gaps = advances - starts > limit
+        if len(advances):
+            state.update((max(best, float(frame[value].max())), float(advances.iloc[-1])))
+        elif not state.exists:
+            state.update((best, since))
         if forget:
             state.setTimeoutDuration(int(limit * 1000))
-        if found:
-            yield pd.DataFrame(found, columns=[by, "since", "until"])
+        if gaps.any():
+            yield pd.DataFrame({by: key[0], "since": starts[gaps], "until": advances[gaps]})
 
     return signals.groupBy(by).applyInPandasWithState(update, f"{by} bigint, since double, until double", "best double, since double", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
