@@ -10,9 +10,9 @@ from .storage import Scratch
 
 def _larger_to_smallest(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the node's smallest neighbour or itself."""
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _smaller_to_smallest(edges: DataFrame) -> DataFrame:
@@ -28,21 +28,30 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).where("outs > 1 or outs = 1 and least = 0").isEmpty()
 
 
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Columns node, component (the smallest node reached) for every node of `edges` (u, v: long).
+def with_centres(stars: DataFrame) -> DataFrame:
+    """`stars` (node, component) with a row for each centre, which is its own component."""
+    return stars.union(stars.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component")))
+
+
+def stars(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Columns node, component (the smallest node reached) for every node of `edges` (u, v: long) but the smallest of each component.
 
     Loops, repeated edges and nulls are ignored.  Each round joins the edges
     with one row for each node; joins are skew-splittable, a hub's neighbours
-    are never gathered.  Rounds end when the edges are a forest of stars, whose
-    centres are the smallest nodes.  The result is a table in the shared folder.
+    are never gathered, and no step makes more edges than it is given.  Rounds
+    end when the edges are a forest of stars, whose centres are the smallest
+    nodes.  Smaller neighbours move first: where stars share members, their
+    centres meet by that, and the members follow in the same round.  `edges`
+    is read more than once; the result is a table in the shared folder.
     """
-    e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = scratch.store(e, "edges")
+    e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     for _ in range(most_rounds):
+        e = scratch.store(_larger_to_smallest(_smaller_to_smallest(e)).distinct(), "edges")
         if _is_star_forest(e):
-            break
-        e = scratch.store(_smaller_to_smallest(_larger_to_smallest(e)), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    raise RuntimeError("components did not settle")
+
+
+def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Columns node, component (the smallest node reached) for every node of `edges`: `stars` and their centres."""
+    return with_centres(stars(scratch, edges, most_rounds))

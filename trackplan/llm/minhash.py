@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import stars, with_centres
 from .groups import bounds, grouped
 from .kept import kept_rows, marked
 from .shingles import set_key, shingle_sets, signatures
@@ -153,7 +153,7 @@ def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets:
 
 
 def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
-    """For mapInArrow over rows (g, chunk, doc, side, label, n, signature or text), sorted by g and chunk."""
+    """For mapInArrow over rows (g, chunk, doc, side, label, payload: signature with n, or text), sorted by g and chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["g", "chunk"]):
@@ -180,10 +180,13 @@ def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
     return run
 
 
-def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: int, width: int, by_text: bool, cap_docs: int, cap_shingles: int) -> tuple[DataFrame, bool]:
-    """Edges among the documents of each group g, and whether a group was split.
+def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: int, width: int, by_text: bool, cap_docs: int, cap_shingles: int) -> DataFrame:
+    """node, component of the documents linked within groups, for all but the smallest document of each component.
 
-    members: g, doc, n.  payload: doc, payload (signature or text).
+    members: a stored table of g, doc, weight (shingles that a task has to hold
+    for the document).  payload: doc, payload (signature, with n, or text).
+    With signatures a document may be in many groups, with texts it is in one:
+    edges in groups of one chunk are then stars already.
     """
     kernel = _edges_in_groups(percent, width, by_text)
 
@@ -200,30 +203,34 @@ def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: i
 
     none = F.lit(-1)
     members = members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(SALTS)))
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
     big = sizes.withColumn("chunks", chunks_of(F.col("size"), F.col("weight"))).where("chunks > 1").select("g", "size", "chunks")
     big = scratch.store(big, "large-groups")
     if big.isEmpty():
-        return compare(members.select("g", F.lit(0).cast("long").alias("chunk"), "doc", "n", none.alias("side"), none.cast("long").alias("label"))), False
+        edges = compare(members.select("g", F.lit(0).cast("long").alias("chunk"), "doc", none.alias("side"), none.cast("long").alias("label")))
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component")) if by_text else stars(scratch, edges)
     placed = members.join(salted(big), ["g", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("size")) < HUBS)
     own = F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    edges = compare(placed.select("g", F.explode(F.when(hub, every).otherwise(F.array(own))).alias("chunk"), "doc", "n", none.alias("side"), none.cast("long").alias("label")))
+    edges = compare(placed.select("g", F.explode(F.when(hub, every).otherwise(F.array(own))).alias("chunk"), "doc", none.alias("side"), none.cast("long").alias("label")))
 
     # what the chunks left apart: documents outside their group's largest component against all others
-    labels = components(scratch, edges)
-    rest = members.join(salted(big), ["g", "salt"]).join(labels, F.col("doc") == F.col("node"), "left")
-    rest = scratch.store(rest.select("g", "salt", "doc", "n", "chunks", F.coalesce("component", "doc").alias("label")), "labelled")
-    labels = rest.groupBy("g", "label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    found = stars(scratch, edges)
+    rest = members.join(salted(big), ["g", "salt"]).join(found, F.col("doc") == F.col("node"), "left")
+    rest = scratch.store(rest.select("g", "salt", "doc", "weight", "chunks", F.coalesce("component", "doc").alias("label")), "labelled")
+    labels = rest.groupBy("g", "label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
     main = labels.groupBy("g").agg(F.max(F.struct("size", "label", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("size > main.size")
     main = main.select("g", F.col("main.label").alias("main"), chunks_of(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("blocks"))
-    rest = rest.join(salted(scratch.store(main, "outside")), ["g", "salt"])
+    main = scratch.store(main, "outside")
+    if main.isEmpty():
+        return found
+    rest = rest.join(salted(main), ["g", "salt"])
     outer = rest.where("label <> main").withColumn("o", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("blocks"))).withColumn("i", F.explode(every))
     inner = rest.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     chunk = (F.col("o") * F.col("chunks") + F.col("i")).alias("chunk")
-    both = outer.select("g", chunk, "doc", "n", F.lit(0).alias("side"), "label").union(inner.select("g", chunk, "doc", "n", F.lit(1).alias("side"), "label"))
-    return edges.union(compare(both)), True
+    both = outer.select("g", chunk, "doc", F.lit(0).alias("side"), "label").union(inner.select("g", chunk, "doc", F.lit(1).alias("side"), "label"))
+    return stars(scratch, found.union(compare(both)).toDF("u", "v"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = SHINGLE_WORDS, cap_docs: int = CAP_DOCS, cap_shingles: int = CAP_SHINGLES) -> DataFrame:
@@ -254,16 +261,12 @@ def _near(scratch: Scratch, docs: DataFrame, percent: int, width: int = SHINGLE_
     one = one.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     one = scratch.store(one, "representatives")
 
-    def with_n(groups: DataFrame) -> DataFrame:
-        return groups.join(one.select("doc", "n"), "doc").select("g", "doc", "n")
-
-    met, _ = _linked(scratch, with_n(postings(scratch, one, least_matches(percent, POST))), one.select("doc", F.col("signature").alias("payload")), percent, width, False, cap_docs, cap_docs << 20)
-    clusters = components(scratch, met)
-    members = scratch.store(with_n(clusters.select(F.col("component").alias("g"), F.col("node").alias("doc"))), "clusters")
+    lists = scratch.store(postings(scratch, one, least_matches(percent, POST)).withColumn("weight", F.lit(0).cast("long")), "lists")
+    clusters = with_centres(_linked(scratch, lists, one.select("doc", F.col("signature").alias("payload"), "n"), percent, width, False, cap_docs, cap_shingles))
+    members = clusters.select(F.col("component").alias("g"), F.col("node").alias("doc")).join(one.select("doc", F.col("n").alias("weight")), "doc")
+    members = scratch.store(members.select("g", "doc", "weight"), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
-    links, split = _linked(scratch, members, marked(texts, "doc", members.select(F.col("doc").alias("id"))).where("_likely").drop("_likely"), percent, width, True, cap_docs, cap_shingles)
-    found = components(scratch, links) if split else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = found.where("node <> component")
+    found = _linked(scratch, members, marked(texts, "doc", members.select(F.col("doc").alias("id"))).where("_likely").drop("_likely"), percent, width, True, cap_docs, cap_shingles)
     by_set = one.select("set_key", "doc").join(found, F.col("doc") == F.col("node"), "left").select("set_key", F.coalesce("component", "doc").alias("component"))
     by_set = scratch.store(by_set, "components", keep=True)
     out = spark.read.parquet(signed_path).select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
