@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackplan.llm import bpe, exact_dedup, langid, minhash, mixing, order_minhash, queries, sharding, token_counts, toxicity, warc
+from trackplan.llm import bpe, exact_dedup, langid, minhash, mixing, order_minhash, queries, sharding, storage, token_counts, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path(queries.BYTE_VOCABULARY), public_tokenizers.path(queries.WORD_TOKENIZER)
@@ -171,6 +171,20 @@ def test_pipeline_keeps_mixture_order(spark, tmp_path):
     assert by_order == sorted(places, key=places.get)
 
 
+def test_stored_order_reads_the_counter_only(spark, tmp_path):
+    import glob
+    import os
+
+    for part in range(2):
+        for c in range(2):
+            spark.range(2 * part + c, 2 * part + c + 1).coalesce(1).write.parquet(f"{tmp_path}/w{part}{c}")
+            os.makedirs(f"{tmp_path}/all", exist_ok=True)
+            os.rename(glob.glob(f"{tmp_path}/w{part}{c}/part-*")[0], f"{tmp_path}/all/part-0000{part}-c1234567-c123-4444-8888-c12345678901-c00{c}.snappy.parquet")
+    found = storage.with_stored_order(spark.read.parquet(f"{tmp_path}/all"), "o").orderBy("o").collect()
+    assert [r.id for r in found] == [0, 1, 2, 3]
+    assert found[0].o == 0 and found[1].o == 1 << 32
+
+
 def test_sharding(spark, docs):
     rows = sharding.shard_documents(spark, docs, shards=4, virtual_nodes=8).collect()
     assert len(rows) == docs.count()

@@ -53,7 +53,8 @@ def with_stored_order(df: DataFrame, name: str) -> DataFrame:
     """
     file = F.col("_metadata.file_name")
     part = F.regexp_extract(file, r"^part-(\d+)", 1).cast("long")
-    of_part = F.coalesce(F.regexp_extract(file, r"-c(\d+)", 1).try_cast("long"), F.lit(0))
+    # the counter ends the name: parts of the identifier before it may look like one
+    of_part = F.coalesce(F.regexp_extract(file, r"-c(\d+)\.[^-]*$", 1).try_cast("long"), F.lit(0))
     return df.withColumn(name, F.shiftleft(part, 42) + F.shiftleft(of_part, 32) + F.col("_metadata.row_index"))
 
 
