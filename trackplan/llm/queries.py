@@ -13,6 +13,7 @@ from .langid import language_of_documents
 from .minhash import near_duplicates
 from .mixing import mix
 from .order_minhash import fingerprints
+from .periodic import periodic_runs
 from .sharding import shard_documents
 from .token_counts import token_counts
 from .toxicity import toxicity_of_documents
@@ -65,10 +66,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc]
+    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc, op11_periodic_runs]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -102,9 +107,30 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM h"""
 
+PERIODIC_SQL = """
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+hashed AS (SELECT *, len(w) AS n, xor(4294967295, list_reduce(
+    flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END, CAST(4294967295 AS BIGINT))) AS h FROM given),
+tails AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM hashed),
+texts AS (SELECT r, doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) AS w FROM tails),
+words AS (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM texts),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+placed AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS length FROM placed GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, length, min(q) AS q FROM stretches GROUP BY r, s, length),
+lists AS (SELECT r, list({'s': s, 'n': length, 'q': q} ORDER BY s, q) AS runs FROM runs GROUP BY r),
+longest AS (SELECT DISTINCT ON (r) r, s AS start, length, q AS period FROM runs ORDER BY r, length DESC, s, q),
+dropped AS (SELECT r, list_distinct(flatten(list(range(s + q, s + length)))) AS gone FROM runs GROUP BY r),
+kept AS (SELECT words.r, string_agg(x, ' ' ORDER BY i) AS t FROM words LEFT JOIN (SELECT r, unnest(gone) AS i, true AS gone FROM dropped) g USING (r, i) WHERE gone IS NULL GROUP BY words.r)
+SELECT doc_id, CAST(coalesce(len(runs), 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(array_to_string(list_transform(runs, lambda x: x.s || ',' || x.n || ',' || x.q || chr(10)), ''), '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM texts LEFT JOIN lists USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL}
+    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL, "op11_periodic_runs": PERIODIC_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
