@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encoding_digests
+from .divergence import divergence
 from .exact_dedup import exact_duplicates
 from .langid import language_of_documents
 from .minhash import near_duplicates
@@ -70,10 +71,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc, op11_periodic_runs]
+    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc, op11_periodic_runs, op13_source_divergence]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -128,9 +133,28 @@ SELECT doc_id, CAST(coalesce(len(runs), 0) AS BIGINT) AS n_runs, CAST(start AS B
   sha256(coalesce(array_to_string(list_transform(runs, lambda x: x.s || ',' || x.n || ',' || x.q || chr(10)), ''), '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM texts LEFT JOIN lists USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept USING (r)"""
 
+DIVERGENCE_SQL = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+kept AS (SELECT lang, term, count(*) AS docs FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS own FROM counts GROUP BY lang, source),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS own FROM counts GROUP BY lang, term),
+q AS (SELECT lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (own + 5 * v) AS BIGINT) AS q FROM whole JOIN sizes USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (coalesce(own, 0) + 5 * v) AS BIGINT) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN sums t ON t.lang = g.lang AND t.source = g.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+joined AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, p.p - q.q FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM joined)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL, "op11_periodic_runs": PERIODIC_SQL}
+    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL, "op11_periodic_runs": PERIODIC_SQL, "op13_source_divergence": DIVERGENCE_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
