@@ -104,7 +104,7 @@ def _send(owners: int, block_rows: int):
 _NAMES = [c.split()[0] for c in _SENT.split(", ")]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def answers_of_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """An owner's bitmaps: bit k of (block, owner) says that the block's k-th fingerprint occurs elsewhere or again there."""
     for batch in grouped(batches, ["owner"]):
         blocks, owners, maps = [], [], []
@@ -147,7 +147,7 @@ def _exact(scratch: Scratch, docs: DataFrame, block_rows: int = BLOCK_ROWS, owne
     texts.mapInArrow(_send(owners, block_rows), _SENT).write.partitionBy("kind").parquet(path)
     sent = spark.read.schema(_SENT).parquet(path)
     messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders", "again")
-    answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(_answer, "block long, owner int, bitmap array<long>")
+    answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(answers_of_owners, "block long, owner int, bitmap array<long>")
     answers = scratch.store(answers, "bitmaps", keep=True)
     rows = sent.where("kind = 0").select("doc_id", "sha", "block", "owner", "slot").join(answers, ["block", "owner"], "left")
     bit = F.expr("coalesce(getbit(bitmap[slot div 64], slot % 64) = 1, false)").alias("suspect")

@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .order_minhash import fingerprints
 from .periodic import periodic_runs
+from .prefix_free import repeated_passages
 from .sharding import shard_documents
 from .token_counts import token_counts
 from .toxicity import toxicity_of_documents
@@ -71,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(spark, table(spark, sf_dir, "documents"))
 
@@ -78,7 +83,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc, op11_periodic_runs, op13_source_divergence]
+    own = [op1_minhash_near_dedup, op2_language_id, op3_mixing, op4_sharding, op5_order_minhash, op6_toxicity, op7_exact_dedup, op8_byte_bpe, op9_token_counts, op10_warc, op11_periodic_runs, op12_repeated_passages, op13_source_divergence]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -133,6 +138,19 @@ SELECT doc_id, CAST(coalesce(len(runs), 0) AS BIGINT) AS n_runs, CAST(start AS B
   sha256(coalesce(array_to_string(list_transform(runs, lambda x: x.s || ',' || x.n || ',' || x.q || chr(10)), ''), '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM texts LEFT JOIN lists USING (r) LEFT JOIN longest USING (r) LEFT JOIN kept USING (r)"""
 
+PASSAGES_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 99)) AS i, unnest(list_transform(range(n - 99), lambda i: substr(x, 2 * i + 1, 200))) AS s FROM t WHERE n >= 100),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+steps AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again),
+islands AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM steps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM islands GROUP BY doc_id, span),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last
+  FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM t LEFT JOIN cut ON t.doc_id = cut.doc_id"""
+
 DIVERGENCE_SQL = """
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
@@ -156,5 +174,5 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL, "op11_periodic_runs": PERIODIC_SQL, "op13_source_divergence": DIVERGENCE_SQL}
+    own = {"op1_minhash_near_dedup": NEAR_DEDUP_SQL, "op7_exact_dedup": EXACT_DEDUP_SQL, "op10_warc": WARC_SQL, "op11_periodic_runs": PERIODIC_SQL, "op12_repeated_passages": PASSAGES_SQL, "op13_source_divergence": DIVERGENCE_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

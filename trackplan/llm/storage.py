@@ -100,11 +100,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-        """Write `df` in buckets of `keys`: grouping and joining by them moves none of its rows.  It goes at the end of the call."""
+    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int, by: str | None = None) -> DataFrame:
+        """Write `df` in buckets of `keys`, and folders of `by`: grouping and joining by `keys` moves none of its rows.  It goes at the end of the call."""
         table = f"trackplan_{uuid.uuid4().hex}"
         self.tables.append(table)
-        df.write.format("parquet").bucketBy(buckets, *keys).option("path", self.path(name)).saveAsTable(table)
+        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd").option("path", self.path(name))
+        (writer.partitionBy(by) if by else writer).saveAsTable(table)
         return self.spark.table(table)
 
     def _file(self, path: str):
