@@ -37,9 +37,9 @@ from .storage import Scratch, small_batches
 
 WIDTH = 100
 #: Bytes of documents in a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Windows that are hashed in one numpy pass, with the place of each in so many low bits.
-PIECE_BITS = 20
+PIECE_BITS = 18
 PIECE = (1 << PIECE_BITS) - 4096
 #: Bits of a trigger's hash that blocks and owners exchange.
 HASH_BITS = 48

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 LOCAL_DEFAULT = "/tmp/checkpoints"
 #: Rows and bytes in one Arrow batch handed to Python, so that long texts stay bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Row groups that a writer of buckets holds in memory.
+ROW_GROUP_BYTES = 16 << 20
 _AT_END: set[str] = set()
 
 
@@ -104,7 +106,7 @@ class Scratch:
         """Write `df` in buckets of `keys`, and folders of `by`: grouping and joining by `keys` moves none of its rows.  It goes at the end of the call."""
         table = f"trackplan_{uuid.uuid4().hex}"
         self.tables.append(table)
-        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd").option("path", self.path(name))
+        writer = df.write.format("parquet").bucketBy(buckets, *keys).option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).option("path", self.path(name))
         (writer.partitionBy(by) if by else writer).saveAsTable(table)
         return self.spark.table(table)
 
