@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..functions import numbers as N
 from ..operators import align, matching, series, tracks
 from ..sources.tables import table
 from ..streaming import watch
-from .catalog import query, seconds
+from .catalog import query, seconds, shared_place
 
 _E = "(SELECT *, epoch_us(ts) / 1e6 AS t FROM events)"
 
@@ -174,17 +172,9 @@ def _shifted(found: DataFrame) -> DataFrame:
     return found.select("user_id", (F.col("since") - 1.7e9).alias("since"), (F.col("until") - 1.7e9).alias("until"))
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder (a local one in local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or ("/tmp/checkpoints" if spark.sparkContext.master.startswith("local") else None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{folder.rstrip('/')}/trackplan/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what is there and read the table it wrote."""
-    at = _shared(spark, name)
+    at = shared_place(spark, name)
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

@@ -11,8 +11,8 @@ from ..operators import cues, matching, tracks
 from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming.watch import log_events
-from .catalog import query, seconds, sql_map
-from .sequences import _L, _lines, _shared
+from .catalog import query, seconds, shared_place, sql_map
+from .sequences import _L, _lines
 
 _COUNTS = ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS INT) AS {s}" for s, p in {**X.SCRIPTS, "latin": X.LATIN}.items())
 _TOTAL = " + ".join([*X.SCRIPTS, "latin"])
@@ -250,7 +250,7 @@ def journal_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*").select("user_id", F.struct(seconds().alias("t"), "event_id").alias("k"))
     kept = stream.groupBy("user_id").agg(F.max("k").alias("k"), F.count("*").alias("n")).select("user_id", F.col("k.event_id").alias("event_id"), "n")
-    at = _shared(spark, "journal")
+    at = shared_place(spark, "journal")
 
     def put(rows: DataFrame, number: int) -> None:
         rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{at}/out")
