@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +32,3 @@ def sql_map(values: dict, key: str, default) -> str:
     """A constant table as a CASE expression."""
     quote = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
     return f"CASE {key} " + " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in values.items()) + f" ELSE {quote(default)} END"
-
-
-_AT_END: set[str] = set()
-
-
-def shared_place(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder (a local one in local mode), which goes when the driver ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or ("/tmp/checkpoints" if spark.sparkContext.master.startswith("local") else None)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"{folder.rstrip('/')}/trackplan/queries-{spark.sparkContext.applicationId}"
-    if own not in _AT_END:
-        _AT_END.add(own)
-        path = spark._jvm.org.apache.hadoop.fs.Path(own)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        system.mkdirs(path)
-        system.deleteOnExit(path)
-    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"

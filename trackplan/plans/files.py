@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators import queue
 from ..sources import tables
+from ..sources.shared import shared_place
 from ..sources.tables import table
 from ..sources.tree import readable, tree
-from .catalog import query, shared_place
+from .catalog import query
 
 
 def written(files: DataFrame, root: str) -> None:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..operators import align, matching, series, tracks
+from ..sources.shared import shared_place
 from ..sources.tables import table
 from ..streaming import watch
-from .catalog import query, seconds, shared_place
+from .catalog import query, seconds
 
 _E = "(SELECT *, epoch_us(ts) / 1e6 AS t FROM events)"
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.journal import Journal
+from ..sources.shared import shared_place
 from ..sources.tables import table
 from ..streaming import keyed
-from .catalog import query, seconds, shared_place
+from .catalog import query, seconds
 
 # Lines of a run (a user) at each event: its type says which signal moves, its value how far.
 _LINE = "CASE event_type WHEN 'view' THEN 'out_time_ms=' || CAST(floor(value * 100) AS BIGINT) * 10000 WHEN 'click' THEN 'frame=' || CAST(floor(value) AS BIGINT) WHEN 'purchase' THEN 'total_size = ' || CAST(floor(value * 1000) AS BIGINT) WHEN 'error' THEN 'out_time_ms=N/A' ELSE 'starting' END"
@@ -80,3 +82,29 @@ def progress_fold(spark: SparkSession, folder: str) -> DataFrame:
     changes = drained(spark, stream, "fold")
     last = changes.groupBy("run", "name").agg(F.max_by("value", "t").alias("value"), F.max("t").alias("t"))
     return last.join(changes.groupBy("run").agg(F.max("fields").alias("fields")), "run").select("run", "name", "value", "t", "fields")
+
+
+_PARTS = "(SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) % 3 AS part, arg_max(CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END, (epoch_us(ts), event_id)) AS status, count(*) AS n FROM events GROUP BY ALL)"
+_RECORDS = f"(SELECT key, arg_max(status, part) AS status, string_agg('n' || part || '=' || n, ',' ORDER BY part) AS counts FROM {_PARTS} GROUP BY key)"
+
+
+@query(f"SELECT key, status, counts, CAST((SELECT count(*) FROM {_RECORDS} WHERE status = 'failed') AS BIGINT) AS cleared FROM {_RECORDS} WHERE status <> 'failed'")
+def journal_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """A journal written by a stream in three batches, with a write that fails between them, compacted, and rid of failed records."""
+    at = shared_place(spark, "versions")
+    events = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("key"), (F.floor(seconds() / 86400).cast("long") % 3).alias("part"), F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_id").alias("k"), F.when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"))
+    rows = events.groupBy("key", "part").agg(F.max_by("status", "k").alias("status"), F.count("*").alias("n"))
+    fields = F.create_map(F.lit("status"), F.col("status"), F.concat(F.lit("n"), F.col("part").cast("string")), F.col("n").cast("string"))
+    rows = rows.select("key", "part", fields.alias("fields"))
+    log = Journal(spark, f"{at}/journal")
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{at}/rows")
+        stream = spark.readStream.schema("key string, fields map<string,string>").option("maxFilesPerTrigger", 1).parquet(f"{at}/rows")
+        log.follow(stream, "rows", f"{at}/state")
+        # a writer that is lost before its version stands: its table is there, and no one reads it
+        log._table(rows.select("key", F.create_map(F.lit("status"), F.lit("lost")).alias("fields"), F.lit(False).alias("gone")))
+        if part == 1:
+            log.compact()
+    cleared = log.clear()
+    counts = F.array_join(F.transform(F.array_sort(F.filter(F.map_keys("fields"), lambda k: k != "status")), lambda k: F.concat(k, F.lit("="), F.col("fields")[k])), ",")
+    return log.records().select("key", F.col("fields")["status"].alias("status"), counts.alias("counts"), F.lit(cleared).cast("long").alias("cleared"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import cues, matching, tracks
 from ..sources import sinks, tables
+from ..sources.shared import shared_place
 from ..sources.tables import table
 from ..streaming.watch import log_events
-from .catalog import query, seconds, shared_place, sql_map
+from .catalog import query, seconds, sql_map
 from .sequences import _L, _lines
 
 _COUNTS = ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS INT) AS {s}" for s, p in {**X.SCRIPTS, "latin": X.LATIN}.items())
