@@ -134,16 +134,15 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def _encoder(shared, pattern: str) -> Encoder:
+def _encoder(shared, digest: str, pattern: str) -> Encoder:
     """A Python worker's encoder: tables are built once in each."""
-    ranks = shared.value
-    key = (len(ranks), hash(pattern), hash(tuple(sorted(ranks.items())[:64])))
+    key = (pattern, digest)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(ranks, pattern)
+        _ENCODERS[key] = Encoder(shared.value, pattern)
     return _ENCODERS[key]
 
 
@@ -174,13 +173,14 @@ def encoding_digests(spark: SparkSession, docs: DataFrame, vocabulary: str, patt
 
 def _encoded(spark: SparkSession, docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], schema: str, made) -> DataFrame:
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    ranks = read_ranks(vocabulary)
+    shared, digest = spark.sparkContext.broadcast(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
     kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     names = [*keep, *[c.split()[0] for c in schema.split(", ")]]
     fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared, digest, pattern)
         for batch in batches:
             ids = [encoder.encode(t or "") for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made(encoder, ids)], names=names)

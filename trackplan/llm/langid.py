@@ -10,7 +10,6 @@ limit, calibrated on labelled rows kept aside, is rejected.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
@@ -39,7 +39,7 @@ BITS = 12
 CLASSES, LETTERS = 1 << BITS, 3500
 DIGIT, SPACE, SYMBOL, START = range(CLASSES - 5, CLASSES - 1)
 UNKNOWN = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
+HAS_LETTER = regex.compile(r"\p{L}")
 #: A private-use character that stands before each text.
 _GAP = "\ue000" * (ORDER - 1)
 

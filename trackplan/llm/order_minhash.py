@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash (DataFrame functions only).
 
-A text of any length is read as tokens (runs of non-space characters in pieces
-of at most 16; an ideograph or kana is a token of its own), its k-mers are runs
+A text of any length is read as tokens (runs of up to 16 non-space characters;
+each character of a longer run, and each ideograph or kana, is a token of its
+own, so that an edit moves no borders of tokens but its own), its k-mers are runs
 of `KMER` tokens, and all of them are numbered by occurrence: a repeated k-mer
 is another one each time.  Each of `SKETCHES` orders, a hash of its own, selects
 two minimal numbered k-mers; they are put in their text order and hashed as a
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from .storage import Scratch
 
 KMER, SKETCHES = 3, 32
-TOKEN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]{1,16}"
+#: Orders whose minima one pass of an aggregation keeps: with more, its compiled code is too long for the JVM to speed up.
+TOGETHER = 8
+_LETTER = r"[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+TOKEN = rf"[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}]|(?<!{_LETTER}){_LETTER}{{1,16}}(?!{_LETTER})|{_LETTER}"
 #: A numbered k-mer is hash << 25 | position << 1 | side (0: the text, 1: the edited text); positions beyond 2**24 count as that.
 POSITION_BITS = 25
 _MOST = (1 << (POSITION_BITS - 1)) - 1
@@ -87,14 +91,19 @@ def sketches(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
 
     The rows of a group are reduced to minima as they come, before any shuffle.
     """
-    hashes = [F.xxhash64(_hash_of(F.col("x")), F.lit(j)).alias(f"h{j}") for j in range(SKETCHES)]
-    rows = rows.select("*", *hashes)
+    bunches = SKETCHES // TOGETHER
+    # every row goes through all orders, a bunch of them at a time
+    rows = rows.withColumn("bunch", F.explode(F.array(*map(F.lit, range(bunches)))))
+    rows = rows.select("*", *[F.xxhash64(_hash_of(F.col("x")), F.col("bunch") * TOGETHER + j).alias(f"h{j}") for j in range(TOGETHER)])
     # the order is the upper bits of its hash; its lowest bit deals k-mers into halves
-    value = [_packed(F.col(f"h{j}"), F.col("x").bitwiseAND(F.lit(_LOW))) for j in range(SKETCHES)]
-    half = [F.col(f"h{j}").bitwiseAND(F.lit(1)) for j in range(SKETCHES)]
-    least = rows.groupBy(*by).agg(*[F.min(F.when(half[j] == k, value[j])).alias(f"m{j}_{k}") for j in range(SKETCHES) for k in (0, 1)], *more)
-    names = [c for c in least.columns if c not in by and not c.startswith("m")]
-    return least.select(*by, *names, F.array(*[_tuple(F.col(f"m{j}_0"), F.col(f"m{j}_1")) for j in range(SKETCHES)]).alias("sketch"))
+    value = [_packed(F.col(f"h{j}"), F.col("x").bitwiseAND(F.lit(_LOW))) for j in range(TOGETHER)]
+    half = [F.col(f"h{j}").bitwiseAND(F.lit(1)) for j in range(TOGETHER)]
+    least = rows.groupBy(*by, "bunch").agg(*[F.min(F.when(half[j] == k, value[j])).alias(f"m{j}_{k}") for j in range(TOGETHER) for k in (0, 1)], *more)
+    names = [c for c in least.columns if c not in (*by, "bunch") and not c.startswith("m")]
+    tuples = F.array(*[_tuple(F.col(f"m{j}_0"), F.col(f"m{j}_1")) for j in range(TOGETHER)])
+    out = least.select(*by, "bunch", *names, tuples.alias("t")).groupBy(*by)
+    out = out.agg(*[F.max(F.when(F.col("bunch") == k, F.col("t"))).alias(f"t{k}") for k in range(bunches)], *[F.max(n).alias(n) for n in names])
+    return out.select(*by, *names, F.concat(*[f"t{k}" for k in range(bunches)]).alias("sketch"))
 
 
 def likeness(a: Column, b: Column) -> Column:
