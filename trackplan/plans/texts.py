@@ -46,22 +46,22 @@ def sniff_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _NAMES = ["", "A 007 film", "James-Bond begins", "MARVEL's one", "a Star.Wars story", "startrekker", "Star Trek II", "stargate.sg1", "bonded", "Middleearth", "lotr/pixar", "the ghibli", "dcu x"]
-_KEY = f"'_' || regexp_replace(lower(left(text, 40) || ' ' || ({[n.replace(chr(39), ' ') for n in _NAMES]})[doc_id % {len(_NAMES)} + 1]), '[^a-z0-9]+', '_', 'g') || '_'"
+_KEY = f"'_' || regexp_replace(lower(text || ' ' || ({[n.replace(chr(39), ' ') for n in _NAMES]})[doc_id % {len(_NAMES)} + 1]), '[^a-z0-9]+', '_', 'g') || '_'"
 
 
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN contains(k, '_{w}_') THEN '{label}'" for w, label in matching.FRANCHISES) + f" END AS label FROM (SELECT doc_id, {_KEY} AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))")
 def franchise_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Names that end a document's first words, against the ordered table."""
+    """Names that end whole texts, against the ordered table."""
     name = F.get(F.array(*[F.lit(n.replace("'", " ")) for n in _NAMES]), (F.col("doc_id") % len(_NAMES)).cast("int"))
-    return table(spark, folder, "documents").select("doc_id", matching.franchise(F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.lit(" "), name)).alias("label"))
+    return table(spark, folder, "documents").select("doc_id", matching.franchise(F.concat(F.coalesce("text", F.lit("")), F.lit(" "), name)).alias("label"))
 
 
 @query(r"""
 SELECT doc_id, trim(regexp_replace(replace(n, ' ', '_'), '_+', '_', 'g'), '_') AS name FROM (
   SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(replace(translate(line, '<>:"/\|?*', '         '), '&', 'and'), '\p{C}', '', 'g'), '\s*[-–—]+\s*', ' ', 'g'), ',', ''), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') AS n
-  FROM (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) || ' & Co - x:y' AS line FROM documents))""")
+  FROM (SELECT doc_id, coalesce(text, '') || ' & Co - x:y' AS line FROM documents))""")
 def safe_name(spark: SparkSession, folder: str) -> DataFrame:
-    line = F.concat(F.get(F.split(F.coalesce("text", F.lit("")), "\n", 2), F.lit(0)), F.lit(" & Co - x:y"))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit(" & Co - x:y"))
     return table(spark, folder, "documents").select("doc_id", X.safe_name(line).alias("name"))
 
 
