@@ -86,8 +86,8 @@ def _tuple(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 0).otherwise(hashed)
 
 
-def sketches(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
-    """by, sketch (array<int> of SKETCHES tuple hashes) and more aggregates of rows (by, x: a numbered k-mer, or null if there is none).
+def sketches(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, sketch (array<int> of SKETCHES tuple hashes) of rows (by, x: a numbered k-mer, or null if there is none).
 
     The rows of a group are reduced to minima as they come, before any shuffle.
     """
@@ -98,12 +98,10 @@ def sketches(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
     # the order is the upper bits of its hash; its lowest bit deals k-mers into halves
     value = [_packed(F.col(f"h{j}"), F.col("x").bitwiseAND(F.lit(_LOW))) for j in range(TOGETHER)]
     half = [F.col(f"h{j}").bitwiseAND(F.lit(1)) for j in range(TOGETHER)]
-    least = rows.groupBy(*by, "bunch").agg(*[F.min(F.when(half[j] == k, value[j])).alias(f"m{j}_{k}") for j in range(TOGETHER) for k in (0, 1)], *more)
-    names = [c for c in least.columns if c not in (*by, "bunch") and not c.startswith("m")]
+    least = rows.groupBy(*by, "bunch").agg(*[F.min(F.when(half[j] == k, value[j])).alias(f"m{j}_{k}") for j in range(TOGETHER) for k in (0, 1)])
     tuples = F.array(*[_tuple(F.col(f"m{j}_0"), F.col(f"m{j}_1")) for j in range(TOGETHER)])
-    out = least.select(*by, "bunch", *names, tuples.alias("t")).groupBy(*by)
-    out = out.agg(*[F.max(F.when(F.col("bunch") == k, F.col("t"))).alias(f"t{k}") for k in range(bunches)], *[F.max(n).alias(n) for n in names])
-    return out.select(*by, *names, F.concat(*[f"t{k}" for k in range(bunches)]).alias("sketch"))
+    out = least.select(*by, "bunch", tuples.alias("t")).groupBy(*by).agg(*[F.max(F.when(F.col("bunch") == k, F.col("t"))).alias(f"t{k}") for k in range(bunches)])
+    return out.select(*by, F.concat(*[f"t{k}" for k in range(bunches)]).alias("sketch"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -152,18 +150,18 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         heads = heads.groupBy("of").agg(F.min("head").alias("head"))
         both = texts.join(heads, F.col("id") == F.col("of"))
         edited = F.concat(F.expr("left(text, cast(char_length(text) - char_length(text) div 4 as int))"), F.expr("left(head, cast(char_length(text) div 4 as int))"))
-        both = both.select("id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-        # rows of the same id and texts are sketched as one: their number is that of first k-mers of one side
+        sha = F.unhex(F.sha2(F.col("edited").cast("binary"), 256))
+        # rows of the same id and texts are sketched as one, under a key of two numbers that each k-mer carries
+        both = both.select("id", F.xxhash64("text", edited).alias("key"), F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
         kmers = F.array(F.struct(F.lit(0).alias("side"), numbered(F.col("text"), 0).alias("x")), F.struct(F.lit(1).alias("side"), numbered(F.col("edited"), 1).alias("x")))
-        sha = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
-        rows = both.select("id", "n_chars", sha("text").alias("text_sha"), sha("edited").alias("sha"), F.inline(kmers))
-        rows = rows.select("id", "n_chars", "text_sha", "sha", "side", F.posexplode_outer("x").alias("at", "x"))
-        by = ["id", "n_chars", "text_sha", "sha", "side"]
-        found = sketches(rows, by, F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("rows"))
-        done = found.groupBy("id", "n_chars", "text_sha", "sha").agg(*[F.max(F.when(F.col("side") == k, F.col("sketch"))).alias(c) for k, c in enumerate("ab")], F.max("rows").alias("rows"))
+        rows = both.select("id", "key", F.inline(kmers)).select("id", "key", "side", F.explode_outer("x").alias("x"))
+        found = sketches(rows, ["id", "key", "side"])
+        found = found.groupBy("id", "key").agg(*[F.max(F.when(F.col("side") == k, F.col("sketch"))).alias(c) for k, c in enumerate("ab")])
+        texts_of = both.groupBy("id", "key").agg(F.first("n_chars").alias("n_chars"), F.first(sha).alias("sha"), F.count("*").alias("rows"))
+        done = found.join(texts_of, ["id", "key"])
         # given back as often as they were, in parts that fit in an array
         done = done.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(rows - 1) div {PART_ROWS}"))))
-        done = done.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("rows") - F.col("part") * PART_ROWS, F.lit(PART_ROWS)).cast("int")))).drop("rows", "part", "copy", "text_sha")
+        done = done.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("rows") - F.col("part") * PART_ROWS, F.lit(PART_ROWS)).cast("int")))).drop("rows", "part", "copy", "key")
         done = scratch.store(done, "sketches", keep=True)
     nexts = done.groupBy("id").agg(F.min("a").alias("next_a")).join(after, F.col("id") == F.col("next_id")).select("of", "next_a")
     out = done.join(nexts, F.col("id") == F.col("of"))
