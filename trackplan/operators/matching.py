@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,3 +113,53 @@ def nearest(rows: DataFrame, references: DataFrame, by: list[str], order: list[s
     pairs = all_pairs(rows.select(*by, *order, variants.alias("v")), references.select(F.col(reference_hash).alias("_h"), F.col(reference_id).alias("reference")))
     key = F.struct(F.least(hamming(F.col("v.h"), F.col("_h")), F.lit(NO_HASH_DISTANCE)).alias("distance"), *order, "reference", F.col("v.variant").alias("variant"))
     return pairs.groupBy(*by).agg(F.min(key).alias("m")).select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")
+
+
+#: Bands that a 64-bit hash is cut into, and flipped bits in each that are looked for: hashes up to 4 * 3 + 3 bits apart meet.
+BANDS, BAND_BITS, MOST_FLIPS = 4, 16, 3
+
+
+def masks_of(flips: int) -> list[int]:
+    """All masks of a band with this many bits set."""
+    return [sum(1 << b for b in bits) for bits in combinations(range(BAND_BITS), flips)]
+
+
+def nearest_indexed(rows: DataFrame, references: DataFrame, by: list[str], order: list[str], hashes: list[str], reference_hash: str, reference_id: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`nearest` by multi-index hashing: the same rows, without meeting every reference.
+
+    Two hashes at most 4 k + 3 bits apart agree in one of four bands up to k
+    bits.  Round k looks for references whose band is k flips away; a group
+    whose closest candidate is within 4 k + 3 bits is settled, ties included,
+    and only the others go on.  Groups without one after three flips (and those
+    with null hashes only) meet every reference.  Rows and references of equal
+    hashes are one each.  cut(frame, name) stores what a round leaves.
+    """
+    variants = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.col(h).alias("h")) for k, h in enumerate(hashes)]))
+    first = F.min(F.struct(*order, F.col("v.variant").alias("variant"))).alias("o")
+    open_rows = cut(rows.select(*by, *order, variants.alias("v")).groupBy(*by, F.col("v.h").alias("h")).agg(first), "variants")
+    known = cut(references.where(F.col(reference_hash).isNotNull()).groupBy(F.col(reference_hash).alias("rh")).agg(F.min(reference_id).alias("reference")), "references")
+    band = lambda h, b: F.shiftrightunsigned(h, BAND_BITS * b).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    index = known.select("rh", "reference", F.posexplode(F.array(*[band(F.col("rh"), b) for b in range(BANDS)])).alias("band", "value"))
+    key = F.struct(F.bit_count(F.col("h").bitwiseXOR(F.col("rh"))).alias("distance"), "o.*", "reference")
+    settled = []
+    for k in range(MOST_FLIPS + 1):
+        probes = open_rows.where("h is not null").select(*by, "h", "o", F.posexplode(F.array(*[band(F.col("h"), b) for b in range(BANDS)])).alias("band", "own"))
+        # fewer flips were looked for in the rounds before, whose best candidates are kept
+        masks = F.array(*[F.lit(m) for m in masks_of(k)])
+        probes = probes.withColumn("flip", F.explode(masks)).withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
+        pairs = probes.join(index, ["band", "value"]).select(*by, key.alias("m"))
+        best = pairs.groupBy(*by).agg(F.min("m").alias("m"))
+        best = cut(best.unionByName(settled[-1][1]).groupBy(*by).agg(F.min("m").alias("m")) if settled else best, f"best-{k}")
+        done = best.where(F.col("m.distance") <= BANDS * k + BANDS - 1)
+        open_rows = cut(open_rows.join(done.select(*by), by, "left_anti"), f"open-{k}")
+        settled.append((done, best.join(done.select(*by), by, "left_anti")))
+        if open_rows.isEmpty():
+            break
+    out = settled[0][0]
+    for done, _ in settled[1:]:
+        out = out.unionByName(done)
+    out = out.select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")
+    if open_rows.isEmpty():
+        return out
+    rest = rows.join(open_rows.select(*by).distinct(), by, "left_semi")
+    return out.unionByName(nearest(rest, references, by, order, hashes, reference_hash, reference_id))

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
-from ..operators import align, matching, series, tracks
-from ..sources.shared import shared_place
+from ..operators import align, matching, selection, series, tracks
+from ..sources.shared import shared_place, stored
 from ..sources.tables import table
 from ..streaming import watch
 from .catalog import query, seconds
@@ -102,6 +102,24 @@ def theil_sen(spark: SparkSession, folder: str) -> DataFrame:
     return series.robust_line(days, ["event_type"], "day", "e").select("event_type", F.round("slope", 6).alias("slope"), "kept")
 
 
+@query(f"""
+SELECT a.event_type, round(quantile_cont((b.value - a.value) / (b.t - a.t) * 86400, 0.5), 6) AS slope FROM {_E} a JOIN {_E} b ON a.event_type = b.event_type AND a.t < b.t GROUP BY a.event_type""")
+def theil_sen_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Median slopes over all events of a type, without their pairs."""
+    points = _events(spark, folder).select("event_type", (F.col("t") / 86400 - 19000).alias("t"), F.col("value").alias("e"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = selection.median_slopes(points, ["event_type"], "t", "e", stored, parts, slopes=31, precision=1e-9)
+    return found.select("event_type", F.round("slope", 6).alias("slope"))
+
+
+@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.9) AS high FROM lineitem GROUP BY ALL")
+def exact_quantiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact quantiles of large groups by narrowing counts."""
+    lines, by = table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"]
+    half, high = (selection.percentiles(lines, by, F.col("l_extendedprice"), q, stored, most=1000, name=name) for q, name in ((0.5, "median"), (0.9, "high")))
+    return half.join(high, by)
+
+
 @query("""
 SELECT o_orderkey, CAST(i AS INT) AS i, round(CASE WHEN one THEN greatest(0, d / 2 - 2) ELSE f + (l - f) * i / (n - 1) END, 6) AS start FROM (
   SELECT o_orderkey, d, n, f, l, l <= f AS one, unnest(range(CASE WHEN l <= f THEN 1 ELSE n END)) AS i FROM (
@@ -236,6 +254,17 @@ def nearest_ref(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("label", "distance", "vec_id", "reference", N.verdict(F.col("distance"), F.lit(12)).alias("verdict"))
 
 
+@query(f"""
+SELECT vec_id, distance, reference FROM (
+  SELECT a.vec_id, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance, b.vec_id AS reference, row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.h, b.h)), b.vec_id) AS k
+  FROM {_HASHES} a, {_HASHES} b WHERE a.vec_id % 2 = 1 AND b.vec_id % 2 = 0) WHERE k = 1""")
+def nearest_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """Each odd vector's closest even one, by bands of their hashes."""
+    hashes = stored(_hashes(spark, folder), "hashes")
+    found = matching.nearest_indexed(hashes.where("vec_id % 2 = 1").withColumn("frame", F.lit(0)), hashes.where("vec_id % 2 = 0"), ["vec_id"], ["frame"], ["h"], "h", "vec_id", stored)
+    return found.select("vec_id", "distance", "reference")
+
+
 def _noise(place: Column) -> Column:
     """A fixed signal: a number in -1 to 1 for each place."""
     return F.pmod(F.xxhash64(place.cast("long")), F.lit(2001)) / 1000.0 - 1.0
