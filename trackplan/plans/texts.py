@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.registered import register
 from ..operators import cues, matching, tracks
 from ..sources import sinks, tables
 from ..sources.shared import shared_place
 from ..sources.tables import table
 from ..streaming.watch import log_events
 from .catalog import query, seconds, sql_map
-from .sequences import _L, _lines
+from .sequences import _L, _lines, _tracks
 
 _COUNTS = ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS INT) AS {s}" for s, p in {**X.SCRIPTS, "latin": X.LATIN}.items())
 _TOTAL = " + ".join([*X.SCRIPTS, "latin"])
@@ -120,6 +121,31 @@ def parse_cues(spark: SparkSession, folder: str) -> DataFrame:
     return cues.parsed(_scripts(spark, folder), ["conv_id"]).select("conv_id", "pos", "start", "stop", F.array_join("body", "\n").alias("body"))
 
 
+@query(f"SELECT conv_id, CAST(pos AS INT) AS pos, CAST(turn * 2 AS DOUBLE) AS start, CAST(turn * 2 + 1.5 AS DOUBLE) AS stop, body FROM {_TURNS}")
+def sql_cues(spark: SparkSession, folder: str) -> DataFrame:
+    """Cues by a table function in SQL."""
+    register(spark)
+    return spark.sql("SELECT conv_id, c.pos, c.start, c.stop, c.body FROM {scripts}, LATERAL parse_cues(text) c", scripts=_scripts(spark, folder))
+
+
+@query("""
+SELECT doc_id, sha256(coalesce(list_reduce(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> ''), lambda acc, w: acc || CASE WHEN length(split_part(acc, chr(10), -1)) + 1 + length(w) <= 42 AND true THEN ' ' ELSE chr(10) END || w), '')) AS sha FROM documents WHERE NOT contains(coalesce(text, ''), chr(10))""")
+def sql_wrap(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of one line, wrapped at 42 characters by a function in SQL."""
+    register(spark)
+    return spark.sql("SELECT doc_id, sha2(word_wrap(coalesce(text, ''), 42), 256) AS sha FROM {docs} WHERE NOT contains(coalesce(text, ''), '\\n')", docs=table(spark, folder, "documents"))
+
+
+@query("SELECT n_nationkey, -(n_nationkey - 12) * 3 / 100.0 AS lag, 1500 AS samples FROM nation")
+def sql_lag(spark: SparkSession, folder: str) -> DataFrame:
+    """Offsets and a stretched timeline of arrays by functions in SQL."""
+    register(spark)
+    tracks = _tracks(spark, folder, 1000, (F.col("n_nationkey") - 12) * 3)
+    return spark.sql("""
+      SELECT n_nationkey, round(lag_offset(a, b, 100D, 2D).offset, 3) AS lag, size(warp_samples(a, 100D, array(0D, 10D), array(0D, 15D))) AS samples
+      FROM (SELECT n_nationkey, transform(s, x -> x.a) AS a, transform(s, x -> x.b) AS b FROM (SELECT n_nationkey, sort_array(collect_list(struct(i, a, b))) AS s FROM {tracks} GROUP BY n_nationkey))""", tracks=tracks)
+
+
 @query(f"SELECT conv_id, CAST(count(*) AS BIGINT) AS cues, CAST(sum(length(body)) AS BIGINT) AS characters FROM {_TURNS} GROUP BY conv_id HAVING count(*) >= 3 AND sum(length(body)) > 200")
 def useful_cues(spark: SparkSession, folder: str) -> DataFrame:
     return cues.useful(cues.parsed(_scripts(spark, folder), ["conv_id"]), ["conv_id"], least=3)
