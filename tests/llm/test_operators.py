@@ -121,34 +121,76 @@ def test_toxicity_keeps_base_rate(spark):
     assert np.mean([r.predicted for r in found]) < 0.05
 
 
+def earliest_deadline_first(parts, slots):
+    """The source of each slot: of the blocks released by then that of the earliest deadline; ties as the operator's classes have them."""
+    whole = sum(parts.values())
+    done, ran = dict.fromkeys(parts, 0), []
+    for t in range(slots):
+        ready = [(-(-(done[s] + 1) * whole // w), s) for s, w in parts.items() if done[s] * whole // w <= t]
+        due, s = min(ready, key=lambda x: (x[0], parts[x[1]], done[x[1]]))
+        assert t < due
+        done[s] += 1
+        ran.append(s)
+    return ran
+
+
+def deviations(placed, parts, end):
+    """The most that any source is off its weight at any slot before `end`, in blocks."""
+    whole = sum(parts.values())
+    ran = np.full(end, -1)
+    names = sorted(parts)
+    for r in placed:
+        if r.slot < end:
+            ran[r.slot] = names.index(r.source)
+    assert (ran >= 0).all()
+    t = np.arange(1, end + 1)
+    return max(np.abs(np.cumsum(ran == k) - t * parts[s] / whole).max() for k, s in enumerate(names))
+
+
 def test_mixing(spark, docs):
-    rows = mixing.mix(spark, docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, block_rows=2, period=20).collect()
+    rows = mixing.mix(spark, docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, block_rows=2).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in docs.collect())
-    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
-    placed = mixing.mix(spark, many, {"a": 1.0, "b": 3.0}, block_rows=4, period=100).collect()
-    share = {"a": 0.25, "b": 0.75}
-    assert all(r.release <= r.slot < r.deadline for r in placed)
-    last = min(max(r.slot for r in placed if r.source == s) for s in share)
-    for s, w in share.items():
-        slots = sorted({r.slot for r in placed if r.source == s})
-        for t in range(0, last, 7):
-            assert abs(sum(x < t for x in slots) - w * t) < 1.1  # quotas of the period round the weights
+    assert mixing.whole_parts({"a": 0.25, "b": 0.75}) == {"a": 1, "b": 3} and mixing.whole_parts(dict.fromkeys("abc", 1 / 3)) == dict.fromkeys("abc", 1)
+    parts = {"a": 5, "b": 3, "c": 3, "d": 1, "e": 1, "f": 1}
+    many = spark.createDataFrame([(k * 100 + j, s) for k, s in enumerate(parts) for j in range(4 * parts[s] * 2)], "doc_id long, source string")
+    placed = mixing.mix(spark, many, parts, block_rows=4).collect()
+    assert all(r.release <= r.slot < r.deadline for r in placed) and len({(r.slot, r.place) for r in placed}) == len(placed)
+    # sources of equal parts take turns in either order: which of them runs is the operator's own choice
+    ran = {r.slot: parts[r.source] for r in placed}
+    assert [ran[t] for t in range(28)] == [parts[s] for s in earliest_deadline_first(parts, 28)]
+    assert deviations(placed, parts, 28) < 1
+
+
+def test_mixing_keeps_to_the_weights(spark):
+    """Three thirds over 60,000 slots; weights of many digits; the rows' own weights; long periods, whose slots are joined."""
+    ids = spark.range(60_000)
+    thirds = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("source"))
+    placed = mixing.mix(spark, thirds, dict.fromkeys("012", 1 / 3), block_rows=1).collect()
+    assert deviations(placed, dict.fromkeys("012", 1), 60_000) < 1
+    parts = {"0": 4567, "1": 321, "2": 1112}
+    for most in (mixing.BROADCAST_PARTS, 100):
+        before, mixing.BROADCAST_PARTS = mixing.BROADCAST_PARTS, most
+        placed = mixing.mix(spark, thirds, {s: w / 10_000 for s, w in parts.items()}, block_rows=2).collect()
+        mixing.BROADCAST_PARTS = before
+        end = min(max(r.slot for r in placed if r.source == s) for s in parts)
+        assert all(r.release <= r.slot < r.deadline for r in placed) and deviations(placed, parts, end) < 1
 
 
 def test_mixing_of_many_sources(spark):
-    """More sources than one period holds: a heavy one, light ones and a null one."""
-    n = 700
-    rows = [(k, None if k % n == 1 else f"domain{k % n}") for k in range(2 * n)] + [(2 * n + k, "domain0") for k in range(600)]
+    """5,000 sources: a heavy one, light ones and a null one."""
+    n = 5000
+    rows = [(k, None if k % n == 1 else f"domain{k % n}") for k in range(n)] + [(n + k, "domain0") for k in range(600)]
     placed = mixing.mix(spark, spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
     assert Counter((r.doc_id, r.source) for r in placed) == Counter(rows)
     assert len({(r.slot, r.place) for r in placed}) == len(rows) and all(r.release <= r.slot < r.deadline for r in placed)
-    weight = {s: c**mixing.TEMPER for s, c in Counter(s for _, s in rows).items()}
-    share = weight["domain0"] / sum(weight.values())
-    end = min(max(r.slot for r in placed if r.source == s) for s in weight)
-    seen = sum(r.source == "domain0" for r in placed if r.slot < end)
-    assert abs(seen / end - share) < 0.3 * share
-    few = mixing.mix(spark, spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 30).cast("string").alias("source")), block_rows=1, period=4).collect()
-    assert len({r.slot for r in few}) == 60
+    counts = Counter(s for _, s in rows)
+    total = sum(c**mixing.TEMPER for c in counts.values())
+    parts = {s: max(1, round(c**mixing.TEMPER * mixing.PARTS / total)) for s, c in counts.items()}
+    whole = sum(parts.values())
+    slots = np.sort([r.slot for r in placed if r.source == "domain0"])
+    # after any slot the heavy source has had less than a block more or less than its share
+    assert max(abs(k + 1 - (t + 1) * parts["domain0"] / whole) for k, t in enumerate(slots)) < 1
+    assert max(abs(k - t * parts["domain0"] / whole) for k, t in enumerate(slots)) < 1
 
 
 def test_pipeline_keeps_mixture_order(spark, tmp_path):
