@@ -74,7 +74,7 @@ def schedule(classes: DataFrame, period: int) -> DataFrame:
               best -> named_struct('done', transform(st.done, (d, i) -> d + if(i = best.i, 1L, 0L)), 'ran', concat(st.ran, array(best.i))))[0])),
           part -> named_struct('done', part.done, 'ran', concat(all.ran, array(part.ran))))[0],
         all -> flatten(all.ran))"""
-    ran = row.select("s", F.posexplode(F.expr(step)).alias("slot", "i")).select(F.expr("s[i].w").alias("w"), F.expr("s[i].m").alias("m"), F.col("slot").cast("int").alias("slot"))
+    ran = row.select("s", F.posexplode(F.expr(step)).alias("slot", "i")).select(F.expr("get(s, i).w").alias("w"), F.expr("get(s, i).m").alias("m"), F.col("slot").cast("int").alias("slot"))
     return ran.groupBy("w", "m").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
 
 
@@ -106,9 +106,10 @@ def _placed(scratch: Scratch, rows: DataFrame, weights: dict[str, float] | None,
     sources = scratch.store(weighted(scratch.store(rows.groupBy("source").agg(F.count("*").alias("n")), "counts"), weights, parts=parts), "weights")
     classes = scratch.store(sources.groupBy("w").agg(F.count("*").alias("m")), "classes")
     period, many = classes.agg(F.sum(F.col("w") * F.col("m")), F.sum("m")).first()
-    if (period or 0) > MOST_PARTS:
+    period, many = period or 1, many or 0
+    if period > MOST_PARTS:
         raise ValueError(f"the weights have no common measure below 1/{MOST_PARTS}: give them with fewer digits")
-    plan = scratch.store(schedule(classes, period or 1), "period", keep=True)
+    plan = scratch.store(schedule(classes, period), "period", keep=True)
     # sources of a class are numbered by hash, in cells: none sorts all of them
     hashed = sources.select("source", "w", F.xxhash64("source").alias("id"))
     hashed = scratch.store(hashed, "sources")
@@ -120,8 +121,8 @@ def _placed(scratch: Scratch, rows: DataFrame, weights: dict[str, float] | None,
     cell = F.shiftrightunsigned("_h", 64 - (CELLS.bit_length() - 1))
     rows = numbered(scratch, rows, ["source"], [F.expr("_h & 4503599627370495"), F.col("doc_id")], cell, "_number")
     rows = rows.withColumn("block", F.expr(f"_number div {block_rows}")).withColumn("place", F.expr(f"cast(_number % {block_rows} as int)"))
-    rows = rows.join(F.broadcast(own) if (many or 0) <= MOST_BROADCAST else own, F.col("source").eqNullSafe(F.col("_source")))
-    if (period or 0) <= BROADCAST_PARTS:
+    rows = rows.join(F.broadcast(own) if many <= MOST_BROADCAST else own, F.col("source").eqNullSafe(F.col("_source")))
+    if period <= BROADCAST_PARTS:
         rows = rows.join(F.broadcast(plan), F.col("_w") == F.col("w")).withColumn("at", F.expr("slots[cast(block % w * m + nth as int)]"))
     else:
         slots = plan.select("w", "m", F.posexplode("slots").alias("j", "at"))
