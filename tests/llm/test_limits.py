@@ -21,3 +21,22 @@ def test_language_of_signs_and_long_texts(spark, monkeypatch):
 def test_archives_of_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(spark, pages).count() == 0
+
+
+def test_rows_in_buckets_are_not_moved(spark):
+    """What exact dedup rests on: texts in buckets of blocks meet a table of blocks without an exchange of their own."""
+    from trackplan.llm.storage import Scratch
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Scratch(spark, "buckets") as scratch:
+            rows = spark.range(1000).select((F.col("id") % 17).alias("block"), F.col("id").cast("string").alias("text"), (F.col("id") % 2).cast("int").alias("kind"))
+            kept = scratch.bucketed(rows, "rows", ["block"], 4, by="kind").where("kind = 0")
+            marks = spark.range(17).select(F.col("id").alias("block"), F.lit(1).alias("mark"))
+            joined = kept.join(marks.hint("shuffle_hash"), "block")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+            assert joined.count() == 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -4,8 +4,9 @@ A sender (a block of documents of one partition) sorts short fingerprints of
 its texts, splits them by owner (a range of fingerprints) and sends each owner
 the Golomb-coded gaps, each fingerprint once, with a bitmap of those that occur
 again in the block.  Owners answer with a bitmap of the fingerprints that occur
-twice or more.  Only those suspects are shuffled with their texts, which are
-then compared byte by byte.
+twice or more, which becomes a bitmap of the block's rows.  The rows lie stored
+with their texts in buckets of blocks: suspects are found there, and only they
+are shuffled with their texts, which are then compared byte by byte.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from .storage import Scratch, small_batches
 
 #: Bits of a fingerprint: false suspects are about rows / 2**40 of all rows.
 FINGERPRINT_BITS = 40
-#: Documents of a sender.
-BLOCK_ROWS = 1 << 16
+#: Documents of a sender: with few large blocks and owners, messages hold many fingerprints each however many rows there are.
+BLOCK_ROWS = 1 << 18
 #: Rows for which there is one owner more, so that what an owner holds doesn't grow with the table.
-OWNER_ROWS = 1 << 22
+OWNER_ROWS = 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_SENT = "kind int, doc_id long, sha binary, block long, owner int, slot int, count int, shift int, quotients binary, remainders binary, again binary"
+_SENT = "kind int, block long, n int, doc_id long, sha binary, text binary, owner int, count int, shift int, quotients binary, remainders binary, again binary"
+_KINDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("text", pa.binary()), ("owner", pa.int32()), ("count", pa.int32()), ("shift", pa.int32()), ("quotients", pa.binary()), ("remainders", pa.binary()), ("again", pa.binary())])
 
 
 def golomb(values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -60,48 +62,57 @@ def ungolomb(count: int, shift: int, quotients: bytes, remainders: bytes) -> np.
     return np.cumsum(gaps, dtype=np.uint64)
 
 
+def _rows(columns: dict) -> pa.RecordBatch:
+    n = len(columns["block"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _KINDS], schema=_KINDS)
+
+
 def _send(owners: int, block_rows: int):
-    def block(number: int, ids: list, shas: list[bytes]) -> Iterator[pa.RecordBatch]:
-        prints = np.frombuffer(b"".join(s[:8] for s in shas), dtype=">u8").astype(np.uint64) >> np.uint64(64 - FINGERPRINT_BITS)
-        order = np.argsort(prints, kind="stable")
-        distinct, first, times = np.unique(prints[order], return_index=True, return_counts=True)
-        place = np.repeat(np.arange(len(distinct)), times)
+    """Rows with their texts (kind 0), messages to owners (kind 1), and where each row of a block stands in them (kind 2)."""
+
+    def messages(block: int, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        distinct, place, times = np.unique(prints, return_inverse=True, return_counts=True)
         owner = ((distinct * np.uint64(owners)) >> np.uint64(FINGERPRINT_BITS)).astype(np.int32)
-        starts = np.searchsorted(owner, np.arange(owners + 1))
-        slot = (np.arange(len(distinct)) - starts[owner]).astype(np.int32)
-        for a in range(0, len(ids), 5000):
-            o, at = order[a : a + 5000], place[a : a + 5000]
-            none = lambda kind, k=len(o): pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(o), np.int32)), pa.array([ids[i] for i in o], pa.int64()), pa.array([shas[i] for i in o], pa.binary()), pa.array(np.full(len(o), number)), pa.array(owner[at]), pa.array(slot[at]), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())],
-                names=_NAMES,
-            )
-        sent = [(o, starts[o], starts[o + 1]) for o in range(owners) if starts[o + 1] > starts[o]]
-        coded = [golomb(distinct[a:b]) for _, a, b in sent]
-        again = [np.packbits(times[a:b] > 1).tobytes() for _, a, b in sent]
+        sent, starts = np.unique(owner, return_index=True)
+        ends = np.append(starts[1:], len(distinct))
+        slot = (np.arange(len(distinct)) - np.repeat(starts, ends - starts)).astype(np.int32)
+        coded = [golomb(distinct[a:b]) for a, b in zip(starts, ends, strict=True)]
+        again = [np.packbits(times[a:b] > 1).tobytes() for a, b in zip(starts, ends, strict=True)]
         k = len(sent)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.full(k, number)), pa.array([o for o, _, _ in sent], pa.int32()), pa.nulls(k, pa.int32()), pa.array([b - a for _, a, b in sent], pa.int32()), pa.array([c[0] for c in coded], pa.int32()), pa.array([c[1] for c in coded], pa.binary()), pa.array([c[2] for c in coded], pa.binary()), pa.array(again, pa.binary())],
-            names=_NAMES,
-        )
+        yield _rows({"kind": [1] * k, "block": [block] * k, "owner": sent, "count": ends - starts, "shift": [c[0] for c in coded], "quotients": [c[1] for c in coded], "remainders": [c[2] for c in coded], "again": again})
+        yield _rows({"kind": [2], "block": [block], "quotients": [owner[place].tobytes()], "remainders": [slot[place].tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids: list = []
-        shas: list[bytes] = []
+        block = TaskContext.get().partitionId() << 32
+        prints: list[int] = []
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            shas += [hashlib.sha256((t or b"").lower()).digest() for t in batch.column(1).to_pylist()]
-            if len(ids) >= block_rows:
-                yield from block(number, ids, shas)
-                number, ids, shas = number + 1, [], []
-        if ids:
-            yield from block(number, ids, shas)
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, block_rows - len(prints))
+                at += some.num_rows
+                shas = [hashlib.sha256((t or b"").lower()).digest() for t in some.column(1).to_pylist()]
+                k = len(shas)
+                yield _rows({"kind": [0] * k, "block": [block] * k, "n": np.arange(len(prints), len(prints) + k), "doc_id": some.column(0), "sha": shas, "text": some.column(1)})
+                prints += [int.from_bytes(x[:8], "big") >> (64 - FINGERPRINT_BITS) for x in shas]
+                if len(prints) >= block_rows:
+                    yield from messages(block, np.array(prints, dtype=np.uint64))
+                    block, prints = block + 1, []
+        if prints:
+            yield from messages(block, np.array(prints, dtype=np.uint64))
 
     return run
 
 
-_NAMES = [c.split()[0] for c in _SENT.split(", ")]
+def _suspects(places: pa.Table, answers: pa.Table) -> pa.Table:
+    """A block's bitmap of rows, from its owners' bitmaps of fingerprints."""
+    if not places.num_rows:
+        return pa.table({"block": pa.array([], pa.int64()), "bitmap": pa.array([], pa.list_(pa.int64()))})
+    owner, slot = (np.frombuffer(places.column(c)[0].as_py(), dtype=np.int32) for c in ("owners", "slots"))
+    suspect = np.zeros(-(-len(owner) // 64) * 64, dtype=np.uint8)
+    for o, bitmap in zip(answers.column("owner").to_pylist(), answers.column("bitmap").to_pylist(), strict=True):
+        mine = np.flatnonzero(owner == o)
+        suspect[mine] = np.unpackbits(np.array(bitmap, dtype="<i8").view(np.uint8), bitorder="little")[slot[mine]]
+    return pa.table({"block": places.column("block").slice(0, 1), "bitmap": pa.array([np.packbits(suspect, bitorder="little").view("<i8").tolist()], pa.list_(pa.int64()))})
 
 
 def answers_of_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,27 +152,28 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, block_rows: int = BLO
 def _exact(scratch: Scratch, docs: DataFrame, block_rows: int = BLOCK_ROWS, owner_rows: int = OWNER_ROWS) -> DataFrame:
     spark = scratch.spark
     small_batches(spark)
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // owner_rows))
-    path = scratch.path("sent", keep=True)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = max(tasks, -(-docs.count() // owner_rows))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    texts.mapInArrow(_send(owners, block_rows), _SENT).write.partitionBy("kind").parquet(path)
-    sent = spark.read.schema(_SENT).parquet(path)
+    sent = scratch.bucketed(texts.mapInArrow(_send(owners, block_rows), _SENT), "sent", ["block"], tasks, by="kind")
     messages = sent.where("kind = 1").select("owner", "block", "count", "shift", "quotients", "remainders", "again")
-    answers = messages.repartition("owner").sortWithinPartitions("owner", "block").mapInArrow(answers_of_owners, "block long, owner int, bitmap array<long>")
-    answers = scratch.store(answers, "bitmaps", keep=True)
-    rows = sent.where("kind = 0").select("doc_id", "sha", "block", "owner", "slot").join(answers, ["block", "owner"], "left")
-    bit = F.expr("coalesce(getbit(bitmap[slot div 64], slot % 64) = 1, false)").alias("suspect")
-    rows = rows.select("doc_id", "sha", bit)
-    suspects = scratch.store(rows.where("suspect").select("doc_id", "sha"), "suspects", keep=True)
-    ids = suspects.select(F.col("doc_id").alias("id")).distinct()
-    shuffled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    same = shuffled.select(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
+    answers = messages.repartition(tasks, "owner").sortWithinPartitions("owner", "block").mapInArrow(answers_of_owners, "block long, owner int, bitmap array<long>")
+    places = sent.where("kind = 2").select("block", F.col("quotients").alias("owners"), F.col("remainders").alias("slots"))
+    marks = places.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_suspects, "block long, bitmap array<long>")
+    marks = scratch.store(marks, "bitmaps")
+    # a row for each block: texts stay in their buckets, and meet a table of these
+    rows = sent.where("kind = 0").join(marks.hint("shuffle_hash"), "block")
+    suspect = F.expr("getbit(bitmap[n div 64], n % 64) = 1")
+    asked = scratch.store(rows.where(suspect).select("doc_id", "sha", "text"), "suspects", keep=True)
+    suspects = asked.select("doc_id", "sha")
+    alone = scratch.store(rows.where(~suspect).select("doc_id", "sha"), "others", keep=True)
+    same = asked.select(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER).alias("text"))
     same = same.groupBy("text").agg(F.lit(1).alias("one")).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     verified = same.groupBy("sha").agg(F.count("*").alias("texts"))
     groups = suspects.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).join(verified, "sha")
     checked = F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")))
     groups = scratch.store(groups.select("sha", "keep_id", checked.cast("long").alias("group_size")), "groups", keep=True)
-    alone = rows.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    alone = alone.select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     both = alone.union(suspects.join(groups, "sha").select("doc_id", "sha", "keep_id", "group_size"))
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
