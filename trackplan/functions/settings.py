@@ -41,6 +41,13 @@ NUMBERS = [
     ("uhd_overhead_mbps", "float", 0.0, 20.0, 2.5),
     ("uhd_bpp_ref", "float", 0.0, 1.0, 0.1157),
     ("cpu_max_pct", "int", 0, 100, 80),
+    ("min_free_gb", "float", 0.0, 1e9, 20.0),
+    ("audio_opus_per_ch", "int", 48, 256, 128),
+    ("hq_source_boost_pct", "float", 0.0, 200.0, 30.0),
+    ("audio_mix_centre", "float", 0.5, 2.0, 1.25),
+    ("audio_mix_enhance", "float", 0.0, 3.0, 0.6),
+    ("svtav1_preset", "int", 0, 13, 6),
+    ("upscale_cq", "int", 10, 30, 28),
 ]
 #: Key, what it may be; the first is the default.
 CHOICES = [
@@ -51,7 +58,10 @@ CHOICES = [
     ("artifact_repair", ["auto", "off", "weak", "strong"]),
     ("deband_mode", ["auto", "always", "off"]),
     ("hwaccel", ["auto", "cuda", "none"]),
+    ("sr_model", ["realesr-general-x4v3", "realesr-animevideov3", "realesrgan-x4plus-anime"]),
 ]
+#: Tiers of quality, and those that are repaired unless others are named.
+TIERS, REPAIRED = ["high", "mid", "low", "awful"], ["low", "awful"]
 #: Shares of a machine stay at or below a ceiling, whatever is asked for.
 CEILED, CEILING = ["gpu_max_pct", "cpu_max_pct"], 98
 INTEGER, DECIMAL = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -92,6 +102,12 @@ def name_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
 
 
+def repaired_tiers(text: Column) -> Column:
+    """The known tiers of a comma-separated text, as they are written there; the default, if there is none."""
+    named = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x.isin(*TIERS))
+    return F.when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, REPAIRED)))
+
+
 def tile_threads(text: Column, default: str = "4:4:4") -> Column:
     """A text of the form `load:process:save`, else the default."""
     return F.coalesce(F.when(F.rlike(F.trim(text), F.lit(r"^[0-9]+:[0-9]+:[0-9]+$")), F.trim(text)), F.lit(default))

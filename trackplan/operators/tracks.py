@@ -6,6 +6,8 @@ bit_rate, layout, title, aux.  Subtitles: idx, lang, codec, forced, sdh, title.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,9 +19,9 @@ ENGLISH, JAPANESE = ["eng", "en"], ["jpn", "ja", "jp"]
 LANGUAGE_LABEL = {"eng": "English", "en": "English", "jpn": "Japanese", "ja": "Japanese", "jp": "Japanese", "chi": "Chinese", "kor": "Korean", "rus": "Russian", "ita": "Italian", "fre": "French", "fra": "French", "ger": "German", "deu": "German", "spa": "Spanish", "por": "Portuguese", "und": "Undetermined"}
 FORMAT_LABEL = {"hdmv_pgs_subtitle": "PGS", "pgssub": "PGS", "dvd_subtitle": "VobSub", "dvdsub": "VobSub", "ass": "ASS", "ssa": "ASS", "subrip": "SRT", "mov_text": "SRT", "text": "SRT", "webvtt": "VTT"}
 LAYOUTS = {
-    "mono": "FC", "stereo": "FL FR", "2.1": "FL FR LFE", "3.0": "FL FR FC", "3.0(back)": "FL FR BC", "3.1": "FL FR FC LFE", "4.0": "FL FR FC BC", "quad": "FL FR BL BR", "quad(side)": "FL FR SL SR",
-    "5.0": "FL FR FC BL BR", "5.0(side)": "FL FR FC SL SR", "5.1": "FL FR FC LFE BL BR", "5.1(side)": "FL FR FC LFE SL SR", "6.0": "FL FR FC BC SL SR", "6.1": "FL FR FC LFE BC SL SR", "7.0": "FL FR FC BL BR SL SR",
-    "7.1": "FL FR FC LFE BL BR SL SR", "7.1(wide)": "FL FR FC LFE BL BR FLC FRC", "7.1(wide-side)": "FL FR FC LFE FLC FRC SL SR",
+    "mono": ["FC"], "stereo": ["FL", "FR"], "2.1": ["FL", "FR", "LFE"], "3.0": ["FL", "FR", "FC"], "3.0(back)": ["FL", "FR", "BC"], "3.1": ["FL", "FR", "FC", "LFE"], "4.0": ["FL", "FR", "FC", "BC"], "quad": ["FL", "FR", "BL", "BR"], "quad(side)": ["FL", "FR", "SL", "SR"],
+    "5.0": ["FL", "FR", "FC", "BL", "BR"], "5.0(side)": ["FL", "FR", "FC", "SL", "SR"], "5.1": ["FL", "FR", "FC", "LFE", "BL", "BR"], "5.1(side)": ["FL", "FR", "FC", "LFE", "SL", "SR"], "6.0": ["FL", "FR", "FC", "BC", "SL", "SR"], "6.1": ["FL", "FR", "FC", "LFE", "BC", "SL", "SR"], "7.0": ["FL", "FR", "FC", "BL", "BR", "SL", "SR"],
+    "7.1": ["FL", "FR", "FC", "LFE", "BL", "BR", "SL", "SR"], "7.1(wide)": ["FL", "FR", "FC", "LFE", "BL", "BR", "FLC", "FRC"], "7.1(wide-side)": ["FL", "FR", "FC", "LFE", "FLC", "FRC", "SL", "SR"],
 }
 CENTRE_GAIN = 0.919
 OPUS_LEAST, OPUS_PER_CHANNEL, OPUS_MOST = 160, 128, 768
@@ -69,12 +71,18 @@ def picked_audio(tracks: Column) -> Column:
     return F.struct(F.coalesce(english, japanese, F.get(tracks, F.lit(0))).alias("track"), reason.alias("reason"))
 
 
-def audio_in_order(tracks: Column, picked: Column, languages: list[str]) -> Column:
-    """Tracks of the wanted languages (all, if none are named; the picked or else the first, if there are none): English, Japanese, then the rest with the picked one first."""
+def audio_in_order(tracks: Column, picked: Column, languages: list[str], stereo_only: bool = False) -> Column:
+    """Tracks of the wanted languages (all, if none are named; the picked or else the first, if there are none): English, Japanese, then the rest with the picked one first.
+
+    With `stereo_only` a downmix stands in for the English tracks of more than
+    two channels, wherever there is an English track to make it of.
+    """
     kept = tracks
     if languages:
         kept = F.filter(tracks, lambda t: _is(t, [x.lower() for x in languages]))
         kept = F.when(F.size(kept) > 0, kept).when(picked.isNotNull(), F.filter(tracks, lambda t: t["idx"] == picked["idx"])).otherwise(F.slice(tracks, 1, 1))
+    if stereo_only:
+        kept = F.when(best_audio(tracks, ENGLISH).isNotNull(), F.filter(kept, lambda t: ~_is(t, ENGLISH) | (t["ch"] <= 2))).otherwise(kept)
     keyed = F.transform(kept, lambda t, i: F.struct(language_rank(t).alias("a"), F.when((language_rank(t) == 2) & ~t["idx"].eqNullSafe(picked["idx"]), 1).otherwise(0).alias("b"), i.alias("c"), t.alias("t")))
     return F.transform(F.array_sort(keyed, lambda x, y: _compare(x, y, ["a", "b", "c"])), lambda k: k["t"])
 
@@ -102,6 +110,48 @@ def subtitle_slots(subs: Column, english_audio: Column) -> Column:
     return F.struct(first.alias("s1"), F.when(~first.eqNullSafe(full["idx"]), full["idx"]).alias("s2"), _first(subs, lambda s: _is(s, JAPANESE))["idx"].alias("s3"))
 
 
+def planned_audio(tracks: Column, mixable: Callable[[Column], Column]) -> Column:
+    """struct(slots, notes): the slots of `audio_slots` with stereo, native_stereo (carried as it is, without a mix) and title.
+
+    mixable(track): whether there is a boosted mix for its layout.
+    """
+
+    def described(s: Column) -> Column:
+        track = F.get(F.filter(tracks, lambda t: t["idx"] == s["idx"]), F.lit(0))
+        wide, mixed, ch = track["ch"] > 2, mixable(track), F.coalesce(F.nullif(track["ch"], F.lit(0)), F.lit(2)).cast("string")
+        boosted = F.when(~mixed, "English stereo").when(wide, "English stereo downmix (dialogue boosted)").otherwise("English stereo (dialogue boosted)")
+        spoken = F.when(s["lang"] == "jpn", "Japanese ").otherwise("Original ")
+        title = F.when(s["kind"] == "boosted", boosted).when(s["kind"] == "original", F.concat(F.lit("English original "), ch, F.lit("ch"))).otherwise(F.concat(spoken, ch, F.lit("ch")))
+        first = s["kind"] == "boosted"
+        return F.struct(s["kind"].alias("kind"), s["idx"].alias("idx"), s["lang"].alias("lang"), first.alias("stereo"), (first & ~mixed).alias("native_stereo"), title.alias("title"))
+
+    slots = F.transform(audio_slots(tracks), described)
+    lone = (F.size(tracks) == 1) & ~F.exists(tracks, lambda t: _is(t, ENGLISH) | _is(t, JAPANESE))
+    foreign = _first(slots, lambda s: s["kind"] == "foreign")["lang"]
+    notes = F.array(F.when(lone, F.concat(F.lit("single_audio_track_kept_lang_"), F.coalesce(F.nullif(F.get(tracks, F.lit(0))["lang"], F.lit("")), F.lit("und")))), F.concat(F.lit("audio_foreign_primary_unboosted_"), foreign))
+    return F.struct(slots.alias("slots"), F.array_compact(notes).alias("notes"))
+
+
+def planned_subtitles(subs: Column, generated: Column, english_audio: Column) -> Column:
+    """struct(slot1, slot2, slot3, rest): `blank`, a source's number, `generated <lang>`, or null; and the numbers left over.
+
+    subs: usable source tracks in their order; generated: languages of the
+    tracks this run made, which stand in where the source has none.  The first
+    slot is what a player opens on: forced English, else full English where no
+    audio is English, else a blank track.
+    """
+    source = lambda t: F.when(t.isNotNull(), t["idx"].cast("string"))
+    made = lambda lang: F.when(F.array_contains(generated, lang), F.lit(f"generated {lang}"))
+    forced = source(_first(subs, lambda s: _is(s, ENGLISH) & s["forced"]))
+    english = F.coalesce(source(_first(subs, lambda s: _is(s, ENGLISH) & ~s["forced"])), made("eng"))
+    japanese = F.coalesce(source(_first(subs, lambda s: _is(s, JAPANESE))), made("jpn"))
+    leads = forced.isNull() & ~english_audio & english.isNotNull()
+    first = F.coalesce(forced, F.when(leads, english), F.lit("blank"))
+    second = F.when(~leads, english)
+    rest = F.filter(F.transform(subs, lambda s: s["idx"].cast("string")), lambda i: ~(i.eqNullSafe(first) | i.eqNullSafe(second) | i.eqNullSafe(japanese)))
+    return F.struct(first.alias("slot1"), second.alias("slot2"), japanese.alias("slot3"), rest.alias("rest"))
+
+
 def in_track_order(tracks: Column, slots: Column) -> Column:
     """Tracks named by slots come first in their order, the rest (from 90 on) as they were."""
     keyed = F.transform(tracks, lambda t, i: F.struct(F.coalesce(F.nullif(F.array_position(slots, t["idx"]), F.lit(0)) - 1, F.lit(90) + i).alias("a"), t.alias("t")))
@@ -135,7 +185,7 @@ def opus_bitrate(channels: Column, bitrate: Column, source_channels: Column, los
 
 def downmix(layout: Column, boost: float = 1.0) -> Column:
     """Stereo downmix expression of a channel layout, its centre multiplied by the boost; null for unknown ones."""
-    channels = F.split(F.create_map(*[F.lit(x) for pair in LAYOUTS.items() for x in pair])[layout], " ")
+    channels = F.create_map(*[x for name, marks in LAYOUTS.items() for x in (F.lit(name), F.array(*map(F.lit, marks)))])[layout]
 
     def side(name: str, gains: dict[str, float]) -> Column:
         terms = F.transform(channels, lambda c: F.struct(c.alias("c"), lookup(gains | {"FC": CENTRE_GAIN * boost}, c, 0.0).alias("g")))

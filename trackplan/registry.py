@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, documents, files, queues, records, sequences, streams, texts, timelines  # noqa: F401
+from .plans import catalog, documents, files, queues, records, sequences, slots, streams, texts, timelines  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
