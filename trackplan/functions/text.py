@@ -104,9 +104,11 @@ def word_key(text: Column) -> Column:
 
 
 def script_profile(text: Column) -> Column:
-    """struct of letter counts for each script."""
+    """struct of letter counts for each script: Latin ones of the whole text, the others of what lies beyond Latin in it."""
     text = F.coalesce(text, F.lit(""))
-    return F.struct(*[F.regexp_count(text, F.lit(p)).alias(s) for s, p in SCRIPTS.items()], F.regexp_count(text, F.lit(LATIN)).alias("latin"))
+    counts = lambda beyond: F.struct(*[F.regexp_count(beyond, F.lit(p)).alias(s) for s, p in SCRIPTS.items()], F.regexp_count(text, F.lit(LATIN)).alias("latin"))
+    # the rest is made once, and in most texts it is short
+    return F.transform(F.array(F.regexp_replace(text, r"[\x{0000}-\x{024F}]+", "")), counts)[0]
 
 
 def sniffed_language(profile: Column, least: int = 40) -> Column:

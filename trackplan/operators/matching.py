@@ -17,8 +17,8 @@ GENERATIONS = [(5000, 5999, "Blackwell (RTX 50 series)", True), (4000, 4999, "Ad
 PROFESSIONAL = [(r"\brtx\s*a(\d{3,4})\b", "Ampere (professional RTX A series)", False), (r"\b(l4|l40|l40s)\b|ada", "Ada Lovelace (professional)", True), (r"\b(a100|a40|a30|a10|a16|a2)\b", "Ampere (professional)", False), (r"\b(t4|titan\s+rtx|quadro)\b", "Turing or older (professional)", False)]
 LEAST_DRIVER = {"13.1": "610.00", "13.0": "570.00", "12.2": "551.76", "12.1": "531.61", "12.0": "522.25"}
 NO_ENCODER = ["no capable devices", "not supported", "unsupported", "invalid device", "no nvenc capable"]
-EXIT_CODES = {-2: "ENOENT, file or codec not found", -13: "EACCES, permission denied", -22: "EINVAL, bad argument", -28: "ENOSPC, disk full", -40: "ENOSYS on Windows, feature not supported by the encoder, driver or build", 125: "the process could not be launched at all"}
-LARGE_NEGATIVE = ", large negative code, often an external library such as Vulkan or CUDA. read the ffmpeg line below"
+EXIT_CODES = {-2: "ENOENT: a file or codec is missing", -13: "EACCES: not allowed", -22: "EINVAL: an argument was refused", -28: "ENOSPC: no space left", -40: "ENOSYS: not possible with this build, driver or encoder", 125: "it never started"}
+LARGE_NEGATIVE = ", far below zero: the code of some library, whose message is in the log"
 FRANCHISES = [("007", "007"), ("james_bond", "007"), ("jamesbond", "007"), ("bond", "007"), ("mcu", "MCU"), ("marvel", "MCU"), ("starwars", "Star_Wars"), ("star_wars", "Star_Wars"), ("startrek", "Star_Trek"), ("star_trek", "Star_Trek"), ("stargate", "Stargate"), ("star_gate", "Stargate"), ("dcu", "DCU"), ("pixar", "Pixar"), ("ghibli", "Ghibli"), ("lotr", "LOTR"), ("middleearth", "LOTR")]
 
 

@@ -109,7 +109,7 @@ _CODES = [0, 1, 125, 4294967294, 4294967256, 3199971767, 300, 255]
 
 @query(f"""
 SELECT p_partkey, (['version_gap', 'version_gap', 'nocard', 'nocard', 'unknown', 'version_gap'])[p_partkey % 6 + 1] AS kind, (['570.00', '551.76', NULL, NULL, NULL, NULL])[p_partkey % 6 + 1] AS needs,
-  (['0 (signed 0, 0x00000000)', '1', '125 (the process could not be launched at all)', '4294967294 (signed -2, 0xFFFFFFFE, ENOENT, file or codec not found)', '4294967256 (signed -40, 0xFFFFFFD8, ENOSYS on Windows, feature not supported by the encoder, driver or build)',
+  (['0 (signed 0, 0x00000000)', '1', '125 (it never started)', '4294967294 (signed -2, 0xFFFFFFFE, ENOENT: a file or codec is missing)', '4294967256 (signed -40, 0xFFFFFFD8, ENOSYS: not possible with this build, driver or encoder)',
     '3199971767 (signed -1094995529, 0xBEBBB1B7{matching.LARGE_NEGATIVE})', '300 (signed 300, 0x0000012C)', '255'])[p_size % 8 + 1] AS code FROM part""")
 def failure_texts(spark: SparkSession, folder: str) -> DataFrame:
     pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
