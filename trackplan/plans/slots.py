@@ -205,3 +205,23 @@ def name_pieces(spark: SparkSession, folder: str) -> DataFrame:
     tiers = F.when(key % 3 == 0, " high, none,awful").when(key % 3 == 1, "LOW")
     rows = table(spark, folder, "part")
     return rows.select("p_partkey", X.strip_suffix(title).alias("title"), X.release_year(date, F.when(key % 3 == 1, 1900).otherwise(1901)).cast("int").alias("year"), F.array_join(settings.repaired_tiers(tiers), ",").alias("tiers"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'dv5' WHEN 1 THEN 'dv78' WHEN 2 THEN 'hlg' ELSE 'sdr' END AS hdr, CAST(CASE p_partkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 8 END AS INT) AS dovi, 'bt2020' AS prim, 'bt2020nc' AS space, CASE WHEN p_size % 2 = 0 THEN 'tv' ELSE '' END AS range, '24000/1001' AS fps_str, CAST(1 AS INT) AS atts, CAST(0 AS INT) AS vidx,
+  CASE p_size % 3 WHEN 0 THEN 'eng:640000:0.0:true' WHEN 1 THEN 'eng:448000:0.25:false' ELSE 'und:0:0.0:false' END AS audio, '3.5,0.0' AS durations, CAST(p_size AS DOUBLE) AS container, 'Signs' AS title, 'tt' || p_partkey AS imdb FROM part""")
+def probe_full(spark: SparkSession, folder: str) -> DataFrame:
+    """All fields of a probe record: dynamic range, colours, rates, tags, attachments; starts, rates and kinds of audio."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    side = F.when(key % 4 == 0, ',"side_data_list":[{"side_data_type":"DOVI configuration record","dv_profile":5}]').when(key % 4 == 1, ',"side_data_list":[{"side_data_type":"Mastering display metadata"},{"side_data_type":"DOVI configuration record","dv_profile":8}]').otherwise("")
+    trc = F.when(key % 4 == 2, "ARIB-STD-B67").otherwise("bt709")
+    video = F.format_string('{"index":0,"codec_type":"video","codec_name":"hevc","width":3840,"height":2160,"avg_frame_rate":"24000/1001","r_frame_rate":"24000/1001","bit_rate":"9000","color_transfer":"%s","color_primaries":"BT2020","color_space":"bt2020nc"%s%s}', trc, F.when(size % 2 == 0, ',"color_range":"TV"').otherwise(""), side)
+    audio = F.when(size % 3 == 0, '"tags":{"language":"ENG","BPS-eng":"640000","DURATION":"00:00:03.500"},"disposition":{"comment":1}').when(size % 3 == 1, '"bit_rate":"448000","start_time":"0.25","tags":{"language":"eng"},"duration":"3.5"').otherwise('"tags":{"DURATION":"00:00:03.5"}')
+    rest = ',{"index":2,"codec_type":"audio","codec_name":"aac"},{"index":3,"codec_type":"subtitle","codec_name":"ass","tags":{"title":" Signs "}},{"index":4,"codec_type":"attachment"}'
+    json = F.concat(F.lit('{"streams":['), video, F.lit(',{"index":1,"codec_type":"audio","codec_name":"ac3",'), audio, F.lit("}" + rest), F.lit('],"format":{"duration":"'), size.cast("string"), F.lit('","size":"1000","tags":{"IMDB":"tt'), key.cast("string"), F.lit('"}}}'))
+    rows = table(spark, folder, "part").select("p_partkey", json.alias("json"))
+    info = tables.probed(rows)
+    first = F.get("audios", F.lit(0))
+    about = F.concat_ws(":", first["lang"], first["bit_rate"].cast("string"), first["start"].cast("string"), first["aux"].cast("string"))
+    durations = F.array_join(F.transform(tables.audio_durations(F.col("json")), lambda d: d.cast("string")), ",")
+    return info.select("p_partkey", "hdr", "dovi", "prim", "space", "range", "fps_str", "atts", "vidx", about.alias("audio"), durations.alias("durations"), tables.duration_of(F.col("json")).alias("container"), F.get("subs", F.lit(0))["title"].alias("title"), F.col("tags")["IMDB"].alias("imdb"))

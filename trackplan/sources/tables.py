@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 from ..functions.text import clock_seconds
+from ..operators.tracks import stream_bitrate
 
-PROBE = """streams array<struct<index int, codec_type string, codec_name string, width int, height int, avg_frame_rate string, r_frame_rate string, bit_rate string, bits_per_raw_sample string, pix_fmt string, color_transfer string, field_order string, channels int, channel_layout string, duration string, nb_frames string, tags map<string, string>, disposition map<string, int>>>, format struct<duration string, size string, bit_rate string, tags map<string, string>>"""
+PROBE = """streams array<struct<index int, codec_type string, codec_name string, width int, height int, avg_frame_rate string, r_frame_rate string, bit_rate string, bits_per_raw_sample string, pix_fmt string, color_transfer string, color_primaries string, color_space string, color_range string, field_order string, start_time string, side_data_list array<struct<side_data_type string, dv_profile int>>, channels int, channel_layout string, duration string, nb_frames string, tags map<string, string>, disposition map<string, int>>>, format struct<duration string, size string, bit_rate string, tags map<string, string>>"""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,19 +44,40 @@ def probed(records: DataFrame, json: str = "json") -> DataFrame:
     rate = lambda c: F.when((ratio(F.col(c)) > 0) & (ratio(F.col(c)) <= 1000), ratio(F.col(c)))
     size, own, whole = number("p.format.size"), positive(number("v.bit_rate")), positive(number("p.format.bit_rate"))
     depth = F.coalesce(F.col("v.bits_per_raw_sample").try_cast("int"), F.when(F.contains("v.pix_fmt", F.lit("10")), 10).when(F.contains("v.pix_fmt", F.lit("12")), 12).otherwise(8))
-    hdr = F.when(F.col("v.color_transfer") == "smpte2084", "hdr10").when(F.col("v.color_transfer") == "arib-std-b67", "hlg").otherwise("sdr")
+    dovi = F.element_at(F.filter("v.side_data_list", lambda d: F.contains(F.coalesce(d["side_data_type"], F.lit("")), F.lit("DOVI"))), -1)["dv_profile"]
+    trc = F.lower(F.coalesce("v.color_transfer", F.lit("")))
+    hdr = F.when(dovi == 5, "dv5").when(dovi.isNotNull(), "dv78").when(trc == "smpte2084", "hdr10").when(trc == "arib-std-b67", "hlg").otherwise("sdr")
     of = lambda kind: F.filter("p.streams", lambda s: s["codec_type"] == kind)
-    lang = lambda s: F.coalesce(s["tags"]["language"], F.lit("und")).alias("lang")
-    audio = F.transform(of("audio"), lambda s: F.struct(s["index"].alias("idx"), lang(s), F.coalesce(s["channels"], F.lit(2)).alias("ch"), s["channel_layout"].alias("layout"), s["codec_name"].alias("codec"), F.coalesce(s["bit_rate"].try_cast("long"), F.lit(0)).alias("bit_rate"), s["tags"]["title"].alias("title")))
-    subs = F.transform(of("subtitle"), lambda s: F.struct(s["index"].alias("idx"), lang(s), s["codec_name"].alias("codec"), (F.coalesce(s["disposition"]["forced"], F.lit(0)) == 1).alias("forced"), (F.coalesce(s["disposition"]["hearing_impaired"], F.lit(0)) == 1).alias("sdh"), s["tags"]["title"].alias("title")))
+    lang = lambda s: F.lower(F.coalesce(F.nullif(s["tags"]["language"], F.lit("")), F.lit("und"))).alias("lang")
+    flag = lambda s, name: F.coalesce(s["disposition"][name], F.lit(0)) != 0
+    start = lambda s: F.coalesce(s["start_time"].try_cast("double"), F.lit(0.0)).alias("start")
+    aux = lambda s: (flag(s, "comment") | flag(s, "visual_impaired") | flag(s, "descriptions") | flag(s, "karaoke")).alias("aux")
+    bits = lambda s: stream_bitrate(s["bit_rate"].try_cast("long"), F.coalesce(s["tags"], F.create_map().cast("map<string,string>"))).alias("bit_rate")
+    audio = F.transform(of("audio"), lambda s: F.struct(s["index"].alias("idx"), lang(s), F.coalesce(F.nullif(s["channels"], F.lit(0)), F.lit(2)).alias("ch"), s["channel_layout"].alias("layout"), s["codec_name"].alias("codec"), bits(s), start(s), s["tags"]["title"].alias("title"), aux(s)))
+    subs = F.transform(of("subtitle"), lambda s: F.struct(s["index"].alias("idx"), lang(s), s["codec_name"].alias("codec"), (F.coalesce(s["disposition"]["forced"], F.lit(0)) == 1).alias("forced"), (F.coalesce(s["disposition"]["hearing_impaired"], F.lit(0)) == 1).alias("sdh"), F.trim(s["tags"]["title"]).alias("title")))
+    rates = {n: F.coalesce(ratio(F.col(f"v.{c}")), F.lit(0.0)).alias(n) for n, c in (("rr", "r_frame_rate"), ("ar", "avg_frame_rate"))}
+    low = lambda c: F.lower(F.coalesce(f"v.{c}", F.lit("")))
     out = p.withColumn("dur", duration).where("dur > 0")
     return out.select(
         *records.columns, "dur", F.col("v.codec_name").alias("vcodec"), F.col("v.width").alias("w"), F.col("v.height").alias("h"), F.coalesce(rate("v.avg_frame_rate"), rate("v.r_frame_rate"), F.lit(24.0)).alias("fps"),
         F.coalesce(own, 0.85 * whole, 0.85 * size * 8 / F.col("dur")).alias("vbr"), F.when(own.isNotNull(), "stream").when(whole.isNotNull(), "container").otherwise("size").alias("vbr_basis"),
         depth.alias("depth"), hdr.alias("hdr"), F.coalesce("v.field_order", F.lit("")).alias("field_order"), audio.alias("audios"), subs.alias("subs"), census(F.col("p.streams")).alias("census"),
+        F.col("p.format.size").try_cast("long").alias("bytes"), F.col("p.format.tags").alias("tags"), F.col("v.index").alias("vidx"), F.coalesce(F.when(rate("v.r_frame_rate").isNotNull(), F.col("v.r_frame_rate")), F.format_string("%.6f", F.coalesce(rate("v.avg_frame_rate"), F.lit(24.0)))).alias("fps_str"), *rates.values(),
+        F.coalesce("v.pix_fmt", F.lit("")).alias("pix"), trc.alias("trc"), low("color_primaries").alias("prim"), low("color_space").alias("space"), low("color_range").alias("range"), dovi.alias("dovi"), F.size(of("attachment")).alias("atts"),
     )
 
 
+def audio_durations(record: Column) -> Column:
+    """Durations of the audio tracks of a probe record (JSON), in their order; 0 where neither field nor tag has one."""
+    found = F.filter(census(F.from_json(record, PROBE)["streams"]), lambda s: s["kind"] == "audio")
+    return F.coalesce(F.transform(found, lambda s: s["dur"]), F.array().cast("array<double>"))
+
+
+def duration_of(record: Column) -> Column:
+    """The container's duration of a probe record, 0 if it can't be read."""
+    return F.coalesce(F.get_json_object(record, "$.format.duration").try_cast("double"), F.lit(0.0))
+
+
 def census(streams: Column) -> Column:
     """array<struct(kind, idx, codec, ch, dur)> of video and audio tracks; dur is the larger of field and tag."""
     both = F.filter(streams, lambda s: s["codec_type"].isin("video", "audio"))
