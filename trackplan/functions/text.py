@@ -129,6 +129,12 @@ def xml_escaped(text: Column) -> Column:
     return out
 
 
+def filter_path(path: Column) -> Column:
+    """A path inside a filter's option: forward slashes, quotes escaped once, colons for both parsers that read them."""
+    out = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.replace(F.replace(out, F.lit("'"), F.lit("\\'")), F.lit(":"), F.lit("\\\\:"))
+
+
 def word_wrapped(text: Column, width: int = 64) -> Column:
     """Lines of at most `width` characters, broken at spaces; longer words stand alone."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")

@@ -183,3 +183,10 @@ def warp_problems(knots: DataFrame, by: list[str], most_rate: float = 0.02, most
     out = rows.groupBy(*by).agg(F.coalesce(F.max("_off"), F.lit(0.0)).alias("worst_rate"), F.min_by("new_t", "old_t").alias("head"), F.sum("gap").alias("total_gap"), (F.max("new_t") - F.max("old_t")).alias("change"))
     broken = [(F.col("worst_rate") > most_rate, "rate"), (F.col("head") > most_head, "head"), (F.col("total_gap") > most_gap, "gap"), (F.abs("change") > most_change, "length")]
     return out.withColumn("problems", F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in broken])))
+
+
+def run_statistics(chunks: DataFrame, by: list[str], metrics: str) -> DataFrame:
+    """model_s, frames and peak_vram_mb of runs from the metrics (JSON) that their chunks report; unreadable ones count as nothing."""
+    m = F.from_json(F.col(metrics), "seconds_model double, frames double, peak_vram_mb double")
+    sums = [F.coalesce(F.sum(m[c]), F.lit(0.0)) for c in ("seconds_model", "frames")]
+    return chunks.groupBy(*by).agg(sums[0].alias("model_s"), sums[1].cast("long").alias("frames"), F.greatest(F.lit(0.0), F.coalesce(F.max(m["peak_vram_mb"]), F.lit(0.0))).alias("peak_vram_mb"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import settings
 from ..functions import text as X
 from ..operators import align, planning, queue, series, tracks
-from ..sources import tables
+from ..sources import sinks, tables
 from ..sources.tables import table
 from ..streaming import watch
 from .catalog import query, seconds, sql_map
@@ -225,3 +225,43 @@ def probe_full(spark: SparkSession, folder: str) -> DataFrame:
     about = F.concat_ws(":", first["lang"], first["bit_rate"].cast("string"), first["start"].cast("string"), first["aux"].cast("string"))
     durations = F.array_join(F.transform(tables.audio_durations(F.col("json")), lambda d: d.cast("string")), ",")
     return info.select("p_partkey", "hdr", "dovi", "prim", "space", "range", "fps_str", "atts", "vidx", about.alias("audio"), durations.alias("durations"), tables.duration_of(F.col("json")).alias("container"), F.get("subs", F.lit(0))["title"].alias("title"), F.col("tags")["IMDB"].alias("imdb"))
+
+
+def _simple(name: str, value: str) -> str:
+    return f"'    <Simple><Name>{name}</Name><String>' || {value} || '</String></Simple>' || chr(10)"
+
+
+def _tag(level: int, lines: str) -> str:
+    return f"'  <Tag>' || chr(10) || '    <Targets><TargetTypeValue>{level}</TargetTypeValue></Targets>' || chr(10) || {lines} || '  </Tag>' || chr(10)"
+
+
+_WHOLE = " || ".join([
+    _simple("TITLE", "p_name || ' &amp; Co'"), "CASE WHEN p_size % 3 < 2 THEN " + _simple("DATE_RELEASED", "CASE p_size % 3 WHEN 0 THEN '1999' ELSE '2001' END") + " ELSE '' END", _simple("CONTENT_TYPE", "CASE WHEN ep THEN 'TV' ELSE 'Movie' END"),
+    _simple("TMDB", "CASE WHEN ep THEN 'tv/' ELSE 'movie/' END || p_partkey"), "CASE WHEN p_size % 2 = 0 THEN " + _simple("IMDB", "'tt' || p_partkey") + " ELSE '' END", _simple("GENRE", "p_brand || ', ' || p_type"),
+])
+_PART = _simple("TITLE", "'Part &lt;' || p_size || '&gt;'") + " || " + _simple("PART_NUMBER", "p_size")
+
+
+@query(f"""
+SELECT p_partkey, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Tags>' || chr(10) || CASE WHEN NOT ep THEN {_tag(50, _WHOLE)} ELSE {_tag(70, _WHOLE)} || CASE WHEN p_size % 5 > 0 THEN {_tag(60, _simple('PART_NUMBER', 'p_size % 5'))} ELSE '' END || CASE WHEN p_size % 7 > 0 THEN {_tag(50, _PART)} ELSE '' END END || '</Tags>' || chr(10) AS xml,
+  'C' || repeat(chr(92), 2) || ':/it' || chr(92) || chr(39) || 's/' || p_partkey AS path FROM (SELECT *, p_partkey % 2 = 1 AS ep FROM part)""")
+def tag_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Tag files of films and episodes with their levels, and paths escaped for filters."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    none, episode = F.lit(None).cast("string"), key % 2 == 1
+    date = F.when(size % 3 == 0, "1999-12-31").otherwise("")
+    own = lambda value: F.when(size % 7 > 0, value)
+    xml = sinks.tag_document(F.concat("p_name", F.lit(" & Co")), date, F.when(size % 3 == 1, 2001), none, key, F.when(size % 2 == 0, F.concat(F.lit("tt"), key.cast("string"))), none, F.array("p_brand", "p_type"), episode, F.when(size % 5 > 0, size % 5), own(size), own(F.concat(F.lit("Part <"), size.cast("string"), F.lit(">"))), none, none)
+    path = X.filter_path(F.concat(F.lit("C:\\it's/"), key.cast("string")))
+    return table(spark, folder, "part").select("p_partkey", xml.alias("xml"), path.alias("path"))
+
+
+@query("""
+SELECT user_id, round(coalesce(sum(CASE WHEN event_type <> 'error' THEN floor(value) END), 0), 3) AS model_s, CAST(coalesce(sum(CASE WHEN event_type <> 'error' THEN event_id % 100 END), 0) AS BIGINT) AS frames, CAST(greatest(0, coalesce(max(CASE WHEN event_type = 'view' THEN event_id % 9000 END), 0)) AS DOUBLE) AS peak_vram_mb FROM events GROUP BY user_id""")
+def run_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """What the chunks of each user's runs report, broken reports among them."""
+    kind, key = F.col("event_type"), F.col("event_id")
+    body = F.format_string('{"seconds_model": %d, "frames": %d', F.floor("value").cast("long"), key % 100)
+    json = F.when(kind == "error", "{not json").when(kind == "view", F.concat(body, F.format_string(', "peak_vram_mb": %d}', key % 9000))).otherwise(F.concat(body, F.lit("}")))
+    found = series.run_statistics(table(spark, folder, "events").select("user_id", json.alias("m")), ["user_id"], "m")
+    return found.select("user_id", F.round("model_s", 3).alias("model_s"), "frames", "peak_vram_mb")

@@ -38,6 +38,26 @@ def xml_tags(levels: Column) -> Column:
     return F.when(F.size(full) > 0, F.concat(F.lit("<Tags>"), F.array_join(each, ""), F.lit("</Tags>")))
 
 
+def tag_document(title: Column, date: Column, year: Column, summary: Column, number: Column, imdb: Column, collection: Column, genres: Column, episode: Column, season: Column, part: Column, part_title: Column, part_date: Column, part_summary: Column) -> Column:
+    """A tag file: one level 50 for a film; for an episode its series (70), season (60) and itself (50).
+
+    number: the id in the web database; episode: whether it is one.  Empty
+    values have no line and empty levels no tag.
+    """
+    line = lambda name, value: F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(f"    <Simple><Name>{name}</Name><String>"), xml_escaped(value.cast("string")), F.lit("</String></Simple>")))
+    released = F.when(F.coalesce(date, F.lit("")) != "", F.left(date, F.lit(4))).otherwise(year.cast("string"))
+    known = F.concat(F.when(episode, "tv/").otherwise("movie/"), number.cast("string"))
+    whole = [line("TITLE", title), line("DATE_RELEASED", released), line("SUMMARY", summary), line("CONTENT_TYPE", F.when(episode, "TV").otherwise("Movie")), line("TMDB", known), line("IMDB", imdb), line("COLLECTION", collection), line("GENRE", F.array_join(genres, ", "))]
+    own = [line("TITLE", part_title), line("PART_NUMBER", part), line("DATE_RELEASED", part_date), line("SUMMARY", part_summary)]
+
+    def tag(level: Column, lines: list[Column]) -> Column:
+        left = F.array_compact(F.array(*lines))
+        return F.when(F.size(left) > 0, F.concat(F.lit("  <Tag>\n    <Targets><TargetTypeValue>"), level, F.lit("</TargetTypeValue></Targets>\n"), F.array_join(left, "\n"), F.lit("\n  </Tag>\n")))
+
+    tags = F.concat_ws("", tag(F.when(episode, "70").otherwise("50"), whole), F.when(episode, tag(F.lit("60"), [line("PART_NUMBER", season)])), F.when(episode, tag(F.lit("50"), own)))
+    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<Tags>\n'), tags, F.lit("</Tags>\n"))
+
+
 def info_sheet(title: Column, identification: Column, verification: Column, synopsis: Column) -> Column:
     """A readable sheet: sections with conditional lines, the synopsis wrapped at 64 characters."""
     section = lambda name, body: F.when(body != "", F.concat(F.lit(f"[{name}]\n"), body))
