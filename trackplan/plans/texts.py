@@ -260,6 +260,18 @@ def last_packets(spark: SparkSession, folder: str) -> DataFrame:
     return tables.last_packet(packets, ["l_orderkey"], "d")
 
 
+@query("""
+SELECT l_orderkey, max(CASE WHEN (d <= 180 OR pts >= d - 120) AND pts > 0 THEN pts + 1.5 END) AS last_end FROM (
+  SELECT l_orderkey, l_extendedprice AS pts, max(l_extendedprice) OVER (PARTITION BY l_orderkey) + 10 AS d FROM lineitem) GROUP BY l_orderkey""")
+def last_packets_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same ends from packets stored by time: only the folders of files' last minutes are opened."""
+    at = shared_place(spark, "packets")
+    packets = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("pts"), F.lit(1.5).alias("length"))
+    tables.store_packets(packets, at)
+    durations = packets.groupBy("l_orderkey").agg((F.max("pts") + 10).alias("d"))
+    return tables.last_packet_stored(spark.read.parquet(at), durations, ["l_orderkey"], "d")
+
+
 @query("""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 400 AS VARCHAR) || ':' || CAST(event_id % 100 AS VARCHAR) END AS crop, CAST(event_id % 7 + 1 AS INT) AS file, CAST(event_id % 100 AS DOUBLE) AS percent FROM events""")
 def scraped_logs(spark: SparkSession, folder: str) -> DataFrame:

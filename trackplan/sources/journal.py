@@ -13,6 +13,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,15 @@ class Journal:
         path = self._path(name)
         if not self._files.exists(path):
             return None
-        stream = self._files.open(path)
         try:
-            text = bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
-        finally:
-            stream.close()
-        try:
-            return json.loads(text)
-        except ValueError:
+            stream = self._files.open(path)
+            try:
+                return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8"))
+            finally:
+                stream.close()
+        except (ValueError, Py4JJavaError) as error:  # torn, or not what its checksum says
+            if isinstance(error, Py4JJavaError) and not error.java_exception.getClass().getName().endswith("ChecksumException"):
+                raise  # the store can't be reached: that says nothing of the file
             self._files.rename(path, self._path(f"{name}.corrupt-{uuid.uuid4().hex[:8]}"))
             return None
 

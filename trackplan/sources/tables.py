@@ -97,6 +97,30 @@ def last_packet(packets: DataFrame, by: list[str], duration: str) -> DataFrame:
     return packets.groupBy(*by).agg(F.count("*").alias("packets"), F.max(F.when(near & (F.col("pts") > 0), F.col("pts") + F.coalesce("length", F.lit(0.0)))).alias("last_end"))
 
 
+#: Seconds of a folder of stored packets; the last stretch of a long file that is read, and up to where a file is short.
+PACKET_SECONDS, LAST_SECONDS, SHORT_SECONDS = 600, 120, 180
+
+
+def store_packets(packets: DataFrame, path: str) -> None:
+    """Write packets in folders by time, within which they are sorted by file."""
+    dealt = packets.withColumn("bucket", F.floor(F.greatest(F.coalesce("pts", F.lit(0.0)), F.lit(0.0)) / PACKET_SECONDS).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "pts").write.partitionBy("bucket").parquet(path)
+
+
+def last_packet_stored(packets: DataFrame, durations: DataFrame, by: list[str], duration: str) -> DataFrame:
+    """by, last_end: the end of the last packet of each file, from packets that `store_packets` wrote.
+
+    A file asks for the folders of its last two minutes, a short one for all
+    that it has; what is asked for prunes the folders before any is opened.
+    """
+    long = F.col(duration) > SHORT_SECONDS
+    first = F.when(long, F.floor((F.col(duration) - LAST_SECONDS) / PACKET_SECONDS)).otherwise(0)
+    asked = durations.where(F.col(duration) > 0).withColumn("bucket", F.explode(F.sequence(first.cast("int"), (F.floor(F.col(duration) / PACKET_SECONDS) + 1).cast("int"))))
+    near = ~long | (F.col("pts") >= F.col(duration) - LAST_SECONDS)
+    met = packets.join(asked, [*by, "bucket"]).where(near & (F.col("pts") > 0))
+    return met.groupBy(*by).agg(F.max(F.col("pts") + F.coalesce("length", F.lit(0.0))).alias("last_end"))
+
+
 def last_match(text: Column, pattern: str) -> Column:
     """The last match of a pattern in a tool's output."""
     return F.element_at(F.nullif(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.array().cast("array<string>")), -1)

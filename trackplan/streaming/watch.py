@@ -41,13 +41,16 @@ def stall_stream(signals: DataFrame, by: str, t: str, value: str, limit: float =
     """Gaps over the limit as a stream, keyed by `by` (bigint); t in seconds, rows of a key come in order of batches.
 
     State is one (highest value, time of it) for each key; with `forget` an idle
-    key's state goes after the limit of processing time (then a run over what is
+    key's state goes after the limit of processing time, and a row without an
+    end says since when it is silent (then a run over what is
     there doesn't end by itself: it waits for these times).
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            _, since = state.get
             state.remove()
+            yield pd.DataFrame({by: [key[0]], "since": [since], "until": [float("nan")]})
             return
         best, since = state.get if state.exists else (float("-inf"), float("nan"))
         frame = pd.concat(list(batches)).sort_values(t, kind="stable")
