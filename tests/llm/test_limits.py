@@ -1,8 +1,12 @@
 """Texts of number signs, texts longer than one pass, empty tables."""
 
+import math
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
-from trackplan.llm import langid, warc
+from trackplan.llm import langid, sharding, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -40,3 +44,53 @@ def test_rows_in_buckets_are_not_moved(spark):
             assert joined.count() == 500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_toxicity_at_the_edges(spark, docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, labels without a document; equal texts score alike; no rows, no labels."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(13)] + [(None, 1), (500, 1), (3, None)], "doc_id long, toxic int")
+    found = toxicity.toxicity_of_documents(spark, docs, labels).collect()
+    assert len(found) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    scores = {}
+    for r, t in zip(sorted(found, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(docs.collect(), key=lambda r: (r.doc_id is None, r.doc_id)), strict=True):
+        assert r.doc_id == t.doc_id
+        scores.setdefault(t.text or "", set()).add(round(r.score, 9))
+    assert all(len(s) == 1 for s in scores.values())
+    assert toxicity.toxicity_of_documents(spark, no_docs, labels).count() == 0
+    assert toxicity.toxicity_of_documents(spark, docs, labels.where("doc_id = -1")).count() == docs.count()
+
+
+def walked(spark, n, shards, slack):
+    """Keys of each (arc, shard) by a walk along the ring, arc by arc, to the next shards with room."""
+    nodes = sorted(map(tuple, sharding.ring(spark, shards).select("arc", "shard", "lo", "hi").collect()))
+    ring = [s for _, s in sorted({(a, s) for a, s, _, _ in nodes})]
+    at = [r.p for r in spark.range(n).select(F.shiftrightunsigned(F.xxhash64("id"), 64 - sharding.RING_BITS).alias("p")).collect()]
+    keys = Counter(next(a for a, _, lo, hi in nodes if lo <= p < hi) for p in at)
+    room = [n // shards + (k < n % shards) if not slack else math.ceil((1 + slack) * n / shards) for k in range(shards)]
+    out = Counter()
+    for arc in range(len(ring)):
+        left = keys[arc]
+        for shard in ring[arc:] + ring[:arc]:
+            took = min(left, room[shard])
+            out[arc, shard] += took
+            room[shard] -= took
+            left -= took
+    return nodes, at, Counter({k: v for k, v in out.items() if v})
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_shards_by_walking_the_ring(spark, slack):
+    """Bounded loads: what a full shard has no room for goes on clockwise."""
+    n, shards = 3000, 5
+    nodes, at, expected = walked(spark, n, shards, slack)
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    found = sharding.shard_documents(spark, rows, shards=shards, slack=slack).collect()
+    assert Counter((next(a for a, _, lo, hi in nodes if lo <= at[r.doc_id] < hi), r.shard) for r in found) == expected
+
+
+def test_movement_with_slack(spark):
+    """One shard more takes about its share, and with slack next to nothing moves between the others."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_documents(spark, rows, shards=k, slack=0.25).collect()} for k in (24, 25))
+    moved = [d for d in before if before[d] != after[d]]
+    assert len(moved) < 0.06 * len(before) and sum(after[d] != 24 for d in moved) < 0.005 * len(before)

@@ -189,7 +189,7 @@ def class_counts(labels: DataFrame) -> dict[int, int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, row_bytes: int = SAMPLE_ROW_BYTES, counts: dict[int, int] | None = None) -> list[tuple[int, str]]:
-    """At most 2 * each rows (label, text), in the labels' own proportion as far as that allows, chosen by a hash of doc_id."""
+    """Rows (label, text) chosen by a hash of doc_id: at most `each` of each label, of texts of at most `row_bytes` bytes."""
     usable = usable_labels(labels)
     counts = class_counts(labels) if counts is None else counts
     if not counts:
