@@ -9,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..operators.align import lag, warped
 
 _TIME = re.compile(r"(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)")
 
 
-@udtf(returnType="pos int, timing string, start double, stop double, body string")
+@udtf(returnType=StructType().add("pos", IntegerType()).add("timing", StringType()).add("start", DoubleType()).add("stop", DoubleType()).add("body", StringType()))
 class ParseCues:
     """parse_cues(text): a row for each cue, its lines joined; null times where the timing can't be read."""
 
@@ -33,20 +34,20 @@ class ParseCues:
             yield pos, lines[at], *times, "\n".join(lines[at + 1 :])
 
 
-@pandas_udf("offset double, confidence double")
+@pandas_udf(StructType().add("offset", DoubleType()).add("confidence", DoubleType()))
 def lag_offset(a: pd.Series, reference: pd.Series, rate: pd.Series, most: pd.Series) -> pd.DataFrame:
     """lag_offset(a, reference, rate, most): offset and confidence of two arrays; null arrays have none."""
     rows = [lag(np.asarray(x), np.asarray(y), r, m) if x is not None and y is not None else (None, None) for x, y, r, m in zip(a, reference, rate, most, strict=True)]
     return pd.DataFrame(rows, columns=["offset", "confidence"], dtype="float64")
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def warp_samples(samples: pd.Series, rate: pd.Series, old_t: pd.Series, new_t: pd.Series) -> pd.Series:
     """warp_samples(samples, rate, old_t, new_t): the samples on the timeline of knots."""
     return pd.Series([warped(np.asarray(s, dtype=float), r, np.asarray(o, dtype=float), np.asarray(n, dtype=float), []) if s is not None else None for s, r, o, n in zip(samples, rate, old_t, new_t, strict=True)])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def word_wrap(text: pd.Series, width: pd.Series) -> pd.Series:
     """word_wrap(text, width): the words in lines of at most `width` characters, a longer word alone."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions.numbers import CQ_CEILING, CQ_FLOOR
+from .tracks import picked_audio
 
 # Filters, and qualities of upscaled, repaired and small pictures.
 DEINTERLACE = "bwdif=mode=send_frame:parity=auto:deint=all"
@@ -41,6 +42,7 @@ class Options:
     repair: str = "auto"
     deband: str = "auto"
     saturation: float = 1.06
+    hdr_saturation: float = 1.0
     sharpen: float = 0.30
     stabilise: bool = True
 
@@ -66,10 +68,11 @@ def _within(cq: Column, ceiling: int = CQ_CEILING) -> Column:
 
 
 def planned(items: DataFrame, o: Options = Options()) -> DataFrame:
-    """Add chain, cq, out_space, out_w, out_h, maxrate_kbps, upscaled, downscaled, repair, large_master, gate and notes.
+    """Add chain, cq, out_space, out_w, out_h, maxrate_kbps, upscaled, downscaled, repair, large_master, gate, needs_dv_strip, dv5 and notes.
 
     items: w, h, crop_w, crop_h, crop_x, crop_y (null: no crop), fps, depth,
-    hdr, prim, space, trc, color_range, tier, interlaced, size, dur and notes.
+    hdr, prim, space, trc, color_range, tier, interlaced, size, dur and notes;
+    with audios (tracks) also audio and audio_why are added.
     The order of filters is that of the chain; each step of the quality number
     is limited before the next.
     """
@@ -134,6 +137,18 @@ def planned(items: DataFrame, o: Options = Options()) -> DataFrame:
         (c("upscaled") & (c("_ch") >= UPSCALE_LINES), F.format_string("upscale_kept_tier_cq_%dp_source", "_ch")), moved(f"cq_offset_{o.offset:+d}_%d_to_%d", "_cq0", "_cq1"), moved(f"hq_source_boost_{o.boost_percent:.0f}pct_cq_%d_to_%d", "_cq1", "_cq2"),
         (c("_cq2") != c("_cq3"), F.format_string("lowres_%dp_cq_%d_to_%d", "_ch", "_cq2", "_cq3")), (c("large_master") & (c("_budget") <= 0), F.lit("uhd_budget_unavailable")), moved("uhd_budget_cq_%d_to_%d", "_cq3", "cq"),
     ]
+    gain = min(max(o.hdr_saturation, 0.25), 1.30)
+    if abs(gain - 1.0) > 0.001:
+        notes.insert(8, (widened, F.lit(f"sdr_hdr_saturation_{gain:.2f}")))
+    # the floor of quality is held even where the file grows beyond its budget, and that is said
+    predicted = N.predicted_mbps(pixels, N.BPP_AT_27, c("cq"))
+    gib = lambda rate: rate * 1e6 * c("dur") / 8 / float(1 << 30)
+    notes.append((c("large_master") & (c("_budget") > 0) & (predicted > c("_budget")), F.format_string("uhd_over_budget_%.2fGB_target_%.2fGB_at_cq_%d", gib(predicted), gib(c("_budget")), "cq")))
+    if "audios" in items.columns:
+        picked = picked_audio(c("audios"))
+        out = out.withColumn("audio", picked["track"]).withColumn("audio_why", picked["reason"])
+        notes += [(c("audio").isNull(), F.lit("no_audio_stream")), (c("audio").isNotNull() & (c("audio_why") != "eng"), F.concat(F.lit("audio_pick_"), c("audio_why")))]
+    out = out.withColumn("needs_dv_strip", c("hdr") == "dv78").withColumn("dv5", c("hdr") == "dv5")
     out = out.withColumn("notes", F.concat("notes", some(notes)))
     return out.drop(*[n for n in out.columns if n.startswith("_")])
 

@@ -196,9 +196,9 @@ WHERE k = 1""")
 def candidate_score(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates of a customer are the nations of its region: a few each."""
     nation = table(spark, folder, "nation")
-    own = table(spark, folder, "customer").join(F.broadcast(nation.select("n_nationkey", F.col("n_name").alias("title"), "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
+    own = table(spark, folder, "customer").join(nation.select("n_nationkey", F.col("n_name").alias("title"), "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
     found = nation.select("n_nationkey", F.col("n_name").alias("name"), "n_regionkey", (F.row_number().over(W.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1).alias("position"))
-    pairs = own.join(F.broadcast(found), "n_regionkey")
+    pairs = own.join(found, "n_regionkey")
     score = matching.candidate_score(F.col("c_custkey") % 25, F.col("n_nationkey"), F.col("title"), F.col("name"), F.greatest("c_acctbal", F.lit(0.0)) / 100)
     return matching.best_candidate(pairs.withColumn("score", F.round(score, 6)), ["c_custkey"], "score", "position", ["name"], first=3)
 
@@ -242,7 +242,8 @@ SELECT p_partkey, target, CAST(q AS INT) AS cq, space AS out_space, CAST(out_w A
   array_to_string(list_filter([CASE WHEN woven THEN 'deinterlaced_bwdif_same_rate' END, CASE WHEN ch <= 720 THEN 'sd_saturation_1.06' END, CASE WHEN depth < 10 THEN 'filtered_at_10bit' END, 'uhd_deblock_' || deblock || '_tier_' || tier, CASE WHEN repair THEN 'repair_chain_tier_' || tier END,
     CASE WHEN space = 'hlg' THEN 'hlg_kept_no_libplacebo' END, CASE WHEN odd THEN 'sdr_normalized_bt709' END, CASE WHEN band THEN 'deband_applied' WHEN NOT repair THEN 'deband_skipped_source_already_10bit' END, CASE WHEN padded THEN 'uhd_padded_' || ch || '_to_2160_lines' END, CASE WHEN master AND down THEN 'uhd_downscaled_to_2160_lines' END,
     CASE WHEN master AND NOT padded AND NOT down THEN 'uhd_native_' || sw || 'x' || ch END, CASE WHEN up THEN 'upscaled_to_1080_lines' END, CASE WHEN up AND NOT large THEN 'upscale_temporal_stabiliser' END, CASE WHEN down AND NOT master THEN 'downscaled_to_1080_lines' END, CASE WHEN NOT (padded OR up OR down) THEN 'cas_sharpen_0.30' END,
-    CASE WHEN up AND ch >= 720 THEN 'upscale_kept_tier_cq_' || ch || 'p_source' END, CASE WHEN q1 <> q2 THEN 'hq_source_boost_30pct_cq_' || q1 || '_to_' || q2 END, CASE WHEN q2 <> q3 THEN 'lowres_' || ch || 'p_cq_' || q2 || '_to_' || q3 END, CASE WHEN master AND budget <= 0 THEN 'uhd_budget_unavailable' END, CASE WHEN q <> q3 THEN 'uhd_budget_cq_' || q3 || '_to_' || q END], lambda x: x IS NOT NULL), ';') AS notes FROM i""")
+    CASE WHEN up AND ch >= 720 THEN 'upscale_kept_tier_cq_' || ch || 'p_source' END, CASE WHEN q1 <> q2 THEN 'hq_source_boost_30pct_cq_' || q1 || '_to_' || q2 END, CASE WHEN q2 <> q3 THEN 'lowres_' || ch || 'p_cq_' || q2 || '_to_' || q3 END, CASE WHEN master AND budget <= 0 THEN 'uhd_budget_unavailable' END, CASE WHEN q <> q3 THEN 'uhd_budget_cq_' || q3 || '_to_' || q END,
+    CASE WHEN master AND budget > 0 AND 0.1157 * out_w * out_h * 24 * pow(2, (27 - q) / 4.5) / 1e6 > budget THEN printf('uhd_over_budget_%.2fGB_target_%.2fGB_at_cq_%d', 0.1157 * out_w * out_h * 24 * pow(2, (27 - q) / 4.5) * dur / 8 / 1073741824, budget * 1e6 * dur / 8 / 1073741824, CAST(q AS INT)) END], lambda x: x IS NOT NULL), ';') AS notes FROM i""")
 def plan_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Plans of pictures of many sizes, tiers, depths and colours, for both targets."""
     key, size = F.col("p_partkey"), F.col("p_size")

@@ -265,3 +265,19 @@ def run_statistics(spark: SparkSession, folder: str) -> DataFrame:
     json = F.when(kind == "error", "{not json").when(kind == "view", F.concat(body, F.format_string(', "peak_vram_mb": %d}', key % 9000))).otherwise(F.concat(body, F.lit("}")))
     found = series.run_statistics(table(spark, folder, "events").select("user_id", json.alias("m")), ["user_id"], "m")
     return found.select("user_id", F.round("model_s", 3).alias("model_s"), "frames", "peak_vram_mb")
+
+
+@query("""
+SELECT p_partkey, p_partkey % 4 = 1 AS needs_dv_strip, p_partkey % 4 = 0 AS dv5, CASE p_size % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'eng' WHEN 2 THEN 'jpn_fallback' ELSE 'first_track_no_eng_no_jpn' END AS why, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS audio,
+  concat_ws(';', CASE WHEN p_partkey % 4 IN (0, 2) THEN 'sdr_expanded_to_hdr10_libplacebo;sdr_hdr_saturation_1.30' END, CASE p_size % 4 WHEN 0 THEN 'no_audio_stream' WHEN 2 THEN 'audio_pick_jpn_fallback' WHEN 3 THEN 'audio_pick_first_track_no_eng_no_jpn' END) AS notes FROM part""")
+def plan_rest(spark: SparkSession, folder: str) -> DataFrame:
+    """The audio pick of plans, the layers of Dolby Vision, and the gain of colours when they are widened."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    track = lambda idx, lang: F.struct(F.lit(idx).alias("idx"), F.lit(lang).alias("lang"))
+    none = F.array().cast("array<struct<idx:int,lang:string>>")
+    audios = F.when(size % 4 == 1, F.array(track(0, "jpn"), track(1, "eng"))).when(size % 4 == 2, F.array(track(0, "ja"), track(1, "fre"))).when(size % 4 == 3, F.array(track(0, "fre"))).otherwise(none)
+    hdr = F.get(F.array(*map(F.lit, ("dv5", "dv78", "sdr", "hdr10"))), (key % 4).cast("int"))
+    crop = [F.lit(None).cast("int").alias(c) for c in ("crop_w", "crop_h", "crop_x", "crop_y")]
+    items = table(spark, folder, "part").select("p_partkey", F.lit(1920).alias("w"), F.lit(1080).alias("h"), *crop, F.lit(24.0).alias("fps"), F.lit(10).alias("depth"), hdr.alias("hdr"), *[F.lit("bt709").alias(c) for c in ("prim", "space", "trc")], F.lit("tv").alias("color_range"), F.lit("high").alias("tier"), F.lit(False).alias("interlaced"), F.lit(1e9).alias("size"), F.lit(6000.0).alias("dur"), F.array().cast("array<string>").alias("notes"), audios.alias("audios"))
+    found = planning.planned(items, planning.Options(to_hdr=True, tone_filter="widen", hdr_saturation=9.0, deband="off", sharpen=0.0))
+    return found.select("p_partkey", "needs_dv_strip", "dv5", F.col("audio_why").alias("why"), F.col("audio.idx").alias("audio"), F.array_join("notes", ";").alias("notes"))
