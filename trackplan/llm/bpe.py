@@ -23,7 +23,7 @@ from .merges import from_ranks
 from .storage import small_batches
 
 #: Chunks and pieces a task remembers, and the longest it remembers.
-CACHE, CACHE_CHARS = 400_000, 48
+CACHE, CACHE_CHARS = 120_000, 48
 #: The characters that `\s` stands for in patterns of this kind: Unicode's White_Space (fixed values).
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
