@@ -8,7 +8,7 @@ merges are tried.
 from __future__ import annotations
 
 #: Pair checks that are remembered.
-MEMO = 150_000
+MEMO = 300_000
 _NEVER = 1 << 62
 _BITS = 21
 
