@@ -175,7 +175,7 @@ def progress_eta(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("event_id", F.round("rate", 9).alias("rate"), F.round("seconds_left", 3).alias("seconds_left"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS files FROM (SELECT lower(left(c_name, 4)) || c_custkey % 700 AS t, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1)")
+@query("SELECT CAST(count(*) AS BIGINT) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS files FROM (SELECT lower(left(c_name, 4)) || c_custkey % 700 AS t, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1)")
 def clash_groups(spark: SparkSession, folder: str) -> DataFrame:
     """How many output names are asked for more than once, and by how many files."""
     target = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.upper(F.left("c_name", F.lit(4)))).otherwise(F.left("c_name", F.lit(4))), (F.col("c_custkey") % 700).cast("string"))
