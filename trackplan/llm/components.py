@@ -16,15 +16,14 @@ def _larger_to_smallest(edges: DataFrame) -> DataFrame:
 
 
 def _smaller_to_smallest(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, moves to the smallest of them (u > v)."""
+    """Every smaller neighbour of a node, and the node, moves to the smallest of them (u > v): one edge for each edge, some repeated."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether every node is either a centre or has one edge, to a smaller centre (u > v in every edge)."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out")).union(edges.select("v", F.lit(0)))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
     return ends.groupBy("node").agg(F.sum("out").alias("outs"), F.min("out").alias("least")).where("outs > 1 or outs = 1 and least = 0").isEmpty()
 
 
@@ -46,7 +45,7 @@ def stars(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFram
     """
     e = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     for _ in range(most_rounds):
-        e = scratch.store(_larger_to_smallest(_smaller_to_smallest(e)).distinct(), "edges")
+        e = scratch.store_narrow(_larger_to_smallest(_smaller_to_smallest(e)).distinct(), "edges")
         if _is_star_forest(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     raise RuntimeError("components did not settle")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import stars, with_centres
+from .components import stars
 from .groups import bounds, grouped
 from .kept import kept_rows, marked
 from .shingles import set_key, shingle_sets, signatures
@@ -45,6 +45,8 @@ CAP_DOCS, CAP_SHINGLES = 1000, 1_000_000
 HUBS = 16
 #: Parts that the members of a group of more than one chunk are dealt into where they meet a row of the group.
 SALTS = 64
+#: Links of a document that are confirmed one by one before those left are confirmed together.
+FEW = 8
 _SIGNED = "doc_id long, n_shingles long, set_key binary, signature array<int>"
 _EDGES = "u long, v long"
 
@@ -83,7 +85,7 @@ def sign(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def postings(scratch: Scratch, signed: DataFrame, post_match: int) -> DataFrame:
-    """doc, key: the documents under the rarest shared coordinate-value pairs of each."""
+    """g, doc, size: the documents under the rarest shared coordinate-value pairs of each, with the length of the list."""
     keys = signed.select("doc", F.posexplode(F.slice("signature", 1, POST)).alias("at", "value"))
     keys = keys.select("doc", F.expr("shiftleft(cast(at as bigint), 32) | (cast(value as bigint) & 4294967295)").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
@@ -92,22 +94,8 @@ def postings(scratch: Scratch, signed: DataFrame, post_match: int) -> DataFrame:
     posted = scratch.store(posted.select("doc", F.col("k.key").alias("key")), "postings")
     # lists of the same documents are merged once
     lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("a"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("b")).where("n > 1")
-    lists = lists.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key")
-    return posted.join(lists, "key").select(F.col("key").alias("g"), "doc")
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.find(i)] = self.find(j)
+    lists = lists.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key", "n")
+    return posted.join(lists, "key").select(F.col("key").alias("g"), "doc", F.col("n").alias("size"))
 
 
 def _close(sig: np.ndarray, n: np.ndarray, i: int, js: np.ndarray, percent: int, match: int, post_match: int) -> np.ndarray:
@@ -127,29 +115,63 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets: list[np.ndarray] | None, side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
+class _Commons:
+    """Sizes of the intersections of one set of a group with many of them, by numbering the group's shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.starts = np.cumsum([0] + [len(s) for s in sets])
+        self.mark = np.zeros(len(values), dtype=bool)
+
+    def of(self, i: int) -> np.ndarray:
+        own = self.flat[self.starts[i] : self.starts[i + 1]]
+        self.mark[own] = True
+        out = np.add.reduceat(self.mark[self.flat], self.starts[:-1], dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+
+def _link(docs: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int, sets: list[np.ndarray] | None, side: np.ndarray | None, label: np.ndarray | None) -> set[tuple[int, int]]:
     """Edges (document, smallest document of its component) found in a group.
 
     sets: full sets to confirm links on.  side: 0 rows are compared with the 1
-    rows of another label; without it all rows are compared.
+    rows of another label; without it all rows are compared.  Rows of a label
+    are in one component beforehand: edges are then between labels.
     """
-    union = _Union(len(docs))
+    names = docs if label is None else label
+    _, at = np.unique(names, return_inverse=True)
     match, post_match = least_matches(percent, SIZE), least_matches(percent, POST)
     everyone = np.arange(len(docs))
-    for i in range(len(docs)) if side is None else np.flatnonzero(side == 0).tolist():
-        js = everyone[i + 1 :] if side is None else np.flatnonzero((side == 1) & (label != label[i]))
-        for j in _close(sig, n, i, js, percent, match, post_match).tolist():
-            if union.find(i) != union.find(j):
-                if sets is not None:
-                    both = _common(sets[i], sets[j])
-                    if 100 * both < percent * (len(sets[i]) + len(sets[j]) - both):
-                        continue
-                union.join(i, j)
-    root: dict[int, int] = {}
-    for i in everyone.tolist():
-        r = union.find(i)
-        root[r] = min(root.get(r, int(docs[i])), int(docs[i]))
-    return sorted({(int(docs[i]), root[union.find(i)]) for i in everyone.tolist()} - {(d, d) for d in map(int, docs)})
+    inner = None if side is None else np.flatnonzero(side == 1)
+    commons = None
+    for i in everyone.tolist() if side is None else np.flatnonzero(side == 0).tolist():
+        js = everyone[i + 1 :] if inner is None else inner
+        js = js[at[js] != at[i]]
+        if not len(js):
+            continue
+        js = _close(sig, n, i, js, percent, match, post_match)
+        if sets is not None:  # what a link brings into the component needs no confirmation
+            for _ in range(min(FEW, len(js))):
+                if not len(js):
+                    break
+                j = js[0]
+                both = _common(sets[i], sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    at[at == at[j]] = at[i]
+                    js = js[at[js] != at[i]]
+                else:
+                    js = js[1:]
+            if len(js):
+                commons = commons or _Commons(sets)
+                both = commons.of(i)[js]
+                js = js[100 * both >= percent * (n[i] + n[js] - both)]
+        if len(js):
+            at[np.isin(at, at[js])] = at[i]
+    least = np.full(len(docs), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, names)
+    moved = least[at] != names
+    return set(zip(names[moved].tolist(), least[at[moved]].tolist(), strict=True))
 
 
 def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
@@ -157,7 +179,7 @@ def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, ["g", "chunk"]):
-            edges: list[tuple[int, int]] = []
+            edges: set[tuple[int, int]] = set()
             for a, b in bounds(batch, ["g", "chunk"]):
                 if b - a < 2:
                     continue
@@ -174,8 +196,9 @@ def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
                     sig = part.column("payload").flatten().to_numpy().reshape(b - a, SIZE)
                     n = part.column("n").to_numpy()
                 cross = len(side) and side[0] >= 0
-                edges += _link(docs, sig, n, percent, sets, side if cross else None, label if cross else None)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["u", "v"])
+                edges |= _link(docs, sig, n, percent, sets, side if cross else None, label if cross else None)
+            ends = np.array(sorted(edges), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
 
     return run
 
@@ -183,8 +206,9 @@ def _edges_in_groups(percent: int, width: int, by_text: bool) -> Callable:
 def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: int, width: int, by_text: bool, cap_docs: int, cap_shingles: int) -> DataFrame:
     """node, component of the documents linked within groups, for all but the smallest document of each component.
 
-    members: a stored table of g, doc, weight (shingles that a task has to hold
-    for the document).  payload: doc, payload (signature, with n, or text).
+    members: a stored table of g, doc, and either weight (shingles that a task has
+    to hold for the document) or size (documents of the group, of no weight).
+    payload: doc, payload (signature, with n, or text).
     With signatures a document may be in many groups, with texts it is in one:
     edges in groups of one chunk are then stars already.
     """
@@ -203,13 +227,17 @@ def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: i
 
     none = F.lit(-1)
     members = members.withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(SALTS)))
-    sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
-    big = sizes.withColumn("chunks", chunks_of(F.col("size"), F.col("weight"))).where("chunks > 1").select("g", "size", "chunks")
-    big = scratch.store(big, "large-groups")
-    if big.isEmpty():
+    if "size" in members.columns:
+        placed = members.withColumn("weight", F.lit(0).cast("long")).withColumn("chunks", chunks_of(F.col("size"), F.col("weight")))
+        large = placed.where("chunks > 1")
+    else:
+        sizes = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
+        large = sizes.withColumn("chunks", chunks_of(F.col("size"), F.col("weight"))).where("chunks > 1").select("g", "size", "chunks")
+        large = scratch.store_narrow(large, "large-groups")
+        placed = members.join(salted(large), ["g", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    if large.isEmpty():
         edges = compare(members.select("g", F.lit(0).cast("long").alias("chunk"), "doc", none.alias("side"), none.cast("long").alias("label")))
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")) if by_text else stars(scratch, edges)
-    placed = members.join(salted(big), ["g", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(5)), F.col("size")) < HUBS)
     own = F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
@@ -217,12 +245,12 @@ def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: i
 
     # what the chunks left apart: documents outside their group's largest component against all others
     found = stars(scratch, edges)
-    rest = members.join(salted(big), ["g", "salt"]).join(found, F.col("doc") == F.col("node"), "left")
+    rest = placed.where("chunks > 1").join(found, F.col("doc") == F.col("node"), "left")
     rest = scratch.store(rest.select("g", "salt", "doc", "weight", "chunks", F.coalesce("component", "doc").alias("label")), "labelled")
     labels = rest.groupBy("g", "label").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"))
     main = labels.groupBy("g").agg(F.max(F.struct("size", "label", "weight")).alias("main"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).where("size > main.size")
     main = main.select("g", F.col("main.label").alias("main"), chunks_of(F.col("size") - F.col("main.size"), F.col("weight") - F.col("main.weight")).alias("blocks"))
-    main = scratch.store(main, "outside")
+    main = scratch.store_narrow(main, "outside")
     if main.isEmpty():
         return found
     rest = rest.join(salted(main), ["g", "salt"])
@@ -230,7 +258,13 @@ def _linked(scratch: Scratch, members: DataFrame, payload: DataFrame, percent: i
     inner = rest.withColumn("i", F.pmod(F.xxhash64("doc", F.lit(6)), F.col("chunks"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     chunk = (F.col("o") * F.col("chunks") + F.col("i")).alias("chunk")
     both = outer.select("g", chunk, "doc", F.lit(0).alias("side"), "label").union(inner.select("g", chunk, "doc", F.lit(1).alias("side"), "label"))
-    return stars(scratch, found.union(compare(both)).toDF("u", "v"))
+    across = compare(both)
+    if across.isEmpty():
+        return found
+    # edges between components: their members follow
+    merged = stars(scratch, across)
+    moved = found.join(merged.select(F.col("node").alias("_from"), F.col("component").alias("_to")), F.col("component") == F.col("_from"), "left")
+    return moved.select("node", F.coalesce("_to", "component").alias("component")).union(merged)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, width: int = SHINGLE_WORDS, cap_docs: int = CAP_DOCS, cap_shingles: int = CAP_SHINGLES) -> DataFrame:
@@ -261,9 +295,11 @@ def _near(scratch: Scratch, docs: DataFrame, percent: int, width: int = SHINGLE_
     one = one.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     one = scratch.store(one, "representatives")
 
-    lists = scratch.store(postings(scratch, one, least_matches(percent, POST)).withColumn("weight", F.lit(0).cast("long")), "lists")
-    clusters = with_centres(_linked(scratch, lists, one.select("doc", F.col("signature").alias("payload"), "n"), percent, width, False, cap_docs, cap_shingles))
-    members = clusters.select(F.col("component").alias("g"), F.col("node").alias("doc")).join(one.select("doc", F.col("n").alias("weight")), "doc")
+    lists = scratch.store(postings(scratch, one, least_matches(percent, POST)), "lists")
+    clusters = _linked(scratch, lists, one.select("doc", F.col("signature").alias("payload"), "n"), percent, width, False, cap_docs, cap_shingles)
+    # every document in a cluster; the few others that may be taken for a centre are clusters of one
+    members = marked(one.select("doc", F.col("n").alias("weight")).join(clusters, F.col("doc") == F.col("node"), "left"), "doc", clusters.select(F.col("component").alias("id")))
+    members = members.where("node is not null or _likely").withColumn("g", F.coalesce("component", "doc"))
     members = scratch.store(members.select("g", "doc", "weight"), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("binary").alias("payload"))
     found = _linked(scratch, members, marked(texts, "doc", members.select(F.col("doc").alias("id"))).where("_likely").drop("_likely"), percent, width, True, cap_docs, cap_shingles)

@@ -102,6 +102,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def store_narrow(self, df: DataFrame, name: str) -> DataFrame:
+        """`store` for rows of a few numbers: an eighth of the session's shuffle partitions, which are set for texts, as tasks and files."""
+        return self.store(df.coalesce(max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)), name)
+
     def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int, by: str | None = None) -> DataFrame:
         """Write `df` in buckets of `keys`, and folders of `by`: grouping and joining by `keys` moves none of its rows.  It goes at the end of the call."""
         table = f"trackplan_{uuid.uuid4().hex}"
