@@ -16,9 +16,9 @@ def _larger_to_smallest(edges: DataFrame) -> DataFrame:
 
 
 def _smaller_to_smallest(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, moves to the smallest of them (u > v): one edge for each edge, some repeated."""
+    """Every smaller neighbour of a node, and the node, moves to the smallest of them (u > v); without repeats, which would meet at the hubs."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
