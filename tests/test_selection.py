@@ -56,3 +56,27 @@ def test_nearest_by_bands(spark):
     args = (["g"], ["f"], ["h", "h2"], "rh", "id")
     want = {tuple(r) for r in matching.nearest(frame, known, *args).collect() if r.g != 99}
     assert {tuple(r) for r in matching.nearest_indexed(frame, known, *args, stored).collect() if r.g != 99} == want
+
+
+def test_nearest_by_bands_spreads_no_flips(spark, monkeypatch):
+    """Bands with all their flips are never broadcast, however small their rows look before they are multiplied; blocks give the least of equally close references."""
+    monkeypatch.setattr(matching, "BLOCK", 70, raising=False)
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(-(1 << 63), 1 << 63, n).tolist()
+    hashes, near = draw(300), draw(40)
+    rows = [(f"g{k // 2}" if k > 5 else None, k % 2, h ^ (1 << k % 50) if k % 3 else near[k % 40], h) for k, h in enumerate(hashes)]
+    # two references under one name, and two variants of a row that are as close to different ones
+    known = [(f"r{k % 190:03}", h) for k, h in enumerate(draw(260) + near)] + [("r999", 0b111), ("r000", 0b111 << 40)]
+    rows += [("tie", 0, 0b110, 0b011 << 40), ("none", 0, None, None), ("none", 1, None, None)]
+    frame, references = spark.createDataFrame(rows, "g string, f int, h long, h2 long"), spark.createDataFrame([*known, ("a", None)], "id string, rh long")
+    plans = []
+
+    def cut(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    args = (["g"], ["f"], ["h", "h2"], "rh", "id")
+    want = {tuple(r) for r in matching.nearest(frame, references, *args).collect()}
+    assert {tuple(r) for r in matching.nearest_indexed(frame, references, *args, cut).collect()} == want
+    assert any(r[0] is None for r in want) and ("tie", 1, 0, "r000", 1) in want and ("none", 64, 0, "a", 0) in want
+    assert not [line for plan in plans for line in plan.split("\n") if "BroadcastHashJoin" in line and "band" in line]

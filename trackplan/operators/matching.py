@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,8 +117,12 @@ def nearest(rows: DataFrame, references: DataFrame, by: list[str], order: list[s
     return pairs.groupBy(*by).agg(F.min(key).alias("m")).select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")
 
 
-#: Bands that a 64-bit hash is cut into, and flipped bits in each that are looked for: hashes up to 4 * 3 + 3 bits apart meet.
-BANDS, BAND_BITS, MOST_FLIPS = 4, 16, 3
+#: Bands that a 64-bit hash is cut into, and flipped bits in each that are looked for: hashes up to 4 * 1 + 3 bits apart meet by them.
+BANDS, BAND_BITS, MOST_FLIPS = 4, 16, 1
+#: Hashes of a block; pairs of blocks' hashes that take the time of one joined pair.
+BLOCK, JOINED = 1 << 14, 100
+#: Bits of a place (block, position) below a distance, and of the position.
+PLACE, POSITION = 48, 24
 
 
 def masks_of(flips: int) -> list[int]:
@@ -125,41 +131,96 @@ def masks_of(flips: int) -> list[int]:
 
 
 def nearest_indexed(rows: DataFrame, references: DataFrame, by: list[str], order: list[str], hashes: list[str], reference_hash: str, reference_id: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """`nearest` by multi-index hashing: the same rows, without meeting every reference.
+    """`nearest` by multi-index hashing: the same rows, without pairs of rows and references that are far apart.
 
     Two hashes at most 4 k + 3 bits apart agree in one of four bands up to k
-    bits.  Round k looks for references whose band is k flips away; a group
-    whose closest candidate is within 4 k + 3 bits is settled, ties included,
-    and only the others go on.  Groups without one after three flips (and those
-    with null hashes only) meet every reference.  Rows and references of equal
-    hashes are one each.  cut(frame, name) stores what a round leaves.
+    bits.  Round k looks for references whose band is up to k flips away; a
+    group whose closest candidate is within 4 k + 3 bits is settled, ties
+    included, and only the others go on.  What is open after one flip meets all
+    references in blocks of hashes: each further flip would join a tenth or
+    more of these pairs as rows, at a hundred times the cost of one in a block.
+    A round whose bands are so uneven that it would cost more than the blocks
+    is left to them.  Rows and references of equal hashes are one each; groups
+    without a hash are at NO_HASH_DISTANCE of all.  cut(frame, name) stores
+    what a round leaves.
     """
     variants = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.col(h).alias("h")) for k, h in enumerate(hashes)]))
     first = F.min(F.struct(*order, F.col("v.variant").alias("variant"))).alias("o")
     open_rows = cut(rows.select(*by, *order, variants.alias("v")).groupBy(*by, F.col("v.h").alias("h")).agg(first), "variants")
-    known = cut(references.where(F.col(reference_hash).isNotNull()).groupBy(F.col(reference_hash).alias("rh")).agg(F.min(reference_id).alias("reference")), "references")
-    band = lambda h, b: F.shiftrightunsigned(h, BAND_BITS * b).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
-    index = known.select("rh", "reference", F.posexplode(F.array(*[band(F.col("rh"), b) for b in range(BANDS)])).alias("band", "value"))
-    key = F.struct(F.bit_count(F.col("h").bitwiseXOR(F.col("rh"))).alias("distance"), "o.*", "reference")
-    settled = []
-    for k in range(MOST_FLIPS + 1):
-        probes = open_rows.where("h is not null").select(*by, "h", "o", F.posexplode(F.array(*[band(F.col("h"), b) for b in range(BANDS)])).alias("band", "own"))
-        # fewer flips were looked for in the rounds before, whose best candidates are kept
-        masks = F.array(*[F.lit(m) for m in masks_of(k)])
-        probes = probes.withColumn("flip", F.explode(masks)).withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
-        pairs = probes.join(index, ["band", "value"]).select(*by, key.alias("m"))
-        best = pairs.groupBy(*by).agg(F.min("m").alias("m"))
-        best = cut(best.unionByName(settled[-1][1]).groupBy(*by).agg(F.min("m").alias("m")) if settled else best, f"best-{k}")
-        done = best.where(F.col("m.distance") <= BANDS * k + BANDS - 1)
-        open_rows = cut(open_rows.join(done.select(*by), by, "left_anti"), f"open-{k}")
-        settled.append((done, best.join(done.select(*by), by, "left_anti")))
-        if open_rows.isEmpty():
+    named = references.select(F.col(reference_hash).alias("rh"), F.struct(F.col(reference_id).alias("reference")).alias("r"))
+    known = cut(named.where("rh is not null").groupBy("rh").agg(F.min("r").alias("r")), "references")
+    n_known = known.count()
+    # places rise with the reference, so the least place is the least reference; its hash parts equal ones
+    dealt = known.repartitionByRange(max(1, -(-n_known // BLOCK)), "r", "rh").withColumn("cell", F.spark_partition_id())
+    blocks = cut(dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("r", "rh"))).alias("all")), "blocks")
+    placed = blocks.select("cell", F.posexplode("all").alias("position", "x")).select(F.shiftleft(F.col("cell").cast("long"), POSITION).bitwiseOR(F.col("position").cast("long")).alias("place"), "x.rh", "x.r.reference")
+    out = None
+    for k in range(MOST_FLIPS + 2):
+        asked = cut(open_rows.where("h is not null").select("h").distinct(), "asked")
+        n_asked = asked.count()
+        if not n_asked or not n_known:
             break
-    out = settled[0][0]
-    for done, _ in settled[1:]:
-        out = out.unionByName(done)
-    out = out.select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")
-    if open_rows.isEmpty():
-        return out
-    rest = rows.join(open_rows.select(*by).distinct(), by, "left_semi")
-    return out.unionByName(nearest(rest, references, by, order, hashes, reference_hash, reference_id))
+        last = k > MOST_FLIPS
+        found = _met(asked, blocks, n_asked, n_known) if last else _in_bands(asked, placed, k, n_asked * n_known)
+        if found is None:
+            continue
+        judged = open_rows.join(found, "h", "left")
+        closest = judged.groupBy(*by).agg(F.shiftright(F.min("key"), PLACE).cast("int").alias("distance"))
+        judged = cut(_of_groups(judged, closest, by), f"judged-{k}")
+        settled = F.coalesce(F.col("distance") < (NO_HASH_DISTANCE if last else BANDS * (k + 1)), F.lit(False))
+        done = judged.where(settled & (F.shiftright("key", PLACE) == F.col("distance"))).withColumn("place", F.col("key").bitwiseAND(F.lit((1 << PLACE) - 1))).join(placed.select("place", "reference").hint("merge"), "place")
+        done = done.select(*by, "distance", "o", "reference")
+        out = done if out is None else out.unionByName(done)
+        open_rows = judged.where(~settled).select(*by, "h", "o")
+    # all that is left has all references at the same distance
+    least = references.agg(F.min(F.struct(F.col(reference_id).alias("reference"))).alias("r")).where("r is not null")
+    rest = open_rows.crossJoin(F.broadcast(least)).select(*by, F.lit(NO_HASH_DISTANCE).alias("distance"), "o", "r.reference")
+    out = rest if out is None else out.unionByName(rest)
+    key = F.struct("distance", *[F.col(f"o.{c}").alias(c) for c in order], "reference", "o.variant")
+    return out.groupBy(*by).agg(F.min(key).alias("m")).select(*by, "m.distance", *[f"m.{c}" for c in order], "m.reference", "m.variant")
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with what is known of their group; null is a group too."""
+    named = groups.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return rows.join(named, same, "left").drop(*[f"_{c}" for c in by])
+
+
+def _in_bands(asked: DataFrame, placed: DataFrame, flips: int, pairs: int) -> DataFrame | None:
+    """h, key: distance and place of the closest reference with a band up to so many flips away, where there is one; None if blocks are cheaper."""
+    bands = lambda h: F.posexplode(F.array(*[F.shiftrightunsigned(h, BAND_BITS * b).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int") for b in range(BANDS)]))
+    masks = F.explode(F.array(*[F.lit(m) for f in range(flips + 1) for m in masks_of(f)]))
+    flipped = lambda frame: frame.withColumn("flip", masks).withColumn("value", F.col("own").bitwiseXOR(F.col("flip")))
+    own = asked.select("h", bands(F.col("h")).alias("band", "own"))
+    index = placed.select("rh", "place", bands(F.col("rh")).alias("band", "value"))
+    # sizes are guessed before rows are multiplied by flips and bands, so what looks small must not be broadcast
+    counts = flipped(own.groupBy("band", "own").agg(F.count("*").alias("m"))).join(index.groupBy("band", "value").agg(F.count("*").alias("n")).hint("merge"), ["band", "value"])
+    if (counts.agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0) * JOINED > pairs:
+        return None
+    key = F.shiftleft(F.bit_count(F.col("h").bitwiseXOR(F.col("rh"))).cast("long"), PLACE).bitwiseOR(F.col("place"))
+    return flipped(own).join(index.hint("merge"), ["band", "value"]).groupBy("h").agg(F.min(key).alias("key"))
+
+
+def _met(asked: DataFrame, blocks: DataFrame, n_asked: int, n_known: int) -> DataFrame:
+    """h, key: distance and place of the closest of all references, compared in pairs of blocks, each an array of hashes."""
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = blocks.agg(F.max("cell")).first()[0] + 1
+    # enough pairs of blocks for all tasks, unless these would be tiny
+    sides = max(-(-n_asked // BLOCK), min(-(-n_asked // 256), -(-parts // cells)))
+    packed = asked.groupBy(F.pmod(F.xxhash64("h"), F.lit(sides)).cast("int").alias("at")).agg(F.collect_list("h").alias("hashes"))
+    left = packed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).repartition(parts, "at", "cell")
+    right = blocks.select("cell", F.col("all.rh").alias("hashes")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))).repartition(parts, "at", "cell")
+
+    def closest(own: pa.Table, others: pa.Table) -> pa.Table:
+        if not own.num_rows or not others.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["h", "key"])
+        h, known = (x.column("hashes").combine_chunks().flatten().to_numpy().view(np.uint64) for x in (own, others))
+        key = np.empty(len(h), dtype=np.int64)
+        for a in range(0, len(h), 32):
+            apart = np.bitwise_count(h[a : a + 32, None] ^ known)
+            at = apart.argmin(axis=1)  # the first of equally close ones
+            key[a : a + 32] = apart[np.arange(len(at)), at].astype(np.int64) << PLACE | at
+        return pa.table([pa.array(h.view(np.int64)), pa.array(key | others.column("cell")[0].as_py() << POSITION)], names=["h", "key"])
+
+    return left.groupBy("at", "cell").cogroup(right.groupBy("at", "cell")).applyInArrow(closest, "h long, key long").groupBy("h").agg(F.min("key").alias("key"))
