@@ -80,3 +80,25 @@ def test_nearest_by_bands_spreads_no_flips(spark, monkeypatch):
     assert {tuple(r) for r in matching.nearest_indexed(frame, references, *args, cut).collect()} == want
     assert any(r[0] is None for r in want) and ("tie", 1, 0, "r000", 1) in want and ("none", 64, 0, "a", 0) in want
     assert not [line for plan in plans for line in plan.split("\n") if "BroadcastHashJoin" in line and "band" in line]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_median_slopes_of_many_blocks(spark, few):
+    """Noise, repeated points, two values only, one value, a burst with a far end and a null group: in few rounds, without a row for each point and slope."""
+    rng = np.random.default_rng(4)
+    groups = {"noise": (rng.random(700) * 30, np.round(rng.exponential(50, 700), 2)), "copies": (np.repeat(rng.random(40), 15), np.repeat(rng.normal(size=40), 15)), "coins": (rng.integers(0, 200, 500), rng.integers(0, 2, 500)), "flat": (np.arange(300), np.full(300, 2.5)), "burst": (np.append(rng.random(400) * 1e-6, 1e3), rng.normal(size=401)), "line": (np.arange(90), 3.0 - 2.0 * np.arange(90))}
+    rows = [(k, float(a), float(b)) for k, (t, e) in groups.items() for a, b in zip(t, e, strict=True)] + [(None, 1.0, 2.0), (None, 2.0, 3.0), ("alone", 1.0, None), ("alone", 2.0, 1.0)]
+    stores = []
+
+    def cut(df, name):
+        out = stored(df, name)
+        stores.append(out.count())
+        return out
+
+    found = {r.k: r.slope for r in selection.median_slopes(spark.createDataFrame(rows, "k string, t double, e double"), ["k"], "t", "e", cut, 4, slopes=31, precision=1e-11, few=few, block=128).collect()}
+    assert found.keys() == groups.keys()
+    for k, (t, e) in groups.items():
+        i, j = np.nonzero(t[:, None] < t)
+        slopes = (e[j] - e[i]) / (t[j] - t[i])
+        assert found[k] == pytest.approx(np.median(slopes), rel=1e-13 if few else 1e-9, abs=1e-9), k
+    assert sum(stores) < len(rows) and len(stores) < 25, stores
