@@ -102,3 +102,20 @@ def test_median_slopes_of_many_blocks(spark, few):
         slopes = (e[j] - e[i]) / (t[j] - t[i])
         assert found[k] == pytest.approx(np.median(slopes), rel=1e-13 if few else 1e-9, abs=1e-9), k
     assert sum(stores) < len(rows) and len(stores) < 25, stores
+
+
+def test_median_slopes_store_no_row_for_each_slope(spark):
+    rng = np.random.default_rng(5)
+    t, e = rng.random(700) * 30, np.round(rng.exponential(50, 700), 2)
+    stores = []
+
+    def cut(df, name):
+        out = stored(df, name)
+        stores.append(out.count())
+        return out
+
+    points = spark.createDataFrame([(0, float(a), float(b)) for a, b in zip(t, e, strict=True)], "k long, t double, e double")
+    found = selection.median_slopes(points, ["k"], "t", "e", cut, 4, slopes=31, precision=1e-9).first().slope
+    i, j = np.nonzero(t[:, None] < t)
+    assert found == pytest.approx(np.median((e[j] - e[i]) / (t[j] - t[i])), rel=1e-13)
+    assert sum(stores) < len(t)
